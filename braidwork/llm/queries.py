@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
+from .mixing import OP7_SQL, op7_mixing
 from .quality_rules import op6_quality_rules
 
 QUERIES = {
+    "op3_fingerprints": op3_fingerprints,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
