@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 
@@ -64,3 +67,25 @@ def released(*frames: DataFrame) -> None:
         for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(file)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def map_texts(docs: DataFrame, text: str, f, made: str, keep: list[str] | None = None) -> DataFrame:
+    """Adds columns that Python works out from whole texts, batch by batch.
+
+    ``f`` gets a list of texts (None for null) and returns a list of values for each column of the schema
+    ``made``. Other columns pass through as Arrow data, so ids keep their type and their nulls.
+    """
+    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    schema = T._parse_datatype_string(made)
+    kept = [F.col(c) for c in keep]
+    source = docs.select(*kept, F.col(text).alias("_mapped_text"))
+    types = [to_arrow_type(x.dataType) for x in schema]
+    names = [*keep, *[x.name for x in schema]]
+
+    def mapped(batches):
+        for b in batches:
+            found = f(b.column(len(keep)).to_pylist())
+            new = [pa.array(v, type=t) for v, t in zip(found, types)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=names)
+
+    return source.mapInArrow(mapped, T.StructType([*source.schema.fields[: len(keep)], *schema.fields]))

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .mixing import OP7_SQL, op7_mixing
+from .quality_classifier import op9_quality_classifier
 from .quality_rules import op6_quality_rules
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_mixing": OP7_SQL,
