@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
 from .mixing import OP7_SQL, op7_mixing
+from .pii import op1_pii
 from .quality_classifier import op9_quality_classifier
 from .quality_rules import op6_quality_rules
 from .toxicity import op10_toxicity
+from .url_filter import op2_url_filter
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
