@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..operators.lineage import checkpoint_dir, released, stored
+
+
+
+__all__ = ["checkpoint_dir", "literal_doubles", "map_texts", "released", "stored", "table", "text_or_empty", "window_hashes", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,36 +44,6 @@ def literal_doubles(values) -> Column:
     return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set to a local one only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        import tempfile
-
-        at = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def released(*frames: DataFrame) -> None:
-    """Deletes tables made by ``stored`` that nothing reads any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_texts(docs: DataFrame, text: str, f, made: str, keep: list[str] | None = None) -> DataFrame:
     """Adds columns that Python works out from whole texts, batch by batch.
 
