@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .archives import OP4_SQL, op4_archives
 from .fingerprints import op3_fingerprints
+from .jaccard_join import OP8_SQL, op8_jaccard_join
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op5_packing
 from .pii import op1_pii
@@ -20,10 +21,12 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_archives": OP4_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
 }

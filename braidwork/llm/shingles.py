@@ -65,5 +65,6 @@ def identity(found: np.ndarray) -> int:
     """A signed 64-bit hash of a whole set."""
     if not len(found):
         return 0
-    code = mixed(np.array([mixed(found).sum(dtype=np.uint64) ^ np.uint64(len(found)) * _BASE], dtype=np.uint64))
+    total = mixed(found).sum(keepdims=True) ^ (np.array([len(found)], dtype=np.uint64) * _BASE)
+    code = mixed(total)
     return int(code.view(np.int64)[0])
