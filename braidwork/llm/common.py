@@ -53,13 +53,15 @@ def map_texts(docs: DataFrame, text: str, f, made: str, keep: list[str] | None =
     keep = [c for c in docs.columns if c != text] if keep is None else keep
     schema = T._parse_datatype_string(made)
     kept = [F.col(c) for c in keep]
-    source = docs.select(*kept, F.col(text).alias("_mapped_text"))
+    # A text that is kept anyway is sent once.
+    source = docs.select(*kept) if text in keep else docs.select(*kept, F.col(text).alias("_mapped_text"))
+    at = keep.index(text) if text in keep else len(keep)
     types = [to_arrow_type(x.dataType) for x in schema]
     names = [*keep, *[x.name for x in schema]]
 
     def mapped(batches):
         for b in batches:
-            found = f(b.column(len(keep)).to_pylist())
+            found = f(b.column(at).to_pylist())
             new = [pa.array(v, type=t) for v, t in zip(found, types)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=names)
 

@@ -234,6 +234,14 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(points.select("code", "v"), "code").select("_row", "n", "v"), of
 
 
+def _numbered(docs: DataFrame, doc_id: str) -> DataFrame:
+    """Adds ``_row``: the id where ids are unique and not null, else numbers fixed by writing them."""
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct(doc_id).alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return docs.withColumn("_row", F.col(doc_id).cast("bigint"))
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -242,12 +250,7 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     and rows without an id are rows of their own (a component without any id has none); an empty table
     gives an empty result; other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    ids = rows.agg(F.count("*").alias("n"), F.count("doc_id").alias("k"), F.countDistinct("doc_id").alias("d")).first()
-    if ids["n"] == ids["d"]:
-        rows = rows.withColumn("_row", F.col("doc_id").cast("bigint"))
-    else:  # numbers of their own, fixed by writing them
-        rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = _numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
     found, of = link_classes(rows.select("_row", "_text"))
     out = rows.select("_row", "doc_id").join(found, "_row", "left").join(of, "v", "left")
     out = stored(out.withColumn("class", F.coalesce("class", "v")).select("doc_id", "n", "class"), "joined")
@@ -259,6 +262,22 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
 
 
+def one_per_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class, the one with the smallest id stays.
+
+    Texts without words stay all. Of rows with equal ids the first written stays.
+    """
+    rows = _numbered(docs, doc_id)
+    found, of = link_classes(rows.select("_row", F.col(text).alias("_text")))
+    joined = rows.select("_row", F.col(doc_id).alias("_id")).join(found, "_row").join(of, "v", "left")
+    joined = joined.withColumn("class", F.coalesce("class", "v"))
+    order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"))
+    first = joined.groupBy("class").agg(F.min(order)["c"].alias("_first"))
+    gone = stored(joined.join(first, "class").where("_row <> _first").select("_row"), "gone")
+    small = gone.count() <= MAX_BROADCAST
+    return rows.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*docs.columns)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 

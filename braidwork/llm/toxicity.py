@@ -252,6 +252,17 @@ def toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str]
     return map_texts(docs, text, scored, "score double, spans array<struct<start:int,end:int,probability:double>>", keep)
 
 
+def without_toxic(docs: DataFrame, chain: Chain, limit: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``limit``, with all their columns."""
+    cache: dict = {}
+
+    def scored(texts: list[str | None]) -> list:
+        return [[tag_text(chain, t, cache)[0] for t in texts]]
+
+    rated = map_texts(docs, text, scored, "_toxicity double", docs.columns)
+    return rated.where(F.col("_toxicity") < limit).select(*docs.columns)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
