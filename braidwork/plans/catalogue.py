@@ -1,14 +1,670 @@
-"""All queries over the driver's tables, with the SQL each is held against."""
+"""All queries over the driver's tables, with the SQL each is held against.
+
+Left records are the benchmark passages, right records the documents; a label says that a document
+contains a passage. Parts serve as a catalogue of products. Every query reads whole tables and texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as X
+from ..functions import text as T
+from ..operators import benchmark as G
+from ..operators import blocking, entities, experiments, metrics, model, quality, store
+from ..operators.policy import POLICIES, discordant, triage, veto
+from ..sources import html
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+K = 5
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the two sides
+
+
+def left_side(spark, d) -> DataFrame:
+    return table(spark, d, "benchmark").select(
+        F.col("item_id").alias("left_id"), T.spaced_key("text").alias("key"), F.col("text").alias("title"),
+        F.lit("en").alias("category"), F.length("text").cast("double").alias("price"),
+    )
+
+
+def right_side(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("right_id"), T.spaced_key("text").alias("key"), F.col("text").alias("title"),
+        F.col("lang").alias("category"), F.col("n_chars").cast("double").alias("price"),
+    )
+
+
+def truth(spark, d) -> DataFrame:
+    """Passages are few, so each document looks for all of them; no pairs are made but those found."""
+    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return docs.join(F.broadcast(items.withColumnRenamed("text", "item")), F.contains("text", "item")).select(
+        F.col("item_id").alias("left_id"), F.col("doc_id").alias("right_id")
+    )
+
+
+def candidates(spark, d, k: int = K) -> DataFrame:
+    return blocking.nearest_neighbours(left_side(spark, d), right_side(spark, d), k)
+
+
+def labelled(spark, d, k: int = K) -> DataFrame:
+    known = truth(spark, d).withColumn("is_match", F.lit(1))
+    rows = candidates(spark, d, k).join(known, ["left_id", "right_id"], "left").fillna(0, ["is_match"])
+    return rows.withColumn("score", F.round("cosine", 6))
+
+
+SPACED = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+SIDES = f"""
+l AS (SELECT item_id AS left_id, {SPACED.format(c='text')} AS key, text AS title, 'en' AS category, length(text)::DOUBLE AS price FROM benchmark),
+r AS (SELECT doc_id AS right_id, {SPACED.format(c='text')} AS key, text AS title, lang AS category, n_chars::DOUBLE AS price FROM documents),
+truth AS (SELECT item_id AS left_id, doc_id AS right_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+"""
+
+
+def _grams(side: str, i: str) -> str:
+    return f"""
+{side}w AS (SELECT {i}, ' ' || w || ' ' AS p FROM (SELECT {i}, unnest(string_split_regex(key, '\\s+')) AS w FROM {side}) WHERE w <> ''),
+{side}g AS (
+  SELECT {i}, substr(p, i, n) AS gram, count(*) AS tf
+  FROM {side}w, (VALUES (2), (3), (4)) AS s(n), unnest(range(1, greatest(length(p) - n + 2, 1))) AS t(i) GROUP BY ALL
+)"""
+
+
+def _knn(k: int) -> str:
+    return f"""{SIDES},{_grams('l', 'left_id')},{_grams('r', 'right_id')},
+idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM l)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM lg GROUP BY gram),
+lv AS (SELECT left_id, gram, tf * idf AS w FROM lg JOIN idf USING (gram)),
+rv AS (SELECT right_id, gram, tf * idf AS w FROM rg JOIN idf USING (gram)),
+ln_ AS (SELECT left_id, sqrt(sum(w * w)) AS n FROM lv GROUP BY 1),
+rn_ AS (SELECT right_id, sqrt(sum(w * w)) AS n FROM rv GROUP BY 1),
+dots AS (SELECT left_id, right_id, sum(lv.w * rv.w) AS dot FROM lv JOIN rv USING (gram) GROUP BY 1, 2),
+scored AS (
+  SELECT l.left_id, r.right_id, coalesce(dot / (ln_.n * rn_.n), 0) AS cosine
+  FROM l CROSS JOIN r LEFT JOIN dots USING (left_id, right_id) LEFT JOIN ln_ USING (left_id) LEFT JOIN rn_ USING (right_id)
+),
+cand AS (
+  SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY round(cosine, 9) DESC, left_id) AS seq FROM scored
+  QUALIFY seq <= {k}
+),
+lab AS (
+  SELECT c.*, round(cosine, 6) AS score, (t.left_id IS NOT NULL)::INTEGER AS is_match
+  FROM cand c LEFT JOIN truth t USING (left_id, right_id)
+)"""
+
+
+KNN = _knn(K)
+RATES = """coalesce(tp / nullif(tp + fp, 0), 0) AS precision, tp / nullif(tp + fn, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"""
+
+
+# --- text and cleaning
+
+
+@query(f"SELECT doc_id, {SPACED.format(c='text')} AS key FROM documents")
+def normalise_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.spaced_key("text").alias("key"))
+
+
+@query("SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS key FROM documents")
+def squash_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.squashed_key("text").alias("key"))
+
+
+@query("""SELECT doc_id, regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')),
+  '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g') AS key FROM documents""")
+def split_alnum_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.split_key("text").alias("key"))
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(trim(text), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> ''))::INTEGER AS words FROM documents")
+def word_count(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.word_count("text").alias("words"))
+
+
+def raw_parts(spark, d) -> DataFrame:
+    """Parts as a crawl would have read them: all text, with signs and units."""
+    price = F.concat(F.lit("£"), F.format_string("%.2f", "p_retailprice"))
+    stars = F.element_at(F.array(*[F.lit(x) for x in ("One", "Two", "Three", "Four", "Five", "none")]), (F.col("p_size") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        F.col("p_partkey").cast("string").alias("upc"), F.concat_ws(" ", "p_name", "p_brand", F.lit("vol."), "p_size").alias("title"),
+        F.col("p_type").alias("category"), price.alias("price"), price.alias("price_excl_tax"), F.lit("£0.00").alias("tax"),
+        price.alias("price_incl_tax"), stars.alias("rating"), F.concat(F.lit("In stock ("), F.col("p_size"), F.lit(" available)")).alias("stock"),
+        (F.col("p_size") % 3).cast("string").alias("review_count"), F.concat(F.lit(" "), "p_name").alias("description"),
+        F.concat(F.lit("http://shop.example/catalogue/"), T.squashed_key("p_name"), F.lit("_"), "p_partkey", F.lit("/index.html")).alias("detail_url"),
+    )
+
+
+PARTS = """
+p AS (
+  SELECT p_partkey::VARCHAR AS upc, p_name || ' ' || p_brand || ' vol. ' || p_size AS title, p_type AS category, round(p_retailprice, 2) AS price,
+    CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 END AS stars, p_size, p_name, p_partkey FROM part
+)"""
+
+
+@query(f"""WITH {PARTS}
+SELECT title, {SPACED.format(c='title')} AS title_key, category, upc, stars::INTEGER AS rating_stars, price AS price_listing_gbp,
+  price AS price_excl_tax_gbp, price AS price_incl_tax_gbp, 0.0::DOUBLE AS tax_gbp, p_size::INTEGER AS stock_count, p_size > 0 AS in_stock,
+  (p_size % 3)::INTEGER AS review_count, trim(p_name) AS description, len(string_split(trim(p_name), ' '))::INTEGER AS description_words,
+  'http://shop.example/catalogue/' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '_' || p_partkey || '/index.html' AS detail_url
+FROM p""")
+def clean_records(spark, d):
+    return quality.clean(raw_parts(spark, d))
+
+
+@query(f"""WITH {PARTS}, n AS (SELECT count(*) AS n, count(*) - count(stars) AS m FROM p)
+SELECT unnest(['missing rating_stars', 'missing price_listing_gbp', 'missing price_incl_tax_gbp', 'missing stock_count',
+  'listing and detail price', 'excl + tax = incl', 'empty description']) AS rule,
+  unnest([m, 0, 0, 0, 0, 0, 0])::BIGINT AS value, n AS rows, unnest([0.02, 0.02, 0.02, 0.02, 0.05, 0.0, 0.5])::DOUBLE AS limit,
+  unnest([m <= 0.02 * n, true, true, true, true, true, true]) AS ok FROM n""")
+def validate_rules(spark, d):
+    return quality.validate(quality.clean(raw_parts(spark, d)))
+
+
+@query("""SELECT 'o_totalprice' AS column, count(*) - count(o_totalprice) AS missing, count(*) AS rows, count(*) - count(o_totalprice) <= 0.02 * count(*) AS ok FROM orders
+UNION ALL SELECT 'o_orderdate', count(*) - count(o_orderdate), count(*), count(*) - count(o_orderdate) <= 0.02 * count(*) FROM orders""")
+def validate_null_rates(spark, d):
+    return quality.null_rates(table(spark, d, "orders"), ["o_totalprice", "o_orderdate"])
+
+
+def _profile(columns: list[str], of: str) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column, count(*) - count(nullif({c}::VARCHAR, '')) AS blank, count(DISTINCT nullif({c}::VARCHAR, '')) AS distinct,
+  coalesce(max(length(nullif({c}::VARCHAR, ''))), 0)::INTEGER AS longest, min(nullif({c}::VARCHAR, '')) AS example FROM {of}"""
+        for c in columns
+    )
+
+
+@query(_profile(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part"))
+def column_profile(spark, d):
+    return quality.column_profile(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+
+
+@query("SELECT 'kind' AS column, 'document' AS value UNION ALL SELECT 'lang', min(lang) FROM documents HAVING min(lang) = max(lang)")
+def constant_columns(spark, d):
+    return quality.constant_columns(table(spark, d, "documents").withColumn("kind", F.lit("document")), ["lang", "kind"])
+
+
+@query(f"WITH {PARTS} SELECT count(*) FILTER (WHERE price * 1.001 - price > 0.005) AS disagreeing, max(price * 1.001 - price) AS worst FROM p")
+def price_audit(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.round("p_retailprice", 2).alias("price_listing_gbp"))
+    rows = rows.withColumn("price_incl_tax_gbp", F.col("price_listing_gbp") * 1.001)
+    return quality.price_spread(rows, "p_partkey").select("disagreeing", "worst")
+
+
+@query("SELECT unnest(['role', 'text']) AS field, unnest([count(*) FILTER (WHERE coalesce(role, '') = ''), count(*) FILTER (WHERE coalesce(text, '') = '')]) AS empty, count(*) AS records, unnest([count(*) FILTER (WHERE coalesce(role, '') = '') = 0, count(*) FILTER (WHERE coalesce(text, '') = '') = 0]) AND count(*) > 0 AS ok FROM conversations")
+def empty_fields(spark, d):
+    return quality.empty_fields(table(spark, d, "conversations"), ["role", "text"])
+
+
+# --- pages
+
+
+@query("""SELECT page_id, left(coalesce(nullif(string_split(regexp_replace(regexp_replace(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'),
+  '/index\\.html$', ''), '/')[-1], ''), 'index'), 120) AS slug FROM pages""")
+def page_slug(spark, d):
+    return table(spark, d, "pages").select("page_id", T.slug("url").alias("slug"))
+
+
+@query("""SELECT page_id, list_filter(['verify_human', 'verify you are human', 'captcha', 'cf-challenge', 'just a moment', 'access denied',
+  'enable javascript and cookies'], lambda m: contains(lower(html), m)) AS gates FROM pages""")
+def page_gate_markers(spark, d):
+    return table(spark, d, "pages").select("page_id", html.gates("html").alias("gates"))
+
+
+@query("SELECT page_id, 0 AS position, trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')) AS title FROM pages")
+def page_titles(spark, d):
+    return html.parse(table(spark, d, "pages"), html.page_title)
+
+
+@query()
+def page_links(spark, d):
+    return html.parse(table(spark, d, "pages"), html.links)
+
+
+@query("""WITH s AS (SELECT page_id, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host FROM pages), c AS (SELECT host, count(*) AS pages FROM s GROUP BY 1)
+SELECT s.page_id, s.host FROM s LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.page_id WHERE l.doc_id IS NULL""")
+def incremental_todo(spark, d):
+    """Pages that have no label of their number yet."""
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1).alias("host"))
+    done = table(spark, d, "labels").select(F.col("doc_id").alias("page_id")).distinct()
+    return pages.join(done, "page_id", "left_anti")
+
+
+# --- blocking
+
+
+@query("""WITH k AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM part)
+SELECT DISTINCT a.p_partkey AS left_id, b.p_partkey AS right_id FROM k a JOIN k b USING (key)""")
+def exact_key_block(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", T.spaced_key(F.concat_ws(" ", "p_name", "p_brand", "p_type", "p_size")).alias("key"))
+    return blocking.exact_key_pairs(parts.withColumnRenamed("p_partkey", "left_id"), parts.withColumnRenamed("p_partkey", "right_id"))
+
+
+@query(f"WITH {KNN} SELECT left_id, right_id, round(cosine, 6) AS cosine, seq::INTEGER AS seq FROM cand")
+def knn_block(spark, d):
+    return candidates(spark, d).select("left_id", "right_id", F.round("cosine", 6).alias("cosine"), "seq")
+
+
+@query(f"WITH {KNN} SELECT left_id, right_id, round(cosine, 6) AS cosine, seq::INTEGER AS seq FROM cand")
+def knn_block_joins(spark, d):
+    found = blocking.nearest_native(left_side(spark, d), right_side(spark, d), K)
+    return found.select("left_id", "right_id", F.round("cosine", 6).alias("cosine"), "seq")
+
+
+@query(f"WITH {SIDES} SELECT left_id, right_id FROM truth")
+def label_pairs(spark, d):
+    return truth(spark, d)
+
+
+@query(f"""WITH {_knn(20)}, t AS (SELECT count(*) AS n FROM truth)
+SELECT k, count(*) AS pairs, sum(is_match)::BIGINT AS found, sum(is_match) / (SELECT nullif(n, 0) FROM t) AS recall
+FROM lab, (VALUES (1), (3), (5), (10), (20)) AS v(k) WHERE seq <= k GROUP BY k""")
+def block_recall_curve(spark, d):
+    return blocking.recall_curve(candidates(spark, d, 20), truth(spark, d), (1, 3, 5, 10, 20))
+
+
+@query(f"""WITH {KNN}, n AS (SELECT (SELECT count(*) FROM cand) AS pairs, (SELECT count(*) FROM truth) AS truths, (SELECT sum(is_match) FROM lab)::BIGINT AS found)
+SELECT pairs, truths, found, found / nullif(truths, 0) AS recall, 1 - pairs / ((SELECT count(*) FROM l) * (SELECT count(*) FROM r))::DOUBLE AS reduction FROM n""")
+def block_coverage(spark, d):
+    left, right = left_side(spark, d), right_side(spark, d)
+    return blocking.coverage(candidates(spark, d), truth(spark, d), left.count() * right.count())
+
+
+@query(f"WITH {KNN} SELECT left_id, right_id FROM truth EXCEPT SELECT left_id, right_id FROM cand")
+def missed_pairs(spark, d):
+    return blocking.missed(truth(spark, d), candidates(spark, d))
+
+
+@query(f"""WITH {KNN}, e AS (SELECT l.left_id, r.right_id FROM l JOIN r USING (key))
+SELECT left_id, right_id FROM cand UNION SELECT left_id, right_id FROM e""")
+def block_union_two_keys(spark, d):
+    exact = blocking.exact_key_pairs(left_side(spark, d), right_side(spark, d))
+    return blocking.union_pairs(candidates(spark, d), exact)
+
+
+@query()
+def block_gained_lost(spark, d):
+    left, right = left_side(spark, d), right_side(spark, d)
+    return experiments.key_variants(left, right, truth(spark, d), "title", T.spaced_key, T.split_key, 1)
+
+
+@query(f"""WITH {SIDES}, a AS (SELECT left_id, count(*) AS n FROM truth GROUP BY 1), b AS (SELECT right_id, count(*) AS n FROM truth GROUP BY 1)
+SELECT (SELECT count(*) FROM a) AS lefts, (SELECT count(*) FROM a WHERE n > 1) AS multi_left_id, (SELECT max(n) FROM a) AS most_left_id,
+  (SELECT count(*) FROM b) AS rights, (SELECT count(*) FROM b WHERE n > 1) AS multi_right_id, (SELECT max(n) FROM b) AS most_right_id,
+  (SELECT count(*) FROM truth) AS truths, (SELECT count(*) FROM b) / (SELECT count(*) FROM truth) AS recall_ceiling""")
+def partner_counts(spark, d):
+    return blocking.partner_counts(truth(spark, d))
+
+
+@query(f"""WITH {SIDES}, a AS (SELECT left_id, count(*) AS n FROM truth GROUP BY 1), b AS (SELECT right_id, count(*) AS n FROM truth GROUP BY 1)
+SELECT (SELECT count(*) FROM truth) AS labels, (SELECT count(*) FROM truth) AS resolvable,
+  (SELECT count(*) FROM l) - (SELECT count(*) FROM a) AS left_alone, (SELECT count(*) FROM a WHERE n > 1) AS left_several,
+  (SELECT count(*) FROM r) - (SELECT count(*) FROM b) AS right_alone, (SELECT count(*) FROM b WHERE n > 1) AS right_several""")
+def label_integrity(spark, d):
+    return quality.label_integrity(truth(spark, d), left_side(spark, d), right_side(spark, d))
+
+
+# --- features
+
+
+def pair_sides(spark, d) -> DataFrame:
+    side = lambda df, s: df.select(f"{s}_id", *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c != f"{s}_id"])
+    rows = labelled(spark, d).join(side(left_side(spark, d), "left"), "left_id")
+    return rows.join(side(right_side(spark, d), "right"), "right_id")
+
+
+FEATURES = f"""{KNN},
+words AS (
+  SELECT lab.*, list_distinct(list_filter(string_split_regex(l.key, '\\s+'), lambda w: w <> '')) AS a,
+    list_distinct(list_filter(string_split_regex(r.key, '\\s+'), lambda w: w <> '')) AS b, l.key AS lk, r.key AS rk,
+    l.category AS lc, r.category AS rc, l.price AS lp, r.price AS rp,
+    list_distinct(list_transform(regexp_extract_all(l.title, '(?i)(?:vol\\.?|volume|book|part|no\\.?|#)\\s*(\\d+)', 1), lambda x: x::BIGINT)) AS va,
+    list_distinct(list_transform(regexp_extract_all(r.title, '(?i)(?:vol\\.?|volume|book|part|no\\.?|#)\\s*(\\d+)', 1), lambda x: try_cast(x AS BIGINT))) AS vb
+  FROM lab JOIN l USING (left_id) JOIN r USING (right_id)
+),
+feat AS (
+  SELECT left_id, right_id, seq, is_match, score AS cosine,
+    coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0)::DOUBLE AS word_jaccard,
+    least(length(lk), length(rk)) / greatest(length(lk), length(rk), 1)::DOUBLE AS length_ratio,
+    (lc <> '' AND rc <> '' AND lc = rc)::INTEGER::DOUBLE AS same_category,
+    abs(lp - rp) / greatest(lp, rp, 0.01) AS price_relative_diff,
+    (len(va) > 0 AND len(vb) > 0 AND NOT list_has_any(va, vb))::INTEGER::DOUBLE AS volume_conflict,
+    (len(va) > 0 AND len(vb) > 0 AND list_has_any(va, vb))::INTEGER::DOUBLE AS volume_match,
+    ((len(va) > 0) <> (len(vb) > 0))::INTEGER::DOUBLE AS volume_one_sided
+  FROM words
+)"""
+SQL_FEATURES = ("word_jaccard", "length_ratio", "same_category", "price_relative_diff", "volume_conflict", "volume_match", "volume_one_sided")
+
+
+@query(f"WITH {FEATURES} SELECT left_id, right_id, {', '.join(f'round({c}, 6) AS {c}' for c in SQL_FEATURES)} FROM feat")
+def pair_features_sql(spark, d):
+    made = X.plain()
+    rows = pair_sides(spark, d)
+    return rows.select("left_id", "right_id", *[F.round(made[c], 6).alias(c) for c in SQL_FEATURES])
+
+
+@query(f"""WITH {PARTS}, v AS (SELECT p_partkey, title, list_distinct(list_transform(regexp_extract_all(title, '(?i)(?:vol\\.?|volume|book|part|no\\.?|#)\\s*(\\d+)', 1), lambda x: x::BIGINT)) AS v FROM p)
+SELECT p_partkey, list_sort(v) AS volumes, CASE WHEN list_contains(v, 7) THEN 0.9 ELSE 0.0 END AS score FROM v""")
+def volume_veto(spark, d):
+    """Parts against volume 7: a stated other volume makes the score 0."""
+    parts = raw_parts(spark, d).select(F.col("upc").cast("bigint").alias("p_partkey"), "title")
+    made = X.volume_features(F.col("title"), F.lit("vol. 7"))
+    return parts.select("p_partkey", F.sort_array(T.volumes("title")).alias("volumes"), veto(F.lit(0.9), made["volume_conflict"]).alias("score"))
+
+
+def part_pairs(spark, d) -> DataFrame:
+    """The pair table of the perturbed catalogue of parts."""
+    left, right, known = perturbed(spark, d)
+    key = lambda df: df.withColumn("key", T.spaced_key("title"))
+    return experiments.pair_table(key(left), key(right), known, K)
+
+
+def perturbed(spark, d, seed=0):
+    parts = raw_parts(spark, d).select("upc", "title", "category", T.money("price").alias("price"))
+    kinds = [r["category"] for r in parts.select("category").distinct().orderBy("category").limit(50).collect()]
+    return G.make(parts, kinds, seed)
+
+
+@query()
+def pair_features_full(spark, d):
+    return part_pairs(spark, d)
+
+
+@query()
+def pair_features_missing(spark, d):
+    """Records whose price, description or maker may be missing."""
+    def extra(df):
+        named = df.withColumn("key_spaced", T.split_key("title")).withColumn("key", T.squashed_key("title"))
+        named = named.withColumn("price", F.when(F.pmod(F.crc32("title"), F.lit(5)) > 0, F.col("price")))
+        return named.withColumn("description", F.col("category")).withColumn("manufacturer", F.regexp_extract("title", "(Brand#?[0-9]*)", 1))
+
+    left, right, known = perturbed(spark, d)
+    return experiments.pair_table(extra(left), extra(right), known, K, X.with_missing)
+
+
+# --- decisions
+
+
+def _policy_sql(keep: str) -> str:
+    return f"""WITH {KNN}, x AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, seq, left_id) AS a,
+  row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS b FROM lab)
+SELECT left_id, right_id, score, {keep} AS keep FROM x"""
+
+
+def _decide(spark, d, name):
+    return POLICIES[name](labelled(spark, d), 0.3).select("left_id", "right_id", "score", "keep")
+
+
+@query(_policy_sql("score >= 0.3"))
+def policy_threshold(spark, d):
+    return _decide(spark, d, "threshold only")
+
+
+@query(_policy_sql("a = 1 AND score >= 0.3"))
+def policy_best_per_right(spark, d):
+    return _decide(spark, d, "best per right")
+
+
+@query(_policy_sql("a = 1 AND b = 1 AND score >= 0.3"))
+def policy_mutual_best(spark, d):
+    return _decide(spark, d, "mutual best")
+
+
+@query(f"""WITH {KNN}, c AS (SELECT count(*) FILTER (WHERE score >= 0.3 AND is_match = 1) AS tp, count(*) FILTER (WHERE score >= 0.3 AND is_match = 0) AS fp,
+  count(*) FILTER (WHERE score < 0.3 AND is_match = 1) AS fn FROM lab)
+SELECT {RATES}, tp AS true_positive, fp AS false_positive, fn AS false_negative, tp + fp AS accepted FROM c""")
+def pair_metrics(spark, d):
+    return metrics.confusion(POLICIES["threshold only"](labelled(spark, d), 0.3))
+
+
+GRID = f"""{KNN}, q AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])::DOUBLE AS threshold),
+c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND is_match = 1) AS tp, count(*) FILTER (WHERE score >= threshold AND is_match = 0) AS fp,
+  count(*) FILTER (WHERE score < threshold AND is_match = 1) AS fn FROM lab, q GROUP BY 1),
+grid AS (SELECT threshold, {RATES}, tp AS true_positive, fp AS false_positive, fn AS false_negative FROM c)"""
+
+
+def _grid(spark, d):
+    cuts = spark.createDataFrame([(x / 10,) for x in range(1, 7)], "threshold double")
+    return metrics.threshold_grid(labelled(spark, d), cuts)
+
+
+@query(f"WITH {GRID} SELECT * FROM grid")
+def threshold_grid(spark, d):
+    return _grid(spark, d)
+
+
+@query(f"WITH {GRID} SELECT * FROM grid ORDER BY f1 DESC, threshold LIMIT 1")
+def best_threshold(spark, d):
+    return metrics.best_threshold(_grid(spark, d))
+
+
+@query()
+def error_triage(spark, d):
+    decided = POLICIES["mutual best"](labelled(spark, d), 0.3)
+    return triage(decided, truth(spark, d), 0.3)
+
+
+@query(f"""WITH {KNN}, x AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, seq, left_id) AS a FROM lab),
+w AS (SELECT left_id, right_id, (score >= 0.3) <> (is_match = 1) AS p, (a = 1 AND score >= 0.3) <> (is_match = 1) AS q FROM x)
+SELECT left_id, right_id, CASE WHEN p THEN 'fixed' ELSE 'broken' END AS change FROM w WHERE p <> q""")
+def discordant_decisions(spark, d):
+    rows = labelled(spark, d)
+    return discordant(POLICIES["threshold only"](rows, 0.3), POLICIES["best per right"](rows, 0.3))
+
+
+# --- splits and models
+
+
+@query("""WITH g AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7|' || doc_id)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT doc_id FROM documents))
+SELECT doc_id, CASE WHEN k <= ceil(round(n * 0.3, 6)) THEN 'test' ELSE 'train' END AS fold FROM g""")
+def grouped_split(spark, d):
+    return model.grouped_split(table(spark, d, "documents").select("doc_id"), "doc_id", 7)
+
+
+@query("""WITH x AS (SELECT d.doc_id, d.n_chars, l.quality::DOUBLE AS quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+m AS (SELECT coalesce(avg(quality), 0) AS m FROM x)
+SELECT doc_id, round(coalesce(quality, m), 9) AS quality FROM x, m""")
+def impute_train_mean(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", F.col("quality").cast("double"))
+    filled, _ = model.impute(rows, rows, ["quality"])
+    return filled.select("doc_id", F.round("quality", 9).alias("quality"))
+
+
+def _pairs_once(spark, d) -> DataFrame:
+    from ..operators.lineage import stored
+
+    return stored(part_pairs(spark, d), "pairs")
+
+
+@query()
+def logistic_scores(spark, d):
+    rows, _ = experiments.scored(_pairs_once(spark, d), 0)
+    return rows.select("left_id", "right_id", "is_match", "fold", "score")
+
+
+@query()
+def ablation(spark, d):
+    return experiments.ablation(_pairs_once(spark, d))
+
+
+@query()
+def sweep_policies(spark, d):
+    runs = experiments.sweep(_pairs_once(spark, d), range(3))
+    return metrics.band(runs, ("policy",), "f1")
+
+
+@query()
+def volume_experiment(spark, d):
+    return experiments.volume_experiment(_pairs_once(spark, d))
+
+
+@query("SELECT 9 AS wins, 1 AS losses, 22 / 1024.0::DOUBLE AS p UNION ALL SELECT 0, 0, 1.0 UNION ALL SELECT 5, 5, 1.0")
+def sign_test(spark, d):
+    cases = [(9, 1), (0, 0), (5, 5)]
+    return spark.createDataFrame([(a, b, metrics.sign_test(a, b)) for a, b in cases], "wins int, losses int, p double")
+
+
+@query("SELECT 173 AS successes, 173 AS trials, round(0.05::DOUBLE ** (1 / 173.0::DOUBLE), 9) AS bound UNION ALL SELECT 0, 10, 0.0")
+def lower_bound(spark, d):
+    cases = [(173, 173), (0, 10)]
+    rows = [(a, n, round(metrics.lower_bound(a, n), 9)) for a, n in cases]
+    return spark.createDataFrame(rows, "successes int, trials int, bound double")
+
+
+# --- entities
+
+
+def _records(spark, d) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.concat(F.lit("L"), "item_id").alias("record_id"), F.lit("left").alias("source"), F.col("text").alias("title"))
+    docs = table(spark, d, "documents").select(F.concat(F.lit("R"), "doc_id").alias("record_id"), F.lit("right").alias("source"), F.col("text").alias("title"))
+    return items.unionByName(docs)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    rest = [c for c in pairs.columns if c not in ("left_id", "right_id")]
+    return pairs.select(F.concat(F.lit("L"), "left_id").alias("left_id"), F.concat(F.lit("R"), "right_id").alias("right_id"), *rest)
+
+
+def _reach(edges: str, name: str) -> str:
+    """Recursive components over vertices ``v`` and edges given as (a, b)."""
+    return f"""{name}_e AS (SELECT a, b FROM ({edges}) UNION SELECT b, a FROM ({edges})),
+{name}_r AS (SELECT record_id AS v, record_id AS r FROM v UNION SELECT x.v, e.b FROM {name}_r x JOIN {name}_e e ON e.a = x.r),
+{name} AS (SELECT v AS record_id, min(r) AS entity FROM {name}_r GROUP BY v)"""
+
+
+VERTICES = "v AS (SELECT 'L' || item_id AS record_id, 'left' AS source FROM benchmark UNION ALL SELECT 'R' || doc_id, 'right' FROM documents)"
+ENTITIES = f"""WITH RECURSIVE {KNN}, {VERTICES},
+named AS (SELECT 'L' || left_id AS a, 'R' || right_id AS b, score, is_match FROM lab),
+acc AS (SELECT a, b FROM named WHERE score >= 0.3),
+tp AS (SELECT 'L' || left_id AS a, 'R' || right_id AS b FROM truth),
+{_reach('SELECT a, b FROM acc', 'ent')}, {_reach('SELECT a, b FROM tp', 'tru')}"""
+
+
+def _resolved(spark, d):
+    decided = _named(POLICIES["threshold only"](labelled(spark, d), 0.3))
+    records = _records(spark, d)
+    accepted = decided.where("keep")
+    found = entities.resolve(records, accepted)
+    true = entities.resolve(records, _named(truth(spark, d)))
+    return records, decided, accepted, found, true
+
+
+@query(f"{ENTITIES} SELECT record_id, entity FROM tru")
+def components_truth(spark, d):
+    return entities.resolve(_records(spark, d), _named(truth(spark, d)))
+
+
+@query(f"{ENTITIES} SELECT record_id, entity FROM ent")
+def components_accepted(spark, d):
+    return _resolved(spark, d)[3]
+
+
+@query(f"""{ENTITIES}, pr AS (SELECT x.record_id AS o, y.record_id AS t FROM ent x JOIN ent y ON x.entity = y.entity AND x.record_id < y.record_id)
+SELECT CASE WHEN acc.a IS NOT NULL THEN 'accepted by the matcher' WHEN n.a IS NOT NULL THEN 'scored, below the bar' ELSE 'never a candidate' END AS bucket,
+  count(*) AS pairs, count(*) FILTER (WHERE x.entity = y.entity) AS correct, count(*) FILTER (WHERE o[1] = t[1]) AS same_source
+FROM pr LEFT JOIN acc ON acc.a = o AND acc.b = t LEFT JOIN named n ON n.a = o AND n.b = t
+JOIN tru x ON x.record_id = o JOIN tru y ON y.record_id = t GROUP BY 1""")
+def closure_audit(spark, d):
+    records, decided, accepted, found, true = _resolved(spark, d)
+    audit = entities.closure_audit(found, accepted, decided, true, records)
+    return audit.select("bucket", "pairs", "correct", "same_source")
+
+
+@query(f"""{ENTITIES}, z AS (SELECT entity FROM ent GROUP BY 1 HAVING count(*) >= 3),
+pr AS (SELECT x.record_id AS o, y.record_id AS t FROM ent x JOIN ent y ON x.entity = y.entity AND x.record_id < y.record_id WHERE x.entity IN (FROM z))
+SELECT count(*) AS merges, count(*) FILTER (WHERE x.entity = y.entity) AS correct
+FROM pr LEFT JOIN acc ON acc.a = o AND acc.b = t JOIN tru x ON x.record_id = o JOIN tru y ON y.record_id = t WHERE acc.a IS NULL""")
+def closure_merges(spark, d):
+    _, _, accepted, found, true = _resolved(spark, d)
+    return entities.closure_merges(found, accepted, true)
+
+
+@query(f"""{ENTITIES}, a AS (SELECT entity, list_sort(list(record_id)) AS m FROM ent GROUP BY 1), b AS (SELECT list_sort(list(record_id)) AS m FROM tru GROUP BY entity)
+SELECT entity, len(m) AS size, m IN (SELECT m FROM b) AS exact FROM a""")
+def exact_entities(spark, d):
+    _, _, _, found, true = _resolved(spark, d)
+    return entities.exact_entities(found, true)
+
+
+@query(f"{ENTITIES}, a AS (SELECT entity, count(*) AS size FROM ent GROUP BY 1) SELECT size, count(*) AS entities FROM a GROUP BY 1")
+def entity_sizes(spark, d):
+    return entities.size_histogram(_resolved(spark, d)[3])
+
+
+@query(f"""{ENTITIES}, a AS (SELECT entity, count(*) AS n, count(DISTINCT source) AS s FROM ent JOIN v USING (record_id) GROUP BY 1) SELECT * FROM a WHERE n > s""")
+def same_source_entities(spark, d):
+    records, _, _, found, _ = _resolved(spark, d)
+    return entities.same_source_entities(found, records)
+
+
+@query(f"{ENTITIES} SELECT record_id, dense_rank() OVER (ORDER BY entity) AS entity_id FROM tru")
+def numbered_entities(spark, d):
+    records = _records(spark, d)
+    return entities.numbered(entities.resolve(records, _named(truth(spark, d))), records)[1]
+
+
+# --- the store
+
+
+def _record(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(
+        "doc_id", F.col("source"), F.col("text").alias("title"), F.nullif("lang", F.lit("")).alias("category"), F.col("n_chars").cast("double").alias("price")
+    )
+
+
+@query("SELECT source, count(*) AS records FROM documents GROUP BY 1")
+def store_report(spark, d):
+    return store.report(_record(spark, d))
+
+
+@query("SELECT source, unnest(['title', 'category', 'price']) AS column, unnest([count(text), count(nullif(lang, '')), count(n_chars)]) AS populated FROM documents GROUP BY source")
+def populated_counts(spark, d):
+    return store.populated(_record(spark, d), ["title", "category", "price"])
+
+
+@query("SELECT coalesce(nullif(lang, ''), '(none)') AS category, count(*) AS records FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
+def top_categories(spark, d):
+    return store.top_categories(_record(spark, d))
+
+
+@query("""SELECT coalesce(c.c_custkey, s.s_suppkey) AS id, coalesce(s.s_name, c.c_name) AS name, coalesce(s.s_nationkey, c.c_nationkey) AS nation
+FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey""")
+def upsert_coalesce(spark, d):
+    old = table(spark, d, "customer").selectExpr("c_custkey as id", "c_name as name", "c_nationkey as nation")
+    new = table(spark, d, "supplier").selectExpr("s_suppkey as id", "s_name as name", "s_nationkey as nation")
+    return store.merged(old, new, ["id"])
+
+
+@query()
+def perturb_titles(spark, d):
+    return perturbed(spark, d)[1]
+
+
+@query(f"""WITH {PARTS} SELECT upc, CASE WHEN u < 0.6 THEN 'shared' WHEN u < 0.85 THEN 'left' ELSE 'right' END AS part
+FROM (SELECT upc, ('0x' || substr(md5('0|part|' || upc), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p)""")
+def benchmark_parts(spark, d):
+    return raw_parts(spark, d).select("upc", G.part_of(F.col("upc")).alias("part"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Candidates, one-to-one decisions and the entities they make."""
+    decided = POLICIES["mutual best"](labelled(spark, sf_dir), 0.3)
+    return entities.resolve(_records(spark, sf_dir), _named(decided.where("keep")))
