@@ -27,16 +27,13 @@ def grams(key: Column | str) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     words = F.filter(F.split(F.coalesce(key, F.lit("")), r"\s+"), lambda w: w != "")
 
+    def runs(padded, n: int):
+        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
+        return F.when(F.length(padded) >= n, F.transform(starts, lambda i: F.substring(padded, i, F.lit(n))))
+
     def of(word):
         padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = [
-            F.when(
-                F.length(padded) >= n,
-                F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i, n=n: F.substring(padded, i, F.lit(n))),
-            ).otherwise(F.array().cast("array<string>"))
-            for n in SIZES
-        ]
-        return F.concat(*parts)
+        return F.concat(*[F.coalesce(runs(padded, n), F.array().cast("array<string>")) for n in SIZES])
 
     return F.flatten(F.transform(words, of))
 
