@@ -327,7 +327,6 @@ def word_bpe(path: str, end: int = 1):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        cache: dict[str, bytes] = {}
         last = int(end).to_bytes(4, "little")
 
         def encode(word: str) -> bytes:
@@ -339,17 +338,17 @@ def word_bpe(path: str, end: int = 1):
                 ids = whole.encode(word, add_special_tokens=False).ids
             return np.array(ids, dtype="<u4").tobytes()
 
+        class Known(dict):
+            def __missing__(self, word: str) -> bytes:
+                if len(self) >= 400_000:
+                    self.clear()
+                self[word] = found = encode(word)
+                return found
+
+        look_up = Known().__getitem__
+
         def tokenize(text: str) -> bytes:
-            out = []
-            for word in text.replace("\n", " ").split(" "):
-                got = cache.get(word)
-                if got is None:
-                    if len(cache) >= 400_000:
-                        cache.clear()
-                    got = cache[word] = encode(word)
-                out.append(got)
-            out.append(last)
-            return b"".join(out)
+            return b"".join(map(look_up, text.replace("\n", " ").split(" "))) + last
 
         return tokenize
 
