@@ -3,8 +3,8 @@
 Documents are sets of hashed word shingles, and 1 minus their Jaccard similarity is a metric. Equal sets
 are one point. A plain choice of pivots can't tell texts apart (almost every distance is 1), so regions
 come first from what a link needs: under one order of all shingles, common ones last, two linked sets
-share one of their first ``n - ceil(0.8 n) + 1`` shingles. All points with such a shingle are a region
-and its smallest point is the pivot.
+share one of their first ``n - ceil(0.8 n) + 1`` shingles. The smallest point with such a shingle is a
+pivot, and the points that share one with it are its region.
 
 1. Every point meets the pivots of its regions, a number in proportion to the points. A bound from the
    first shingles alone rejects most of these meetings, texts decide the others exactly, and each point
@@ -13,8 +13,9 @@ and its smallest point is the pivot.
    all in one class is done. In the others, the class of the pivot is the core and the points outside are
    the boundary; only they can still add a link. They meet the points of the region whose intervals lie
    within the radius of theirs (triangle inequality) and whose sizes allow a link.
-3. Regions with a large boundary take their next pivots, ``PIVOTS`` at once, from the boundary and go
-   through the same steps again, until no region is left with two classes.
+3. Regions with a large boundary take ``PIVOTS`` more pivots and fall into their Voronoi regions, with
+   points replicated to all regions within the window. These go through the same steps again, until no
+   region is left with two classes.
 
 Nothing is capped: common shingles come last in the order but still count, and a region ends only when it
 has one class or all its remaining meetings have been decided.
@@ -35,10 +36,10 @@ from .shingles import identity, shingle_set
 
 #: Links need 100 * intersection >= LINK * union.
 LINK = 80
-#: A shingle that begins more than this many texts comes late in the order; at most so many are set back.
+#: A shingle met in more than this many texts comes late in the order; at most so many are set back.
 COMMON, MAX_COMMON = 16, 200_000
 #: Regions whose boundary is at most so large decide all their meetings; others take more pivots first.
-BOUNDARY, PIVOTS = 64, 16
+BOUNDARY, PIVOTS = 64, 8
 #: Up to so many texts are picked by a broadcast of their ids; beyond, by a shuffle.
 MAX_BROADCAST = 500_000
 RADIUS = 1 - LINK / 100
@@ -59,14 +60,19 @@ def ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def _common(docs: DataFrame) -> np.ndarray:
-    """The shingles that begin most texts, from counts over all texts."""
-
-    def begins(texts: list[str | None]) -> list:
-        sets = [ordered(shingle_set(t), np.zeros(0)) for t in texts]
-        return [[s[: first_count(len(s)) * 5 // 4 + 1].view(np.int64) for s in sets]]
-
-    rows = map_texts(docs.select("_text"), "_text", begins, "h array<bigint>").select(F.explode("h").alias("h"))
-    counts = rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > COMMON)
+    """Shingles to set back in the order: those met more than ``COMMON`` times in all texts, by counts that
+    leave out what occurs once in a batch of texts. They decide how much work there is, not the result."""
+
+    def repeated(texts: list[str | None]) -> list:
+        sets = {identity(s): s for s in map(shingle_set, texts) if len(s)}
+        keys = np.concatenate([s >> np.uint64(1) for s in sets.values()] or [np.zeros(0, np.uint64)])
+        found, n = np.unique(keys, return_counts=True)
+        found, n = found[n > 1].view(np.int64), n[n > 1]
+        return [[found, *[None] * (len(texts) - 1)], [n, *[None] * (len(texts) - 1)]]
+
+    rows = map_texts(docs.select("_text"), "_text", repeated, "h array<bigint>, n array<bigint>").where("h is not null")
+    rows = rows.select(F.inline(F.arrays_zip("h", "n")))
+    counts = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
     found = counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
     return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
 
@@ -194,7 +200,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             "met",
         )
 
-    todo = meet_pivots(regions.select(F.col("h").alias("r"), F.lit(1 << 62).alias("parent"), "v", "n", "pivot"))
+    # Regions with one pivot are one region: copies share many shingles, and so many regions.
+    merged = regions.select(F.col("pivot").alias("r"), "v", "n", "pivot").distinct()
+    todo = meet_pivots(merged.withColumn("parent", F.lit(1 << 62)))
     while True:
         of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
         of = stored(of, "classes")
@@ -220,11 +228,15 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if not large.head(1):
             break
         # Voronoi regions of the next pivots: a point goes to its nearest pivot's region, and to every other
-        # one whose pivot is at most twice the radius further away.
+        # one whose pivot is at most twice the radius further away. Pivots are half the points nearest to the
+        # old pivot, for what many copies were made from is near each of them, and half boundary points.
         left = rest.join(large, "r")
-        order = Window.partitionBy("r").orderBy("v")
-        picked = left.where("not core").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= PIVOTS)
-        picked = picked.select("r", F.col("v").alias("pivot"))
+        near_first = Window.partitionBy("r").orderBy("low", "high", "v")
+        outside = Window.partitionBy("r").orderBy(F.col("core"), F.xxhash64("v"), "v")
+        half = PIVOTS // 2
+        picked = left.withColumn("_k", F.row_number().over(near_first)).where(F.col("_k") <= half).select("r", F.col("v").alias("pivot"))
+        others = left.withColumn("_k", F.row_number().over(outside)).where(F.col("_k") <= half).select("r", F.col("v").alias("pivot"))
+        picked = stored(picked.union(others).distinct(), "pivots")
         cells = left.select("r", F.col("size").alias("parent"), "v", "n").join(picked, "r")
         cells = meet_pivots(cells)
         nearest = cells.groupBy("r", "v").agg(F.min("high").alias("_nearest"))
