@@ -139,16 +139,15 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 60, ridge: float = 1e
         starts = {i - i % width for i in (hits[:64] if y else hits[:8])} | ({0} if k % 4 == 0 else set())
         for s in sorted(starts):
             run = words[s : s + width]
-            if len(run) == width or not s:
-                runs.append([known(w) for w in run] + [()] * (width - len(run)))
-                tags.append([int(bool(y and f)) for f in runs[-1]])
+            runs.append([known(w) for w in run] + [()] * (width - len(run)))
+            tags.append([int(bool(y and f)) for f in runs[-1]])
     tag = np.array(tags)
     rows, cols = [], []
     for r, run in enumerate(runs):
         for t, fs in enumerate(run):
             rows += [r * width + t] * len(fs)
             cols += fs
-    rows, cols = np.array(rows), np.array(cols)
+    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
     m = len(index)
     w, speed = np.zeros(m + 5), np.zeros(m + 5)
     w[m] = -4.0
