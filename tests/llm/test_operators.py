@@ -1,0 +1,213 @@
+import base64
+import hashlib
+import io
+import zipfile
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from braidwork.llm import archives, fingerprints, jaccard_join, mixing, packing, pii, quality_rules, toxicity, url_filter
+from braidwork.llm import quality_classifier as qc
+from braidwork.llm.shingles import shingle_set
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or ""), "x") for i, t in enumerate(texts)], DOCS)
+
+
+def plain_components(texts):
+    sets = []
+    for t in texts:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in (t or "")).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    return [(len(s), r) for s, r in zip(sets, root)]
+
+
+def test_jaccard_join(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    monkeypatch.setattr(jaccard_join, "BOUNDARY", 2)
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in rng.integers(0, 9999, 80)]
+    texts = [None, "", "one two", "ONE two", " ".join(base), " ".join(base)]
+    for _ in range(25):  # near and less near copies of one text
+        w = list(base)
+        for k in rng.integers(0, 80, int(rng.integers(1, 4))):
+            w[k] = f"x{rng.integers(0, 9999)}"
+        texts.append(" ".join(w))
+    passage = " ".join(base[:20])
+    texts += [passage + " " + " ".join(f"y{k}" for k in rng.integers(0, 9999, 40)) for _ in range(10)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_components(texts)))
+    assert jaccard_join.jaccard_join(docs(spark, texts).limit(0)).count() == 0
+    kept = {r["doc_id"] for r in jaccard_join.one_per_class(docs(spark, texts)).collect()}
+    assert kept == {0, 1} | {c for n, c in plain_components(texts) if n}
+
+
+def test_shingles():
+    assert len(shingle_set(None)) == 0 and len(shingle_set("a b")) == 1
+    assert len(shingle_set("a b c d e f a b c d e")) == 6 and (shingle_set("A b") == shingle_set("a\nb ")).all()
+
+
+def test_fingerprints(spark):
+    texts = ["word " * 3, None, "", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(300)), "日本語のテキスト"]
+    rows = fingerprints.fingerprints(docs(spark, texts)).orderBy("doc_id").collect()
+    assert rows[1]["fingerprint"] == rows[2]["fingerprint"] == "" and rows[3]["fingerprint"] == rows[4]["fingerprint"] != ""
+    got = fingerprints.with_successor(docs(spark, texts).select("doc_id", "text"), ["text"]).collect()
+    assert {r["doc_id"]: r["next_text"] for r in got} == {i: texts[i - 1] for i in range(6)}
+
+
+def test_quality_rules(spark):
+    texts = ["a b c d e f a b c d e g h", None, "", "x\ny\nx\n \n#x", "one two three four five six seven eight nine ten eleven"]
+    trusted = spark.createDataFrame([(4,)], "doc_id long")
+    rows = {r["doc_id"]: r for r in quality_rules.quality_rules(docs(spark, texts), trusted, n=64).collect()}
+    assert rows[0]["n_repeat_words"] == 10 and rows[0]["base_failed"] and rows[3]["n_dup_lines"] == 1 and rows[3]["n_symbols"] == 1
+    assert rows[1]["n_words"] == 0 and rows[1]["llr"] == 0.0 and not rows[2]["kept"]
+    raw, target = Counter(), Counter()
+    def grams(t):
+        w = (t or "").split()
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        two = [xxhash.xxh64_intdigest(b.encode(), h[i]) for i, b in enumerate(w[1:])]
+        return [(x - (1 << 64) if x >> 63 else x) % 64 for x in h + two]
+    for i, t in enumerate(texts):
+        raw.update(grams(t))
+        target.update(grams(t) if i == 4 else [])
+    n, m = sum(raw.values()) + 64, sum(target.values()) + 64
+    ratio = {k: np.log((target[k] + 1) / m) - np.log((raw[k] + 1) / n) for k in range(64)}
+    for i, t in enumerate(texts):
+        if g := grams(t):
+            assert abs(rows[i]["llr"] - np.mean([ratio[k] for k in g])) < 1e-9
+
+
+def test_pii(spark):
+    f = pii.Feistel(b"k")
+    for size in (2, 3, 10, 97, 1000):
+        made = [f.permute(i, size) for i in range(size)]
+        assert sorted(made) == list(range(size)) and all(i != x for i, x in enumerate(made))
+        assert [f.permute(x, size, back=True) for x in made] == list(range(size))
+    text = "call +1 (269) 555-3296, card 4111 1111 1111 1111 or 4111111111111111, a.b@x.org at 10.1.2.3 on 2024-02-29; id 123-45-6789, DE89370400440532013000, 1234567890123"
+    new, spans = pii.pseudonymise(text, f)
+    assert Counter(k for k, _, _ in spans) == {"phone": 1, "card": 2, "mail": 1, "address": 1, "date": 1, "social": 1, "iban": 1}
+    assert pii.pseudonymise(new, f, back=True)[0] == text and new.endswith("1234567890123") and len(new) == len(text)
+    cards = [new[a:b].replace(" ", "") for k, a, b in spans if k == "card"]
+    assert cards[0] == cards[1] and pii.luhn(cards[0]) and cards[0] != "4111111111111111"
+    rows = pii.pseudonyms(docs(spark, [None, "", "clean text", text])).orderBy("doc_id").collect()
+    assert [r["text"] for r in rows[:3]] == [None, "", "clean text"] and rows[3]["text"] != text
+
+
+def test_urls(spark):
+    urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/x#y", "http://b.net/es/2", None, "none", "http://c.org/fr/9", "HTTP://d.example.COM/de/"]
+    df = spark.createDataFrame([(u, None) for u in urls], "url string, label int")
+    rows = [(r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(df).collect()]
+    assert sorted(rows, key=str) == sorted([
+        ("a.example.com", "/en/1", "example.com/en/", "block"), ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        ("b.net", "/es/2", "net/es/", "block"), ("", "", None, "allow"), ("", "", None, "allow"), ("c.org", "/fr/9", None, "allow"),
+        ("d.example.com", "/de/", "com/", "allow"),
+    ], key=str)
+    bad = [(f"http://h.org/{s}/{i}", int(s == "good")) for s in ("good", "spam") for i in range(40)]
+    got = url_filter.url_filter(spark.createDataFrame(bad, "url string, label int"))
+    assert {(r["template"], r["verdict"]) for r in got.collect()} == {("/good/*", "allow"), ("/spam/*", "block")}
+
+
+def test_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(3, "http://a", "x"), (1, None, "x"), (2, "http://b c", None), (5, "u", "")], "page_id long, url string, html string")
+    packages = archives.archive(pages, f"file://{tmp_path}/p")
+    rows = {r["page_id"]: r for r in archives.read_packages(packages, payload=True).collect()}
+    assert [rows[i]["record_type"] for i in (1, 2, 3, 5)] == ["response", "response", "revisit", "revisit"]
+    assert rows[3]["refers_to"] == 1 and rows[5]["refers_to"] == 2 and rows[3]["payload_bytes"] == 1 and rows[1]["payload"] == b"x"
+    assert rows[3]["payload_digest"] == base64.b32encode(hashlib.sha1(b"x").digest()).decode()
+
+
+def test_zip64_directory():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        with z.open("archive/data.warc.gz", "w", force_zip64=True) as f:
+            f.write(archives.record_bytes(1, "u", b"payload", None))
+    size = out.seek(0, 2)
+    (start, n), = archives.ranges(out, size)
+    out.seek(start)
+    assert archives.parsed(archives.parse_record(next(archives.records(out.read(n)))))[5] == b"payload"
+    with pytest.raises(ValueError):
+        archives.directory(io.BytesIO(b"not a package"), 13)
+
+
+def test_packing(spark):
+    rng = np.random.default_rng(1)
+    lengths = Counter(np.clip(rng.lognormal(6, 1, 3000).astype(int), 1, 4096).tolist()) + Counter({4096: 20})
+    seen, filled = Counter(), defaultdict(list)
+    for length, rank, n, first, offset in packing.plan(dict(lengths)):
+        assert rank == seen[length]
+        seen[length] += n
+        for j in range(n):
+            filled[first + j].append((offset, length))
+    assert seen == lengths
+    for parts in filled.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 4096
+    assert len(filled) <= 1.01 * -(-sum(k * n for k, n in lengths.items()) // 4096) + 1
+    rows = packing.pack(docs(spark, [None, "", "a" * 9, "bcd"]), lambda: lambda t: bytes(4 * (len(t) + 1)), capacity=4).collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"]) for r in rows) == [(0, 0, 1), (1, 0, 1), (2, 0, 4), (2, 1, 4), (2, 2, 2), (3, 0, 4)]
+    assert len({r["sequence_id"] for r in rows}) == 4
+
+
+def test_tokenizer_short_way():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, short = Tokenizer.from_file(path), packing.word_bpe(path)()
+    for t in ["It's <|endoftext|> don't\tx ﬁ Σίσυφος İstanbul 1²3 é 漢字", "", "  a\r\nb ", "we'LL 'tis can't''s ŉ ſ Größe"]:
+        assert short(t) == np.array([*whole.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
+
+
+def test_mixing(spark):
+    rows = mixing.mix(docs(spark, ["t"] * 300).withColumn("source", F.when(F.col("doc_id") < 100, "a").otherwise("b")))
+    n = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    assert 110 < n["a"] < 195 and 110 < n["b"] < 195
+    assert mixing.mix(docs(spark, ["t"]).limit(0)).count() == 0
+    assert mixing.mix(docs(spark, ["t"] * 30).withColumn("source", F.lit(None).cast("string"))).count() > 0
+
+
+def test_quality_classifier():
+    good = ["This is a text of usual words, nothing odd. It goes on %d." % i for i in range(60)]
+    junk = ["###  $$$ %%% ||| x" * (1 + i % 5) for i in range(60)]
+    x, y = np.array([qc.statistics(t) for t in good + junk]), np.array([1] * 60 + [0] * 60)
+    model = qc.Discriminant(x, y)
+    s = model.scores(x)
+    assert s[:60].min() > 0.7 > s[60:].max() and 0 <= model.scores(np.array([qc.statistics(None)]))[0] <= 1
+    assert qc.Discriminant(x[:60], y[:60]).scores(x)[0] == 1.0
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(2)
+    word = lambda: "w" + str(rng.integers(0, 500))
+    data = [([word() for _ in range(30)] + (["nasty" + "abc"[i % 3]] if i % 2 else []), i % 2) for i in range(400)]
+    chain = toxicity.train(data)
+    score, spans = toxicity.tag_text(chain, "w1 w2 NASTYa! w3")
+    assert score > 0.5 and [(a, b) for a, b, _ in spans] == [(6, 13)]
+    assert toxicity.tag_text(chain, "w1 w2 w3")[0] < 0.5 and toxicity.tag_text(chain, None) == (0.0, [])
+    # Marginals against all tag sequences.
+    words, step = ["w1", "nastya", "w2", "nastyb"], np.exp(chain.transition)
+    added = [chain.potential(w) for w in words]
+    emit = [np.exp([0, chain.bias + (a or 0)]) for a in added]
+    total, hit = 0.0, np.zeros(4)
+    for k in range(16):
+        tags = [k >> i & 1 for i in range(4)]
+        p = np.prod([emit[i][t] for i, t in enumerate(tags)]) * np.prod([step[a, b] for a, b in zip(tags, tags[1:])])
+        total, hit = total + p, hit + p * np.array(tags)
+    at = [i for i, a in enumerate(added) if a is not None]
+    assert np.allclose(chain.marginals(4, at, [added[i] for i in at]), (hit / total)[at])
+    assert toxicity.without_toxic(docs(spark, ["w1 nastya", "w2", None]), chain).count() == 2
