@@ -12,7 +12,8 @@ pivot, and the points that share one with it are its region.
 2. Points within the radius of a pivot are linked to it, and links make classes. A region whose points are
    all in one class is done. In the others, the class of the pivot is the core and the points outside are
    the boundary; only they can still add a link. They meet the points of the region whose intervals lie
-   within the radius of theirs (triangle inequality) and whose sizes allow a link.
+   within the radius of theirs (triangle inequality) and whose sizes allow a link, as do their places: what
+   comes before the first shingle that a set has in the region is not shared.
 3. Regions with a large boundary take ``PIVOTS`` more pivots and fall into their Voronoi regions, with
    points replicated to all regions within the window. These go through the same steps again, until no
    region is left with two classes.
@@ -144,6 +145,11 @@ def _sizes_allow(n, m):
     return 100 * F.least(n, m) >= LINK * F.greatest(n, m)
 
 
+def _shared_allow(shared, n):
+    """Two sets whose sizes add up to ``n`` can link if they share at most ``shared`` shingles."""
+    return (100 + LINK) * shared >= LINK * n
+
+
 def _meet(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
     """For distinct pairs (a, b): ``low`` and ``high`` bounds of the distance, and ``link``; stored."""
     bounded = stored(_bound(pairs, points), "bounds")
@@ -176,14 +182,14 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         made.where("n > 0").groupBy("code").agg(F.min("_row").alias("row"), F.first("n").alias("n"), F.first("first").alias("first")),
         "points",
     ).withColumn("v", F.col("row"))
-    begins = points.select("v", "n", F.explode("first").alias("h"))
+    begins = points.select("v", "n", F.posexplode("first").alias("pos", "h"))
     shared = begins.groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("pivot")).where("k > 1").select("h", "pivot")
-    regions = stored(begins.join(shared, "h"), "regions")  # h, v, n, pivot
+    regions = stored(begins.join(shared, "h"), "regions")  # h, v, n, pos, pivot
 
     links = spark.createDataFrame([], "a bigint, b bigint")
 
     def meet_pivots(todo: DataFrame) -> DataFrame:
-        """``todo`` (r, parent, v, n, pivot) with the interval of each distance; links are kept."""
+        """``todo`` (r, parent, v, n, pos, pivot) with the interval of each distance; links are kept."""
         nonlocal links
         size = points.select(F.col("v").alias("pivot"), F.col("n").alias("m"))
         pairs = todo.where("v <> pivot").select("v", "pivot", "n").distinct().join(size, "pivot")
@@ -201,7 +207,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
 
     # Regions with one pivot are one region: copies share many shingles, and so many regions.
-    merged = regions.select(F.col("pivot").alias("r"), "v", "n", "pivot").distinct()
+    # Two linked sets are both in the region of the first shingle that they share, and ``pos`` isn't beyond it.
+    merged = regions.groupBy(F.col("pivot").alias("r"), "v", "n", "pivot").agg(F.min("pos").alias("pos"))
     todo = meet_pivots(merged.withColumn("parent", F.lit(1 << 62)))
     while True:
         of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
@@ -218,10 +225,12 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         counts = stored(counts.select("r", "size", last.alias("last")), "open")
         rest = inside.where("v <> pivot")  # pivots have met all points of their region
         here = rest.join(counts.where("last").select("r"), "r", "left_semi")
-        edge = here.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "class", "low", "high")])
+        edge = here.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high")])
         near = (F.col("low_a") <= F.col("high") + RADIUS) & (F.col("low") <= F.col("high_a") + RADIUS)
         other = (F.col("class_a") != F.col("class")) & (F.col("core") | (F.col("v_a") < F.col("v")))
-        pairs = here.join(edge, "r").where(near & other & _sizes_allow(F.col("n"), F.col("n_a")))
+        shared = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
+        allowed = _sizes_allow(F.col("n"), F.col("n_a")) & _shared_allow(shared, F.col("n") + F.col("n_a"))
+        pairs = here.join(edge, "r").where(near & other & allowed)
         more = _meet(pairs.select(F.col("v_a").alias("a"), F.col("v").alias("b")).distinct(), docs, points)
         links = stored(links.union(more.where("link").select("a", "b")), "links")
         large = counts.where("not last").select("r", "size")
@@ -237,7 +246,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         picked = left.withColumn("_k", F.row_number().over(near_first)).where(F.col("_k") <= half).select("r", F.col("v").alias("pivot"))
         others = left.withColumn("_k", F.row_number().over(outside)).where(F.col("_k") <= half).select("r", F.col("v").alias("pivot"))
         picked = stored(picked.union(others).distinct(), "pivots")
-        cells = left.select("r", F.col("size").alias("parent"), "v", "n").join(picked, "r")
+        cells = left.select("r", F.col("size").alias("parent"), "v", "n", "pos").join(picked, "r")
         cells = meet_pivots(cells)
         nearest = cells.groupBy("r", "v").agg(F.min("high").alias("_nearest"))
         cells = cells.join(nearest, ["r", "v"]).where(F.col("low") <= F.col("_nearest") + 2 * RADIUS)
