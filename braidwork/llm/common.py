@@ -10,15 +10,20 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.lineage import checkpoint_dir, released, stored
 
-
-
-__all__ = ["checkpoint_dir", "literal_doubles", "map_texts", "released", "stored", "table", "text_or_empty", "window_hashes", "words"]
+__all__ = ["checkpoint_dir", "literal_doubles", "map_texts", "released", "small_batches", "stored", "table", "text_or_empty", "window_hashes", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Limits what Arrow batches hold, so that long texts don't fill a worker; a limit set before stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, "8m")
+
+
 def words(text: Column | str) -> Column:
     """The words of a text in order; null and empty texts have none.
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import map_texts, released, stored, table
+from .common import map_texts, released, small_batches, stored, table
 from .shingles import identity, shingle_set
 
 #: Links need 100 * intersection >= LINK * union.
@@ -169,6 +169,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The second table has ``v`` and ``class`` for points with a link to another one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     common = _common(docs)
 
     def measured(texts: list[str | None]) -> list:
