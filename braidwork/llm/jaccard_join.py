@@ -178,9 +178,9 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return [[len(s) for s in sets], [identity(s) for s in sets], firsts]
 
     made = map_texts(docs.select("_row", "_text"), "_text", measured, "n bigint, code bigint, first array<bigint>")
-    rows = stored(made.where("n > 0").select("_row", "n", "code"), "sets")
+    rows = stored(made.where("n > 0"), "sets")
     points = stored(
-        made.where("n > 0").groupBy("code").agg(F.min("_row").alias("row"), F.first("n").alias("n"), F.first("first").alias("first")),
+        rows.groupBy("code").agg(F.min("_row").alias("row"), F.first("n").alias("n"), F.first("first").alias("first")),
         "points",
     ).withColumn("v", F.col("row"))
     begins = points.select("v", "n", F.posexplode("first").alias("pos", "h"))
