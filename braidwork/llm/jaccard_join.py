@@ -44,6 +44,8 @@ BOUNDARY, PIVOTS = 64, 8
 #: Up to so many texts are picked by a broadcast of their ids; beyond, by a shuffle.
 MAX_BROADCAST = 500_000
 RADIUS = 1 - LINK / 100
+#: Distances are floats, so bounds that can be met exactly are compared with this to spare.
+TOLERANCE = 1e-9
 _TOP = np.uint64(1) << np.uint64(63)
 
 
@@ -153,10 +155,10 @@ def _shared_allow(shared, n):
 def _meet(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
     """For distinct pairs (a, b): ``low`` and ``high`` bounds of the distance, and ``link``; stored."""
     bounded = stored(_bound(pairs, points), "bounds")
-    close = bounded.where(F.col("low") <= RADIUS + 1e-9)
+    close = bounded.where(F.col("low") <= RADIUS + TOLERANCE)
     exact = _decide(close, docs, points)
     rows = exact.select("a", "b", F.col("distance").alias("low"), F.col("distance").alias("high"), "link").union(
-        bounded.where(F.col("low") > RADIUS + 1e-9).select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link"))
+        bounded.where(F.col("low") > RADIUS + TOLERANCE).select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link"))
     )
     met = stored(rows, "meetings")
     released(bounded)
@@ -227,7 +229,8 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = inside.where("v <> pivot")  # pivots have met all points of their region
         here = rest.join(counts.where("last").select("r"), "r", "left_semi")
         edge = here.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high")])
-        near = (F.col("low_a") <= F.col("high") + RADIUS) & (F.col("low") <= F.col("high_a") + RADIUS)
+        window = RADIUS + TOLERANCE
+        near = (F.col("low_a") <= F.col("high") + window) & (F.col("low") <= F.col("high_a") + window)
         other = (F.col("class_a") != F.col("class")) & (F.col("core") | (F.col("v_a") < F.col("v")))
         shared = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
         allowed = _sizes_allow(F.col("n"), F.col("n_a")) & _shared_allow(shared, F.col("n") + F.col("n_a"))
@@ -250,7 +253,7 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         cells = left.select("r", F.col("size").alias("parent"), "v", "n", "pos").join(picked, "r")
         cells = meet_pivots(cells)
         nearest = cells.groupBy("r", "v").agg(F.min("high").alias("_nearest"))
-        cells = cells.join(nearest, ["r", "v"]).where(F.col("low") <= F.col("_nearest") + 2 * RADIUS)
+        cells = cells.join(nearest, ["r", "v"]).where(F.col("low") <= F.col("_nearest") + 2 * RADIUS + TOLERANCE)
         todo = stored(cells.withColumn("r", F.xxhash64("r", "pivot")).drop("_nearest"), "cells")
     of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
     return rows.join(points.select("code", "v"), "code").select("_row", "n", "v"), of

@@ -54,6 +54,16 @@ def test_jaccard_join(spark, monkeypatch):
     assert kept == {0, 1} | {c for n, c in plain_components(texts) if n}
 
 
+def test_links_of_exactly_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
+    w = [f"w{k}" for k in range(104)]
+    texts = [" ".join(w[:84]), " ".join(w), " ".join(w[20:])]  # 0.8, 0.8 and 0.6
+    for i in range(24):  # the first and the last 20 shingles are common, so all regions have the first text as pivot
+        texts.append(" ".join((w[:24] if i % 2 else w[80:]) + [f"y{i}_{k}" for k in range(40)]))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_components(texts))) and got[2] == (80, 0)
+
+
 def test_shingles():
     assert len(shingle_set(None)) == 0 and len(shingle_set("a b")) == 1
     assert len(shingle_set("a b c d e f a b c d e")) == 6 and (shingle_set("A b") == shingle_set("a\nb ")).all()
