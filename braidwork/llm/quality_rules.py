@@ -18,8 +18,6 @@ from .common import literal_doubles, table, text_or_empty, window_hashes, words
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 MIN_SCORE = -0.15
-#: At most so many trusted documents, those of the lowest hash, make up the trusted multinomial.
-TRUSTED_LIMIT = 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -101,21 +99,22 @@ def fit_ratio(docs: DataFrame, trusted: str, text: str = "text", n: int = BUCKET
 
 def quality_rules(
     docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id",
-    n: int = BUCKETS, min_score: float = MIN_SCORE, trusted_limit: int = TRUSTED_LIMIT,
+    n: int = BUCKETS, min_score: float = MIN_SCORE,
 ) -> DataFrame:
     """A row per row of ``docs``: ``doc_id``, base counts, ``llr`` and ``kept``.
 
-    ``trusted_ids`` has the trusted documents' ``doc_id``s; a sample of ``trusted_limit`` of them is
-    broadcast to mark their texts, the raw counts cover every document. Null and empty texts have no words, an
+    ``trusted_ids`` has the trusted documents' ``doc_id``s; a join marks all their texts, by
+    a shuffle where the ids are many, and both counts cover every document that they are of. Null and empty texts have no words, an
     ``llr`` of 0, and fail the base rules; repeated rows are judged alike; an empty table gives an
     empty result; other columns of ``docs``, whatever their names, are not read.
 
     A document's n-grams are scored where it is read; its sums are the only rows that move.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    ids = trusted_ids.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(trusted_limit).withColumn("_trusted", F.lit(True))
-    marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left")
+    ids = trusted_ids.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(True))
+    # Rows without an id would all meet in one task of a shuffle.
+    marked = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left").select("_text", "_trusted")
+    marked = marked.unionByName(docs.where("doc_id is null").select("_text", F.lit(False).alias("_trusted")))
     ratio = fit_ratio(marked, "_trusted", "_text", n)
     weights = literal_doubles(ratio)
     keys = ["_row", "doc_id", "n_symbols", "n_dup_lines", "n_repeat_words"]

@@ -99,6 +99,12 @@ def test_quality_rules(spark):
             assert abs(rows[i]["llr"] - np.mean([ratio[k] for k in g])) < 1e-9
 
 
+def test_all_trusted_documents_count(spark):
+    rows = spark.range(50_100).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    made = quality_rules.quality_rules(rows, rows.select("doc_id"), n=64)  # trusted and raw counts are the same
+    assert made.agg(F.max(F.abs("llr"))).first()[0] == 0.0
+
+
 def test_pii(spark):
     f = pii.Feistel(b"k")
     for size in (2, 3, 10, 97, 1000):
