@@ -111,6 +111,8 @@ def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
     digits = _bare(rest)
     if not 7 <= len(_bare(code)) + len(digits) <= 15 or len(digits) < 6:
         return None
+    if _bare(code) == "1" and len(digits) != 10:
+        return None
     if len(digits) == 10 and _bare(code) in ("", "1"):
         if digits[0] not in "23456789" or digits[3] not in "23456789":
             return None
@@ -212,31 +214,67 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("date", r"(?<![\w.,/-])(?:(?P<a>\d{4}|\d{1,2})(?P<mark>[-/.])(?P<b>\d{1,2})(?P=mark)(?P<c>(?<=.)\d{4}|\d{1,2}))(?![\w/-])(?!\.\d)", _date),
     ("social", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
     ("address", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", _address),
-    ("phone", r"(?<![\w.+-])(?P<code>\+\d{1,3}[ .-]?)(?P<rest>(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\d{6,12})(?![\w-])", _phone),
+    ("phone", r"(?<![\w.+-])(?P<code>\+(?:1|[02-9]\d{0,2})[ .-]?)(?P<rest>(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\d{6,12})(?![\w-])", _phone),
     ("phone", r"(?<![\w.+-])(?P<code>)(?P<rest>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\w-])", _phone),
     ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
 ]
-_COMPILED = [(kind, re.compile(pattern, re.ASCII), f) for kind, pattern, f in KINDS]
+#: With what must not follow a match, for ends that are tried besides the first.
+_COMPILED = [
+    (kind, re.compile(pattern, re.ASCII), re.compile(pattern[pattern.rindex("(?![") :], re.ASCII), f) for kind, pattern, f in KINDS
+]
 _HINT = re.compile(r"[0-9@]")
 
 
+def _ends(pattern: re.Pattern, tail: re.Pattern, text: str, m: re.Match, stop: int):
+    """The match and, from its start, those that end sooner, the longest first; none goes beyond ``stop``."""
+    if m.end() <= stop:
+        yield m
+    for end in range(min(m.end() - 1, stop), m.start() + 5, -1):
+        if tail.match(text, end) and (shorter := pattern.fullmatch(text, m.start(), end)):
+            yield shorter
+
+
+def _first_valid(ends, f: Callable, feistel: Feistel, back: bool) -> tuple[re.Match, str] | None:
+    for m in ends:
+        new = f(feistel, m, back)
+        if new is not None:
+            return m, new
+    return None
+
+
 def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tuple[str | None, list[tuple[str, int, int]]]:
     """The text with every value found replaced, and kind, start and end (in the new text) of each."""
     if not text or not _HINT.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
-    for kind, pattern, f in _COMPILED:
+    for kind, pattern, tail, f in _COMPILED:
         if kind == "mail" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(taken[a:b]):
+        at = 0
+        while m := pattern.search(text, at):
+            a, at = m.start(), m.end()
+            stop = taken.find(1, a, at)
+            stop = at if stop < 0 else stop
+            valid = _first_valid(_ends(pattern, tail, text, m, stop), f, feistel, back)
+            if valid is None:
+                if stop < at:  # on behind the text that is taken
+                    at = taken.find(0, stop)
+                    if at < 0:
+                        break
                 continue
-            new = f(feistel, m, back)
-            if new is not None:
-                found.append((a, b, kind, new))
-                taken[a:b] = b"\1" * (b - a)
+            b, new = valid[0].end(), valid[1]
+            # A pseudonym that would be read on beyond its end is walked on to one that isn't, so it can be turned back.
+            while b < min(m.end(), stop):
+                changed = text[:a] + new + text[b:]
+                again = pattern.match(changed, a)
+                read = again and _first_valid(_ends(pattern, tail, changed, again, stop), f, feistel, back)
+                if not read or read[0].end() == b:
+                    break
+                new = f(feistel, pattern.fullmatch(changed, a, b), back)
+            found.append((a, b, kind, new))
+            taken[a:b] = b"\1" * (b - a)
+            at = b
     if not found:
         return text, []
     out, spans, last, size = [], [], 0, 0

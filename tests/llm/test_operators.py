@@ -121,6 +121,21 @@ def test_pii(spark):
     assert [r["text"] for r in rows[:3]] == [None, "", "clean text"] and rows[3]["text"] != text
 
 
+def test_pii_shorter_ends():
+    f = pii.Feistel(b"k")
+    alone = pii.pseudonymise("+1 (269) 555-3296", f)[0]
+    for after in (" 190.137.223.204", " 12 times", ", 12"):
+        new, spans = pii.pseudonymise("+1 (269) 555-3296" + after, f)
+        assert new.startswith(alone + after[0]) and spans[0] == ("phone", 0, 17)
+        assert pii.pseudonymise(new, f, back=True)[0] == "+1 (269) 555-3296" + after
+    for k in range(200):  # the longer run of digits is a valid number now and then
+        start = f"4111 1111 {k:04d} 111"
+        card = start + next(d for d in "0123456789" if pii.luhn((start + d).replace(" ", "")))
+        text = f"{card} 12 items"
+        new, spans = pii.pseudonymise(text, f)
+        assert [s[0] for s in spans] == ["card"] and pii.pseudonymise(new, f, back=True)[0] == text
+
+
 def test_urls(spark):
     urls = ["http://A.example.com/en/1?x", "https://www.example.com/en/x#y", "http://b.net/es/2", None, "none", "http://c.org/fr/9", "HTTP://d.example.COM/de/"]
     df = spark.createDataFrame([(u, None) for u in urls], "url string, label int")
