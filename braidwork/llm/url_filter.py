@@ -28,7 +28,7 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Segments below this depth are one wildcard.
 DEPTH = 6
-MIN_COUNT, MIN_SHARE = 5, 0.01
+MIN_COUNT = 5
 #: Two-proportion z value below which a branch counts as similar to its siblings.
 SIMILAR = 2.58
 STRENGTH, MIN_PURITY = 10.0, 0.5
@@ -80,7 +80,7 @@ def templates(urls: DataFrame) -> DataFrame:
         pooled = F.try_divide("all_good", "all_labelled")
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), "labelled") + F.try_divide(F.lit(1), rest)))
         z = F.try_divide(F.abs(F.try_divide("good", "labelled") - F.try_divide(rest_good, rest)), spread)
-        rare = F.col("n") < F.greatest(F.lit(MIN_COUNT), MIN_SHARE * F.col("all_n"))
+        rare = F.col("n") < MIN_COUNT
         merged = rare | (F.coalesce(z, F.lit(0.0)) < SIMILAR) & (F.col("n") < F.col("all_n"))
         chosen = branches.join(nodes, ["host", "template"]).select(
             "host", "template", "_seg", F.when(merged & (F.col("_seg") != "**"), "*").otherwise(F.col("_seg")).alias("_as")

@@ -150,6 +150,13 @@ def test_urls(spark):
     assert {(r["template"], r["verdict"]) for r in got.collect()} == {("/good/*", "allow"), ("/spam/*", "block")}
 
 
+def test_small_branches_of_large_hosts(spark):
+    pages = [(f"http://h.org/{s}/{i}", int(s != "spam")) for s in ("spam", *[f"a{chr(97 + k // 15)}{chr(97 + k % 15)}" for k in range(200)]) for i in range(15)]
+    rows = url_filter.url_filter(spark.createDataFrame(pages, "url string, label int")).select("path", "template", "verdict").collect()
+    assert {(r["template"], r["verdict"]) for r in rows if r["path"].startswith("/spam/")} == {("/spam/*", "block")}
+    assert {r["verdict"] for r in rows if not r["path"].startswith("/spam/")} == {"allow"}
+
+
 def test_archives(spark, tmp_path):
     pages = spark.createDataFrame([(3, "http://a", "x"), (1, None, "x"), (2, "http://b c", None), (5, "u", "")], "page_id long, url string, html string")
     packages = archives.archive(pages, f"file://{tmp_path}/p")
