@@ -10,7 +10,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.lineage import checkpoint_dir, released, stored
 
-__all__ = ["checkpoint_dir", "literal_doubles", "map_texts", "released", "small_batches", "stored", "table", "text_or_empty", "window_hashes", "words"]
+#: Bytes of texts that a Python worker takes from a batch at a time.
+SLICE = 4 << 20
+
+__all__ = ["checkpoint_dir", "literal_doubles", "map_texts", "released", "slices", "small_batches", "stored", "table", "text_or_empty", "window_hashes", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,14 @@ def literal_doubles(values) -> Column:
     return F.from_json(F.lit("[" + ",".join(repr(float(v)) for v in values) + "]"), "array<double>")
 
 
+def slices(batch: pa.RecordBatch, at: int, most: int = SLICE):
+    """The batch in parts with about ``most`` bytes of column ``at`` each: what Python holds at a time."""
+    n = batch.num_rows
+    step = max(1, n * most // max(most, batch.column(at).nbytes)) if n else 1
+    for i in range(0, n, step):
+        yield batch.slice(i, step)
+
+
 def map_texts(docs: DataFrame, text: str, f, made: str, keep: list[str] | None = None) -> DataFrame:
     """Adds columns that Python works out from whole texts, batch by batch.
 
@@ -66,8 +77,9 @@ def map_texts(docs: DataFrame, text: str, f, made: str, keep: list[str] | None =
 
     def mapped(batches):
         for b in batches:
-            found = f(b.column(at).to_pylist())
-            new = [pa.array(v, type=t) for v, t in zip(found, types)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=names)
+            for part in slices(b, at):
+                found = f(part.column(at).to_pylist())
+                new = [pa.array(v, type=t) for v, t in zip(found, types)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *new], names=names)
 
     return source.mapInArrow(mapped, T.StructType([*source.schema.fields[: len(keep)], *schema.fields]))

@@ -17,7 +17,7 @@ up in the plan. No task holds all pieces of a length.
 
 from __future__ import annotations
 
-import heapq
+import sys
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -304,55 +304,94 @@ def pack(docs: DataFrame, tokenize, text: str = "text", capacity: int = CAPACITY
     return place(stored(pieces(docs, tokenize, text, capacity), "pieces"), capacity)
 
 
-def word_bpe(path: str, end: int = 1):
-    """A maker of tokenize functions for a vocabulary file of the lower-case word kind: ids, then ``end``.
+class Remembered(dict):
+    """What ``make`` gave for the words met lately: two generations of at most ``most`` short words each."""
 
-    Such tokenizers treat blanks as borders, so words are encoded one by one and remembered, up to a
-    bounded number. Words of plain letters and marks take the short way through the file's model;
-    anything else is left to the tokenizer as a whole. Both ways give the tokenizer's own ids.
-    """
+    def __init__(self, make, most: int, longest: int = 48):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
-    def make():
-        import json
-
-        import regex
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        model = whole.model
-        pattern = json.load(open(path))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        split = regex.compile(pattern).findall
-        # Printable ASCII, Latin-1 and Latin Extended-A without the two letters that change by context or in number.
-        plain = regex.compile(r"[\x21-\x7e¡-¬®-įı-ňŊ-ž]+").fullmatch
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in shown]
-        letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        last = int(end).to_bytes(4, "little")
-
-        def encode(word: str) -> bytes:
-            if plain(word) and "<|" not in word:
-                ids = []
-                for part in split(word.lower()):
-                    ids += [t.id for t in model.tokenize(part.encode().decode("latin-1").translate(letters))]
-            else:
-                ids = whole.encode(word, add_special_tokens=False).ids
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
+
+
+#: Tokenize functions of this worker: its tasks share the vocabulary and what is remembered.
+_LOADED: dict[tuple[str, int], object] = {}
+#: Words and parts of words that a generation remembers; an entry takes some 200 bytes.
+WORDS, PARTS = 160_000, 120_000
+
+
+def loaded(path: str, end: int):
+    """The tokenize function of a vocabulary file, made once in a worker."""
+    if (path, end) not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path, end] = _load(path, end)
+    return _LOADED[path, end]
+
+
+def _load(path: str, end: int):
+    import json
+    from array import array
+
+    import regex
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    model = whole.model
+    with open(path) as file:
+        pattern = json.load(file)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    split = regex.compile(pattern).findall
+    # Printable ASCII, Latin-1 and Latin Extended-A without the two letters that change by context or in number.
+    plain = regex.compile(r"[\x21-\x7e¡-¬®-įı-ňŊ-ž]+").fullmatch
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    last = int(end).to_bytes(4, "little")
+
+    def packed(ids: list[int]) -> bytes:
+        found = array("I", ids)
+        if found.itemsize != 4 or sys.byteorder != "little":
             return np.array(ids, dtype="<u4").tobytes()
+        return found.tobytes()
+
+    def of_part(part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(letters)
+        return packed([t.id for t in model.tokenize(shown)])
 
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= 400_000:
-                    self.clear()
-                self[word] = found = encode(word)
-                return found
+    parts = Remembered(of_part, PARTS)
 
-        look_up = Known().__getitem__
+    def of_word(word: str) -> bytes:
+        if plain(word) and "<|" not in word:
+            low = word.lower()
+            if low.isalpha():
+                return parts[low]
+            return b"".join([parts[p] for p in split(low)])
+        return packed(whole.encode(word, add_special_tokens=False).ids)
 
-        def tokenize(text: str) -> bytes:
-            return b"".join(map(look_up, text.replace("\n", " ").split(" "))) + last
+    look_up = Remembered(of_word, WORDS).__getitem__
 
-        return tokenize
+    def tokenize(text: str) -> bytes:
+        return b"".join(map(look_up, text.replace("\n", " ").split(" "))) + last
 
-    return make
+    return tokenize
+
+
+def word_bpe(path: str, end: int = 1):
+    """A maker of tokenize functions for a vocabulary file of the lower-case word kind: ids, then ``end``.
+
+    Such tokenizers treat blanks as borders, so words are encoded one by one and remembered, up to a
+    bounded number. Words of plain letters and marks take the short way through the file's model;
+    anything else is left to the tokenizer as a whole. Both ways give the tokenizer's own ids.
+    """
+    return lambda: loaded(path, end)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

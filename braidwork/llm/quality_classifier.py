@@ -8,10 +8,8 @@ Cholesky factors and mapped to 0..1 by a logistic curve fitted on the same train
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,12 +107,11 @@ def training_rows(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str,
 def fit(docs: DataFrame, labelled: DataFrame, label: str, doc_id="doc_id", text="text", sample: int = SAMPLE) -> Discriminant:
     """Fits on a bounded sample of labelled rows; with one class or none the score is a constant."""
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in b["text"]], "y": b["_label"]})
+    def measured(texts: list[str | None]) -> list:
+        return [[statistics(t) for t in texts]]
 
-    rows = training_rows(docs, labelled, doc_id, text, label, sample).mapInPandas(measured, "x array<double>, y int").collect()
-    return Discriminant(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows]))
+    rows = map_texts(training_rows(docs, labelled, doc_id, text, label, sample), "text", measured, "x array<double>").collect()
+    return Discriminant(np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r["_label"] for r in rows]))
 
 
 def quality_scores(docs: DataFrame, model: Discriminant, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -83,6 +82,7 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], bias: float, transition: np.ndarray):
         self.weights, self.bias, self.transition = weights, bias, transition
+        self.powers: dict[int, np.ndarray] = {}
         self.step = np.exp(transition) * np.array([1.0, np.exp(bias)])
         self.step /= np.abs(np.linalg.eigvals(self.step)).max()
 
@@ -91,9 +91,14 @@ class Chain:
         known = [self.weights[f] for f in features(word) if f in self.weights]
         return sum(known) if known else None
 
-    @lru_cache(maxsize=4096)  # noqa: B019
     def background(self, n: int) -> np.ndarray:
-        return np.linalg.matrix_power(self.step, n)
+        """The messages over ``n`` unknown tokens: a power of one matrix, remembered for short distances."""
+        if n not in self.powers:
+            found = np.linalg.matrix_power(self.step, n)
+            if n >= 4096:
+                return found
+            self.powers[n] = found
+        return self.powers[n]
 
     def marginals(self, n: int, at: list[int], added: list[float]) -> list[float]:
         """Probability of tag 1 at the known tokens, by forward and backward messages over all ``n`` tokens."""
