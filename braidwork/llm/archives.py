@@ -18,7 +18,9 @@ import struct
 import uuid
 import zipfile
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, stored, table
+from .common import checkpoint_dir, join_hot, stored, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
-#: Bytes of an archive that one read covers, and records that one batch holds.
-RANGE, BATCH = 8 << 20, 256
+#: Bytes of an archive that one task reads where an index allows it, bytes held of it at a time, and records a batch holds.
+RANGE, BLOCK, BATCH = 8 << 20, 1 << 20, 256
+#: Tasks that list or read at most.
+MAX_TASKS = 20_000
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -45,7 +49,7 @@ def _open(uri: str):
 
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit without it when ``refers_to`` is given."""
-    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    digest = base32_sha1(payload)
     name = lambda n: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{n}')}>"
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
@@ -71,39 +75,110 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, refers_to
     return packer.compress(b"WARC/1.1\r\n" + "".join(lines).encode() + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def parse_record(raw: bytes) -> dict:
-    """Headers by lower-case name, and the block, of one unpacked record."""
-    head, mark, rest = raw.partition(b"\r\n\r\n")
+def blocks(file, at: int, size: int, most: int = BLOCK) -> Iterator[bytes]:
+    """The bytes of a range, block by block."""
+    end = at + size
+    while at < end:
+        data = file.read_at(min(most, end - at), at)
+        if not data:
+            raise ValueError("an archive ends before its directory says so")
+        yield data
+        at += len(data)
+
+
+def unpacked(data: Iterator[bytes]) -> Iterator[bytes]:
+    """What gzip members that follow each other hold, in pieces; each byte is looked at once or twice.
+
+    Members are mostly short, so they are fed small pieces first: what a member leaves of a piece is fed again.
+    """
+    member = None
+    for block in data:
+        view, at = memoryview(block), 0
+        while at < len(view):
+            if member is None:
+                member, step = zlib.decompressobj(31), 2048
+            piece = view[at : at + step]
+            yield member.decompress(piece)
+            at, step = at + len(piece), min(2 * step, 1 << 16)
+            if member.eof:
+                at -= len(member.unused_data)
+                member = None
+    if member is not None:
+        raise ValueError("a gzip member is cut off")
+
+
+def records(data: Iterator[bytes]) -> Iterator[dict]:
+    """The records of an archive's bytes, packed (each by itself or all together) or plain, one at a time."""
+    data = iter(data)
+    first = next(data, b"")
+    data = chain([first], data)
+    source = unpacked(data) if first[:2] == b"\x1f\x8b" else data
+    held, ended = bytearray(), False
+
+    def fill(n: int) -> None:
+        nonlocal ended
+        while len(held) < n and not ended:
+            more = next(source, None)
+            if more is None:
+                ended = True
+            else:
+                held.extend(more)
+
+    while True:
+        fill(1)
+        while held[:1] in (b"\r", b"\n"):
+            del held[:1]
+            fill(1)
+        if not held:
+            return
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", max(0, looked - 3))) < 0:
+            looked = len(held)
+            fill(looked + 1)
+            if len(held) == looked:
+                raise ValueError("not a WARC record")
+        fields = header(bytes(held[:end]))
+        size = int(fields["content-length"])
+        fill(end + 4 + size)
+        if len(held) < end + 4 + size:
+            raise ValueError("a WARC record is cut off")
+        yield fields | {"block": bytes(held[end + 4 : end + 4 + size])}
+        del held[: end + 4 + size]
+
+
+def header(head: bytes) -> dict[str, str]:
+    """The fields of a record by lower-case name."""
     first, *lines = head.decode("utf-8", "replace").split("\r\n")
-    if not mark or not first.startswith("WARC/"):
+    if not first.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-    size = int(fields["content-length"])
-    if len(rest) < size:
-        raise ValueError("a WARC record is cut off")
-    return fields | {"block": rest[:size]}
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
-def parsed(fields: dict) -> tuple[int | None, int, str, str, int | None, bytes]:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, payload; digests are checked."""
-    number = lambda k: int(fields[k]) if k in fields else None
-    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-    payload = fields["block"].partition(b"\r\n\r\n")[2]
-    kind = fields["warc-type"]
-    if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-        raise ValueError(f"payload of page {fields.get('x-page-id')} doesn't have its digest")
-    return number("x-page-id"), int(fields["x-payload-length"]), digest, kind, number("x-refers-to-page-id"), payload
+def base32_sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def records(data: bytes) -> Iterator[bytes]:
-    """The unpacked gzip members that follow each other in ``data``."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(data) + unpacker.flush()
-        if not unpacker.eof:
-            raise ValueError("a gzip member is cut off")
-        yield raw
-        data = unpacker.unused_data
+def parsed(fields: dict) -> tuple:
+    """A record in the order of ``KINDS``; payloads of records written here have to have their digest.
+
+    Records of other writers have no page_id; what they don't say is worked out where it can be.
+    """
+    number = lambda k: int(fields[k]) if k in fields else None
+    kind, block = fields["warc-type"], fields["block"]
+    http = fields.get("content-type", "").startswith("application/http")
+    payload = block.partition(b"\r\n\r\n")[2] if http else block
+    given = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind != "revisit":
+        made = base32_sha1(payload)
+        if "x-page-id" in fields and made != given:
+            raise ValueError(f"payload of page {fields['x-page-id']} doesn't have its digest")
+        given = given or made
+    size = fields.get("x-payload-length") or (None if kind == "revisit" else len(payload))
+    size = None if size is None else int(size)
+    return (
+        number("x-page-id"), size, given, kind, number("x-refers-to-page-id"), fields.get("warc-target-uri"),
+        fields.get("warc-record-id"), fields.get("warc-refers-to"), payload,
+    )
 
 
 # --- packages
@@ -158,28 +233,49 @@ def directory(file, size: int) -> list[dict]:
 
 
 def ranges(file, size: int, span: int = RANGE) -> Iterator[tuple[int, int]]:
-    """Start and length of byte ranges of whole records: about ``span`` each where there is an index."""
+    """Start and length of byte ranges of whole records: about ``span`` each where there is an index.
+
+    An archive without an index is one range, which is read block by block all the same.
+    """
     members = directory(file, size)
-    lines = []
+    cuts: dict[str, array] = {}
     for x in (x for x in members if x["name"].endswith(".cdx") and not x["method"]):
-        file.seek(x["at"])
-        lines += [line.split(" ") for line in file.read(x["size"]).decode().splitlines()]
+        rest = b""
+        for block in blocks(_ReadAt(file), x["at"], x["size"]):
+            *lines, rest = (rest + block).split(b"\n")
+            for line in lines:
+                _cut(cuts, line)
+        _cut(cuts, rest)
     for x in members:
         if not x["name"].endswith((".warc.gz", ".warc")):
             continue
         if x["method"]:
             raise ValueError(f"{x['name']} is compressed within its package; only stored members can be read by range")
-        cuts = sorted(int(at) for at, _, name in lines if name == x["name"])
-        if not cuts:
-            yield x["at"], x["size"]
-            continue
         start = 0
-        for cut in [*cuts[1:], x["size"]]:
-            if cut - start >= span or cut == x["size"]:
+        for cut in [*sorted(cuts.get(x["name"], ()))[1:], x["size"]]:
+            if (cut - start >= span or cut == x["size"]) and cut > start:
                 yield x["at"] + start, cut - start
                 start = cut
 
 
+def _cut(cuts: dict, line: bytes) -> None:
+    """Notes where a record of an index line begins; lines of other index formats are left out."""
+    fields = line.decode("utf-8", "replace").split(" ")
+    if len(fields) == 3 and fields[0].isdigit():
+        cuts.setdefault(fields[2].strip(), array("q")).append(int(fields[0]))
+
+
+class _ReadAt:
+    """``read_at`` for files that only seek and read."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def read_at(self, n: int, at: int) -> bytes:
+        self.file.seek(at)
+        return self.file.read(n)
+
+
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a package per partition; a row per package: its ``package`` address, ``records`` and ``bytes``.
 
@@ -229,8 +325,20 @@ class _Stream(io.RawIOBase):
         return len(data)
 
 
+#: What is read of a record.
+KINDS = (
+    ("page_id", pa.int64(), "bigint"), ("payload_bytes", pa.int64(), "bigint"), ("payload_digest", pa.string(), "string"),
+    ("record_type", pa.string(), "string"), ("refers_to", pa.int64(), "bigint"), ("url", pa.string(), "string"),
+    ("record_id", pa.string(), "string"), ("refers_to_id", pa.string(), "string"), ("payload", pa.binary(), "binary"),
+)
+
+
 def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
-    """A row per record of the packages at the addresses in ``package``; with ``payload``, the stored bytes too."""
+    """A row per record of the packages at the addresses in ``package``; with ``payload``, the stored bytes too.
+
+    Records of all types and all writers are read; page_id and refers_to are null where a record has none.
+    Packages are listed first; the ranges found, a small table, set how many tasks read.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,27 +351,30 @@ def read_packages(packages: DataFrame, payload: bool = False) -> DataFrame:
                     schema=pa.schema([("package", pa.string()), ("at", pa.int64()), ("size", pa.int64())]),
                 )
 
-    kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
-    kinds += [("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * payload
+    kinds = [(c, t) for c, t, _ in KINDS if payload or c != "payload"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for address, start, size in zip(*(c.to_pylist() for c in b.columns)):
                 fs, at = _open(address)
                 with fs.open_input_file(at) as file:
-                    data = file.read_at(size, start)
-                rows = []
-                for raw in records(data):
-                    rows.append(parsed(parse_record(raw))[: len(kinds)])
-                    if len(rows) == BATCH:
+                    rows, held = [], 0
+                    for fields in records(blocks(file, start, size)):
+                        rows.append(parsed(fields)[: len(kinds)])
+                        held += len(fields["block"])
+                        if len(rows) == BATCH or held > RANGE:
+                            yield _batch(rows, kinds)
+                            rows, held = [], 0
+                    if rows:
                         yield _batch(rows, kinds)
-                        rows = []
-                if rows:
-                    yield _batch(rows, kinds)
 
-    found = packages.select("package").repartition("package").mapInArrow(listed, "package string, at bigint, size bigint")
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
-    return found.repartition("package", "at").mapInArrow(read, schema + ", payload binary" * payload)
+    packages = packages.select("package")
+    tasks = max(1, min(MAX_TASKS, packages.count()))
+    found = packages.repartition(tasks, "package").mapInArrow(listed, "package string, at bigint, size bigint")
+    found = stored(found, "ranges")
+    tasks = max(1, min(MAX_TASKS, 2 * found.count()))  # twice the ranges: few of them meet in a task
+    schema = ", ".join(f"{c} {t}" for c, _, t in KINDS if payload or c != "payload")
+    return found.repartition(tasks, "package", "at").mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -274,14 +385,15 @@ def with_first(pages: DataFrame) -> DataFrame:
     """page_id, url, payload and ``refers_to``: the smallest page_id with an equal payload, null on that page.
 
     Null html counts as empty. All rows with that smallest id are responses; rows without an id revisit
-    it too, or are responses where no row with an equal payload has an id.
+    it too, or are responses where no row with an equal payload has an id. Payloads that very many pages
+    share, such as the empty one, reach their pages by broadcast, so no task gets all of these.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("_digest", F.sha1("payload"))
-    first = rows.groupBy("_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1")
-    return rows.join(first.select("_digest", "first"), "_digest", "left").select(
-        "page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
-    )
+    counts = rows.groupBy("_digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    counts = stored(counts.where("n > 1"), "digests")
+    rows = join_hot(rows, counts, "_digest", "n", pages.count(), ["page_id", "url"])
+    return rows.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def archive(pages: DataFrame, folder: str) -> DataFrame:
@@ -295,7 +407,8 @@ def archive(pages: DataFrame, folder: str) -> DataFrame:
 
 def op4_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/packages-{uuid.uuid4().hex}"
-    return read_packages(archive(table(spark, sf_dir, "pages"), folder))
+    found = read_packages(archive(table(spark, sf_dir, "pages"), folder))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """

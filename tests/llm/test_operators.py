@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 import zipfile
@@ -73,7 +74,7 @@ def test_fingerprints(spark):
     texts = ["word " * 3, None, "", " ".join(f"w{i}" for i in range(300)), " ".join(f"w{i}" for i in range(300)), "日本語のテキスト"]
     rows = fingerprints.fingerprints(docs(spark, texts)).orderBy("doc_id").collect()
     assert rows[1]["fingerprint"] == rows[2]["fingerprint"] == "" and rows[3]["fingerprint"] == rows[4]["fingerprint"] != ""
-    got = fingerprints.with_successor(docs(spark, texts).select("doc_id", "text"), ["text"]).collect()
+    got = fingerprints.with_successor(docs(spark, texts).select("doc_id", "text"), "text", lambda df: df, ["text"]).collect()
     assert {r["doc_id"]: r["next_text"] for r in got} == {i: texts[i - 1] for i in range(6)}
 
 
@@ -174,11 +175,37 @@ def test_zip64_directory():
     size = out.seek(0, 2)
     (start, n), = archives.ranges(out, size)
     out.seek(start)
-    assert archives.parsed(archives.parse_record(next(archives.records(out.read(n)))))[5] == b"payload"
+    assert archives.parsed(next(archives.records([out.read(n)])))[-1] == b"payload"
     with pytest.raises(ValueError):
         archives.directory(io.BytesIO(b"not a package"), 13)
 
 
+def foreign(i, kind="response", more=""):
+    block = f"HTTP/1.1 200 OK\r\n\r\npage {i}".encode()
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Type: application/http\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 3\r\n\r\na:b\r\n\r\n"
+    plain = info + b"".join(foreign(i) for i in range(5))
+    whole, single = gzip.compress(plain), gzip.compress(info) + b"".join(gzip.compress(foreign(i)) for i in range(3000))
+    for name, member, data in (("a", "archive/x.warc", plain), ("b", "archive/x.warc.gz", whole), ("c", "archive/x.warc.gz", single)):
+        with zipfile.ZipFile(tmp_path / f"{name}.wacz", "w") as z:
+            z.writestr("datapackage.json", "{}")
+            z.writestr(member, data)
+    packages = spark.createDataFrame([(f"file://{tmp_path}/{n}.wacz",) for n in "abc"], "package string")
+    rows = archives.read_packages(packages, payload=True).collect()
+    assert Counter(r["record_type"] for r in rows) == {"warcinfo": 3, "response": 3010} and {r["page_id"] for r in rows} == {None}
+    assert {(r["url"], r["payload"]) for r in rows if r["url"] and r["url"].endswith("/7")} == {("http://h/7", b"page 7")}
+    assert all(len(r["payload_digest"]) == 32 for r in rows)
+    for bad in (plain[:-20], whole[:-9], b"nonsense\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(archives.records(iter([bad[:7], bad[7:]])))
+    assert len(list(archives.records(plain[i : i + 1] for i in range(len(plain))))) == 6  # blocks of one byte
+    assert list(archives.records([])) == []
+
+
 def test_packing(spark):
     rng = np.random.default_rng(1)
     lengths = Counter(np.clip(rng.lognormal(6, 1, 3000).astype(int), 1, 4096).tolist()) + Counter({4096: 20})
