@@ -101,7 +101,7 @@ def training_rows(docs: DataFrame, labelled: DataFrame, doc_id: str, text: str,
     """Texts with their ``label`` for at most ``sample`` labelled rows, those of the lowest hash."""
     ids = labelled.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).dropna()
     ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "_label")
+    return docs.select(doc_id, text).join(F.broadcast(ids), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "_label", "_id")
 
 
 def fit(docs: DataFrame, labelled: DataFrame, label: str, doc_id="doc_id", text="text", sample: int = SAMPLE) -> Discriminant:

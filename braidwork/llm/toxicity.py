@@ -1,15 +1,18 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
 Documents carry the labels, so tokens are labelled first: in toxic training documents a token counts as
-toxic when its form or one of its beginnings is found in toxic documents and (almost) never in others.
-A two-tag chain is then trained on these tagged tokens by gradient ascent. Each token has the features
-of its form and beginnings; tokens without any known feature share one background potential, so the
-chain between two known tokens is a power of one matrix. Forward-backward marginals give toxic spans with
-their offsets, and spans give the score of a document.
+toxic when its form or one of its beginnings is found in so many toxic documents, and (almost) no others,
+that chance is ruled out. A two-tag chain is trained on these tokens by gradient ascent. Then toxic
+documents are tagged again by the chain's own marginals, given that at least one of their tokens is toxic,
+and the chain is trained on, so that what stands between or beside toxic tokens can change its tag. Each
+token has the features of its form and beginnings; tokens without any known feature share one background
+potential, so the chain between two known tokens is a power of one matrix. Forward-backward marginals give
+toxic spans with their offsets, and spans give the score of a document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -21,15 +24,17 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 from .quality_classifier import training_rows
 
-#: At most so many labelled training rows, those of the lowest hash, are fitted on the driver.
-SAMPLE = 8_000
+#: At most so many labelled training rows, those of the lowest hash, with so many characters are fitted on the driver.
+SAMPLE, SAMPLE_CHARS = 8_000, 64_000_000
 PREFIXES = (4, 5, 6, 7, 8)
+#: The features with the most support, if there are more.
 MAX_FEATURES = 4_000
-#: A feature needs so many groups of near copies, and so large a share of all toxic ones.
-MIN_GROUPS, MIN_SHARE, MAX_OTHER_SHARE = 3, 0.015, 0.02
-#: Words whose potentials a worker remembers.
-CACHE = 300_000
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: A feature needs so many groups of near copies, more than chance gives to so many features, and so few other documents.
+MIN_GROUPS, CHANCE, MAX_OTHER_SHARE = 3, 1.0, 0.02
+#: Tokens of a run of the training, runs worked out at a time, rounds of ascent and of tagging again.
+WIDTH, CHUNK, ROUNDS, RETAGGED = 16, 20_000, 60, 2
+#: Words whose potentials a worker remembers, in two generations.
+CACHE = 40_000
 EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 
 
@@ -51,22 +56,25 @@ def choose_features(docs: list[tuple[list[str], int]]) -> set[str]:
     """Features that tell toxic training documents from others, at most ``MAX_FEATURES``.
 
     Support counts groups of near copies, not documents; what is found in other documents is counted
-    by word, so a beginning's count is never below the number of its documents.
+    by word, so a beginning's count is never below the number of its documents. A feature of n groups
+    would be found in toxic ones alone by chance with the share of toxic documents to the n-th power;
+    over all features looked at, that may add up to ``CHANCE`` features.
     """
     inside: dict[str, list[set[int]]] = defaultdict(lambda: [set(), set(), set()])
-    outside, groups = Counter(), set()
+    outside = Counter()
     for words, y in docs:
         distinct = set(words)
         if not y:
             outside.update(distinct)
             continue
         own = _groups(sorted(distinct))
-        groups.add(own[0])
         for f in {f for w in distinct for f in features(w)}:
             for seen, g in zip(inside[f], own):
                 seen.add(g)
     support = {f: min(map(len, seen)) for f, seen in inside.items()}
-    least = max(MIN_GROUPS, round(MIN_SHARE * len(groups)))
+    support = {f: n for f, n in support.items() if n >= MIN_GROUPS}
+    share = min(0.5, (1 + sum(y for _, y in docs)) / (2 + len(docs)))
+    least = math.ceil(math.log(max(1, len(support)) / CHANCE) / -math.log(share))
     support = {f: n for f, n in support.items() if n >= least}
     against = Counter()
     for w, n in outside.items():
@@ -127,10 +135,71 @@ class Chain:
         self.__init__(**state)
 
 
-def train(docs: list[tuple[list[str], int]], rounds: int = 60, ridge: float = 1e-3) -> Chain:
+class _Runs:
+    """Training tokens as runs of ``WIDTH``: features by place, tags, and the document of each run."""
+
+    def __init__(self, runs: list[list[tuple[int, ...]]], tags: list[list[int]], of: list[int], m: int):
+        self.tag, self.of, self.m = np.array(tags), np.array(of), m
+        sizes = np.array([len(fs) for run in runs for fs in run], dtype=np.int64)
+        self.rows = np.repeat(np.arange(len(sizes)), sizes)
+        self.cols = np.array([f for run in runs for fs in run for f in fs], dtype=np.int64)
+
+    def chunks(self):
+        """First run and one behind the last, and where their features lie."""
+        for a in range(0, len(self.tag), CHUNK):
+            b = min(len(self.tag), a + CHUNK)
+            yield a, b, *np.searchsorted(self.rows, [a * WIDTH, b * WIDTH])
+
+    def counted(self, tag: np.ndarray) -> np.ndarray:
+        """How often each feature, the bias and each transition is met under these tags."""
+        out = np.zeros(self.m + 5)
+        np.add.at(out, self.cols, tag.ravel()[self.rows])
+        out[self.m] = tag.sum()
+        out[self.m + 1 :] = [((tag[:, :-1] == a) & (tag[:, 1:] == b)).sum() for a in (0, 1) for b in (0, 1)]
+        return out
+
+    def expected(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same under the chain of weights ``w``, and the marginal of tag 1 at every token."""
+        m, out, all_p = self.m, np.zeros(self.m + 5), np.zeros(self.tag.shape)
+        step = np.exp(w[m + 1 :].reshape(2, 2))
+        for first, last, low, high in self.chunks():
+            rows, cols, n = self.rows[low:high] - first * WIDTH, self.cols[low:high], last - first
+            e = np.zeros(n * WIDTH)
+            np.add.at(e, rows, w[cols])
+            e = np.clip(e.reshape(n, WIDTH) + w[m], -40, 40)
+            emit = np.stack([np.ones_like(e), np.exp(e)], 2)
+            f, b = np.empty_like(emit), np.ones_like(emit)
+            f[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
+            for t in range(1, WIDTH):
+                f[:, t] = (f[:, t - 1] @ step) * emit[:, t]
+                f[:, t] /= f[:, t].sum(1, keepdims=True)
+            for t in range(WIDTH - 2, -1, -1):
+                b[:, t] = (b[:, t + 1] * emit[:, t + 1]) @ step.T
+                b[:, t] /= b[:, t].sum(1, keepdims=True)
+            p = f * b
+            p /= p.sum(2, keepdims=True)
+            pair = f[:, :-1, :, None] * step * (emit[:, 1:] * b[:, 1:])[:, :, None, :]
+            pair /= pair.sum((2, 3), keepdims=True)
+            np.add.at(out, cols, p[:, :, 1].ravel()[rows])
+            out[m] += p[:, :, 1].sum()
+            out[m + 1 :] += pair.sum((0, 1)).ravel()
+            all_p[first:last] = p[:, :, 1]
+        return out, all_p
+
+    def tagged_again(self, w: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Tags by marginals: in toxic documents tokens of a half or more and the likeliest; none in others."""
+        _, p = self.expected(w)
+        p[~toxic[self.of]] = 0.0
+        most = np.zeros(len(toxic))
+        np.maximum.at(most, self.of, p.max(1))
+        return ((p >= 0.5) | ((p > 0) & (p == most[self.of][:, None]))).astype(int)
+
+
+def train(docs: list[tuple[list[str], int]], rounds: int = ROUNDS, ridge: float = 1e-3, retagged: int = RETAGGED, transitions: bool = True) -> Chain:
     """Conditional likelihood of tagged training tokens, by gradient ascent with momentum of its exact gradient.
 
-    Chains are cut into runs of 16 tokens around tagged tokens and as many runs from clean documents.
+    Chains are cut into runs of ``WIDTH`` tokens: all that hold a token with a chosen feature, and the first
+    and last run of every fourth document. Without ``transitions``, tokens are tagged each by itself.
     """
     chosen = choose_features(docs)
     if not chosen:
@@ -138,58 +207,52 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 60, ridge: float = 1e
     index = {f: i for i, f in enumerate(sorted(chosen))}
     ids: dict[str, tuple[int, ...]] = {}
     known = lambda w: ids.setdefault(w, tuple(index[f] for f in features(w) if f in index))
-    width, runs, tags = 16, [], []
+    made, tags, of = [], [], []
     for k, (words, y) in enumerate(docs):
-        hits = [i for i, w in enumerate(words) if known(w)]
-        starts = {i - i % width for i in (hits[:64] if y else hits[:8])} | ({0} if k % 4 == 0 else set())
+        starts = {i - i % WIDTH for i, w in enumerate(words) if known(w)}
+        starts |= {0, max(0, len(words) - 1) // WIDTH * WIDTH} if k % 4 == 0 else set()
         for s in sorted(starts):
-            run = words[s : s + width]
-            runs.append([known(w) for w in run] + [()] * (width - len(run)))
-            tags.append([int(bool(y and f)) for f in runs[-1]])
-    tag = np.array(tags)
-    rows, cols = [], []
-    for r, run in enumerate(runs):
-        for t, fs in enumerate(run):
-            rows += [r * width + t] * len(fs)
-            cols += fs
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+            run = words[s : s + WIDTH]
+            made.append([known(w) for w in run] + [()] * (WIDTH - len(run)))
+            tags.append([int(bool(y and f)) for f in made[-1]])
+            of.append(k)
     m = len(index)
-    w, speed = np.zeros(m + 5), np.zeros(m + 5)
+    runs, toxic, tag = _Runs(made, tags, of, m), np.array([bool(y) for _, y in docs]), np.array(tags)
+    w = np.zeros(m + 5)
     w[m] = -4.0
-    true = np.zeros(m + 5)
-    np.add.at(true, cols, tag.ravel()[rows])
-    true[m] = tag.sum()
-    for a in (0, 1):
-        for b in (0, 1):
-            true[m + 1 + 2 * a + b] = ((tag[:, :-1] == a) & (tag[:, 1:] == b)).sum()
-    for _ in range(rounds):
-        gained = np.zeros(len(runs) * width)
-        np.add.at(gained, rows, w[cols])
-        e = np.clip(gained.reshape(-1, width) + w[m], -40, 40)
-        emit = np.stack([np.ones_like(e), np.exp(e)], 2)
-        step = np.exp(w[m + 1 :].reshape(2, 2))
-        f, b = np.empty_like(emit), np.ones_like(emit)
-        f[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
-        for t in range(1, width):
-            f[:, t] = (f[:, t - 1] @ step) * emit[:, t]
-            f[:, t] /= f[:, t].sum(1, keepdims=True)
-        for t in range(width - 2, -1, -1):
-            b[:, t] = (b[:, t + 1] * emit[:, t + 1]) @ step.T
-            b[:, t] /= b[:, t].sum(1, keepdims=True)
-        p = f * b
-        p /= p.sum(2, keepdims=True)
-        pair = f[:, :-1, :, None] * step * (emit[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        expected = np.zeros(m + 5)
-        np.add.at(expected, cols, p[:, :, 1].ravel()[rows])
-        expected[m] = p[:, :, 1].sum()
-        expected[m + 1 :] = pair.sum((0, 1)).ravel()
-        scale = np.maximum(1.0, np.maximum(true, expected))
-        speed = 0.7 * speed + 0.5 * (true - expected - ridge * len(runs) * 0.01 * w) / scale
-        w += np.clip(speed, -1, 1)
+    for again in range(1 + retagged):
+        if again:
+            tag = runs.tagged_again(w, toxic)
+        true, speed = runs.counted(tag), np.zeros(m + 5)
+        for _ in range(rounds if not again else rounds // 3):
+            expected, _ = runs.expected(w)
+            scale = np.maximum(1.0, np.maximum(true, expected))
+            speed = 0.7 * speed + 0.5 * (true - expected - ridge * len(tag) * 0.01 * w) / scale
+            if not transitions:
+                speed[m + 1 :] = 0.0
+            w += np.clip(speed, -1, 1)
     return Chain({f: float(w[i]) for f, i in index.items()}, float(w[m]), w[m + 1 :].reshape(2, 2).copy())
 
 
+class potentials(dict):
+    """What the chain adds at a token, for the tokens met lately."""
+
+    def __init__(self, chain: Chain):
+        super().__init__()
+        self.chain, self.old = chain, {}
+
+    def __missing__(self, token: str) -> float | None:
+        found = self.old.get(token, 0)
+        if found == 0:
+            found = self.chain.potential(form(token))
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        if len(token) <= 48:
+            self[token] = found
+        return found
+
+
 def tag_text(chain: Chain, text: str | None, cache: dict | None = None, least: float = 0.5) -> tuple[float, list[tuple[int, int, float]]]:
     """The score of one whole text and its toxic spans: start, end (characters) and highest marginal.
 
@@ -197,14 +260,9 @@ def tag_text(chain: Chain, text: str | None, cache: dict | None = None, least: f
     that at least one span (or, without spans, the likeliest token) is toxic. Texts without a known token
     score 0, empty ones too.
     """
-    cache = {} if cache is None else cache
+    cache = potentials(chain) if cache is None else cache
     n, at, added = 0, [], []
-    for token in (text or "").split():
-        a = cache.get(token, 0)
-        if a == 0:
-            if len(cache) >= CACHE:
-                cache.clear()
-            a = cache[token] = chain.potential(form(token))
+    for a in map(cache.__getitem__, (text or "").split()):
         if a is not None:
             at.append(n)
             added.append(a)
@@ -229,27 +287,38 @@ def tag_text(chain: Chain, text: str | None, cache: dict | None = None, least: f
 
 
 def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", doc_id="doc_id", text="text", sample: int = SAMPLE) -> Chain:
-    """Trains on the driver, on a bounded sample of labelled rows."""
+    """Trains on the driver, on a sample of labelled rows that ``sample`` and ``SAMPLE_CHARS`` bound.
+
+    Without toxic rows, and without any row, the chain finds nothing.
+    """
     forms: dict[str, str] = {}
 
     def words(x: str | None) -> list[str]:
         return [forms.get(t) or forms.setdefault(t, form(t)) for t in (x or "").split()]
 
-    rows = training_rows(docs, labelled, doc_id, text, label, sample).toLocalIterator()
-    return train([(words(r["text"]), r["_label"]) for r in rows])
+    rows, found, left = training_rows(docs, labelled, doc_id, text, label, sample), [], SAMPLE_CHARS
+    for r in rows.orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
+        left -= len(r["text"] or "")
+        if left < 0:
+            break
+        found.append((words(r["text"]), r["_label"]))
+    return train(found)
 
 
 def toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns but the text, unless given) with ``score`` and ``spans`` of every row's whole text.
 
-    Null and empty texts score 0; repeated rows score alike; an empty table gives an empty result.
+    Null and empty texts score 0; repeated rows score alike; an empty table gives an empty result; columns
+    named ``score`` or ``spans`` are replaced. Very long texts are tagged whole.
     """
     made = {"score", "spans"}
     keep = [c for c in docs.columns if c != text and c not in made] if keep is None else keep
-    cache: dict = {}
+    cache: list = []
 
     def scored(texts: list[str | None]) -> list:
-        found = [tag_text(chain, t, cache) for t in texts]
+        if not cache:
+            cache.append(potentials(chain))
+        found = [tag_text(chain, t, cache[0]) for t in texts]
         spans = [[{"start": a, "end": b, "probability": q} for a, b, q in s] for _, s in found]
         return [[score for score, _ in found], spans]
 
@@ -257,11 +326,16 @@ def toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str]
 
 
 def without_toxic(docs: DataFrame, chain: Chain, limit: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``limit``, with all their columns."""
-    cache: dict = {}
+    """The rows of ``docs`` whose text scores below ``limit``, with all their columns but a ``_toxicity``.
+
+    Null and empty texts score 0 and stay; repeated rows go or stay together; an empty table stays empty.
+    """
+    cache: list = []
 
     def scored(texts: list[str | None]) -> list:
-        return [[tag_text(chain, t, cache)[0] for t in texts]]
+        if not cache:
+            cache.append(potentials(chain))
+        return [[tag_text(chain, t, cache[0])[0] for t in texts]]
 
     rated = map_texts(docs, text, scored, "_toxicity double", docs.columns)
     return rated.where(F.col("_toxicity") < limit).select(*docs.columns)
