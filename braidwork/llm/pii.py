@@ -6,13 +6,22 @@ number of a mixed-radix domain that its format spans and is permuted within it b
 network with cycle walking, so a pseudonym is as valid as the original, equal values get equal
 pseudonyms in every document, and the holder of the key can turn them back.
 
+Dates are permuted among the dates of their class: whether the day is below 10, up to 12 or beyond, and
+whether the month is below 10. So a date written day first, month first, year first, padded or not keeps
+that form and its length, and the forms of one date keep belonging together. Names of months are kept as
+names. Domains of mail addresses stay as they are. Long tokens are permuted in parts of ``PART`` characters.
+
+The key comes from the session (``SETTING``) or the caller; without one nothing runs.
+
 The permutation is a keyed rotation, decrypt(encrypt(x) + 1): a bijection without fixed points, so no
 value stands for itself.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable
@@ -22,7 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
-KEY = b"example key; set your own"
+#: Names the key; Spark hides settings with such a name in its logs and pages.
+SETTING = "spark.braidwork.pii.secret"
+#: For the synthetic tables of the queries, where the session has no key. Anyone can turn its pseudonyms back.
+EXAMPLE_KEY = b"example key for synthetic tables"
+PART = 40
 ROUNDS = 8
 FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # up to 2099-12-31
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -33,18 +46,22 @@ DIGITS = "0123456789"
 class Feistel:
     """Permutations of 0 .. size-1 for any size, keyed, one for each tweak."""
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key).digest()[:32]
 
     def _mix(self, tweak: bytes, i: int, half: int, bits: int) -> int:
-        data = tweak + bytes([0, i]) + half.to_bytes(16, "little")
-        found = hashlib.blake2b(data, key=self.key, digest_size=16).digest()
+        size = (bits + 7) // 8
+        data = tweak + bytes([0, i]) + half.to_bytes(size, "little")
+        if size <= 16:
+            found = hashlib.blake2b(data, key=self.key, digest_size=16).digest()
+        else:
+            found = hashlib.shake_256(self.key + data).digest(size)
         return int.from_bytes(found, "little") & ((1 << bits) - 1)
 
     def _walk(self, x: int, size: int, tweak: bytes, rounds: range) -> int:
         bits = max(1, ((size - 1).bit_length() + 1) // 2)
         mask = (1 << bits) - 1
-        tweak = tweak + size.to_bytes(32, "little")
+        tweak = tweak + size.to_bytes(max(32, bits // 4 + 1), "little")
         while True:
             a, b = x >> bits, x & mask
             for i in rounds:
@@ -68,6 +85,10 @@ class Feistel:
 
         ``first`` gives the alphabet of single positions.
         """
+        if len(text) > PART:
+            parts = [text[i : i + PART] for i in range(0, len(text), PART)]
+            firsts = [{i: a for i, a in ((j - k * PART, a) for j, a in (first or {}).items()) if 0 <= i < PART} for k in range(len(parts))]
+            return "".join(self.characters(p, f"{kind}:{k}", back, f) for k, (p, f) in enumerate(zip(parts, firsts)))
         first, value, size, places = first or {}, 0, 1, []
         for i, c in enumerate(text):
             alphabet = first.get(i) or next((a for a in (DIGITS, LOWER, UPPER) if c in a), None)
@@ -108,12 +129,12 @@ def _card(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 def _phone(f: Feistel, m: re.Match, back: bool) -> str | None:
     code, rest = m["code"] or "", m["rest"]
-    digits = _bare(rest)
-    if not 7 <= len(_bare(code)) + len(digits) <= 15 or len(digits) < 6:
+    digits, called = _bare(rest), "".join(c for c in code if c.isdigit())
+    if not 7 <= len(called) + len(digits) <= 15 or len(digits) < 6:
         return None
-    if _bare(code) == "1" and len(digits) != 10:
+    if called == "1" and len(digits) != 10:
         return None
-    if len(digits) == 10 and _bare(code) in ("", "1"):
+    if len(digits) == 10 and called in ("", "1"):
         if digits[0] not in "23456789" or digits[3] not in "23456789":
             return None
         first = {0: "23456789", 3: "23456789"}
@@ -144,7 +165,8 @@ def _address(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 def _social(f: Feistel, m: re.Match, back: bool) -> str | None:
-    area, group, serial = (int(x) for x in m[0].split("-"))
+    digits = _bare(m[0])
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     areas, groups, serials = 898, 99, 9999
@@ -153,7 +175,7 @@ def _social(f: Feistel, m: re.Match, back: bool) -> str | None:
     value, serial = divmod(value, serials)
     area, group = divmod(value, groups)
     area += 1
-    return f"{area + (area >= 666):03d}-{group + 1:02d}-{serial + 1:04d}"
+    return _fill(m[0], f"{area + (area >= 666):03d}{group + 1:02d}{serial + 1:04d}")
 
 
 def _check97(country: str, account: str) -> int:
@@ -169,24 +191,66 @@ def _iban(f: Feistel, m: re.Match, back: bool) -> str | None:
     return _fill(m[0], f"{country}{98 - _check97(country, account):02d}{account}")
 
 
-def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
-    a, mark, b, c = m["a"], m["mark"], m["b"], m["c"]
-    year, month, day = (a, b, c) if len(a) == 4 else (c, b, a)
-    swapped = len(a) != 4 and int(month) > 12  # month first
-    if swapped:
-        month, day = day, month
+def _class(d: datetime.date) -> tuple[int, int]:
+    return (0 if d.day < 10 else 1 if d.day <= 12 else 2), int(d.month >= 10)
+
+
+@functools.cache
+def _dates() -> dict[tuple[int, int], list[int]]:
+    """The days of each class, in order."""
+    found: dict[tuple[int, int], list[int]] = {}
+    for day in range(FIRST_DAY, FIRST_DAY + DAYS):
+        found.setdefault(_class(datetime.date.fromordinal(day)), []).append(day)
+    return found
+
+
+def _other_day(f: Feistel, year: int, month: int, day: int, back: bool) -> datetime.date | None:
+    """The pseudonym of a date within its class; None for what is no date of 1900 to 2099."""
     try:
-        old = datetime.date(int(year), int(month), int(day)).toordinal() - FIRST_DAY
+        old = datetime.date(year, month, day)
     except ValueError:
         return None
-    if not 0 <= old < DAYS:
+    if not 0 <= old.toordinal() - FIRST_DAY < DAYS:
         return None
-    new = datetime.date.fromordinal(FIRST_DAY + f.permute(old, DAYS, b"date", back))
+    kind = _class(old)
+    days = _dates()[kind]
+    at = f.permute(bisect.bisect_left(days, old.toordinal()), len(days), b"date%d%d" % kind, back)
+    return datetime.date.fromordinal(days[at])
+
+
+def _date(f: Feistel, m: re.Match, back: bool) -> str | None:
+    a, mark, b, c = m["a"], m["mark"], m["b"], m["c"]
     pad = lambda v, like: f"{v:02d}" if len(like) == 2 else str(v)
     if len(a) == 4:
-        return f"{new.year}{mark}{pad(new.month, b)}{mark}{pad(new.day, c)}"
-    # Written month first, a pseudonym with a day up to 12 would be read the other way round.
-    return f"{pad(new.day, day)}{mark}{pad(new.month, month)}{mark}{new.year}"
+        new = _other_day(f, int(a), int(b), int(c), back)
+        return new and f"{new.year}{mark}{pad(new.month, b)}{mark}{pad(new.day, c)}"
+    # A second number beyond 12 is a day; where both can be months, the day comes first.
+    swapped = int(b) > 12
+    new = _other_day(f, int(c), int(a if swapped else b), int(b if swapped else a), back) if len(c) == 4 else None
+    if new is None:
+        return None
+    first, second = (new.month, new.day) if swapped else (new.day, new.month)
+    return f"{pad(first, a)}{mark}{pad(second, b)}{mark}{new.year}"
+
+
+def _named_date(f: Feistel, m: re.Match, back: bool) -> str | None:
+    name = m["month"] or m["month2"]
+    low = name.lower().rstrip(".")
+    whole = len(low) > 3 and low != "sept"
+    year, month, day = int(m["year"] or m["year2"]), [n[:3] for n in MONTHS].index(low[:3]) + 1, m["day"] or m["day2"]
+    new = _other_day(f, year, month, int(day), back)
+    # The fifth name is as long in full as cut, so a date with a name in full doesn't become one of it.
+    while new and whole and new.month == 5:
+        new = _other_day(f, new.year, new.month, new.day, back)
+    if new is None:
+        return None
+    shown = MONTHS[new.month - 1] if whole else MONTHS[new.month - 1][:3]
+    shown = shown.upper() if name.isupper() else shown.capitalize() if name[0].isupper() else shown
+    shown += "." * name.endswith(".")
+    number = f"{new.day:02d}" if len(day) == 2 else str(new.day)
+    if m["day"]:
+        return f"{number}{m['gap']}{shown}{m['gap2']}{new.year}"
+    return f"{shown}{m['gap3']}{number}{m['gap4']}{new.year}"
 
 
 def _mail(f: Feistel, m: re.Match, back: bool) -> str | None:
@@ -196,33 +260,44 @@ def _mail(f: Feistel, m: re.Match, back: bool) -> str | None:
 def _secret(f: Feistel, m: re.Match, back: bool) -> str | None:
     if m["named"]:
         value = m["value"]
-        if not any(c.isdigit() for c in value):
+        if not any(c.isdigit() for c in value) and not m["named"].lower().startswith("passw"):
             return None
-        if set(value) <= set("0123456789abcdef"):
+        if set(value) <= set("0123456789abcdef") and any(c.isdigit() for c in value):
             new = f.characters(value, "hex", back, {i: "0123456789abcdef" for i in range(len(value))})
+            while not any(c.isdigit() for c in new):  # it would be read as another kind
+                new = f.characters(new, "hex", back, {i: "0123456789abcdef" for i in range(len(value))})
         else:
             new = f.characters(value, "secret", back)
+            while set(new) <= set("0123456789abcdef") and any(c.isdigit() for c in new):  # it would be read as hexadecimal
+                new = f.characters(new, "secret", back)
         return m["named"] + new
     return m["akia"][:4] + f.characters(m["akia"][4:], "akia", back, {i: DIGITS + UPPER for i in range(16)})
 
 
+#: English names of months.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december",
+)
+_MONTH = "(?i:" + "|".join([*MONTHS, r"(?:jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)\.?"]) + ")"
 #: In order; at one place the first that matches and is valid counts.
 KINDS: list[tuple[str, str, Callable]] = [
-    ("mail", r"(?<![\w.%+-])(?P<local>[A-Za-z0-9](?:[\w.%+-]{0,62}[A-Za-z0-9])?)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![\w-])", _mail),
-    ("secret", r"(?<![A-Za-z0-9])(?:(?P<akia>AKIA[0-9A-Z]{16})|(?P<named>(?i:token|password|passwd|secret|api_?key)\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9]{8,128}))(?![A-Za-z0-9])", _secret),
+    ("mail", r"(?<![\w.%+-])(?P<local>[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24})(?![\w-])", _mail),
+    ("secret", r"(?<![A-Za-z0-9])(?:(?P<akia>AKIA[0-9A-Z]{16})|(?P<named>(?i:token|password|passwd|secret|api_?key)\s?[=:]\s?[\"']?)(?P<value>[A-Za-z0-9](?:[A-Za-z0-9_-]{6,}[A-Za-z0-9])))(?![A-Za-z0-9])", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("date", r"(?<![\w.,/-])(?:(?P<a>\d{4}|\d{1,2})(?P<mark>[-/.])(?P<b>\d{1,2})(?P=mark)(?P<c>(?<=.)\d{4}|\d{1,2}))(?![\w/-])(?!\.\d)", _date),
-    ("social", r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])", _social),
+    ("date", r"(?<![\w-])(?:(?P<day>\d{1,2})(?P<gap> )(?P<month>" + _MONTH + r")(?P<gap2>,? )(?P<year>\d{4})|(?P<month2>" + _MONTH + r")(?P<gap3> )(?P<day2>\d{1,2})(?P<gap4>,? )(?P<year2>\d{4}))(?![\w-])", _named_date),
+    ("social", r"(?<![\w.-])\d{3}(?P<mark>[- ])\d{2}(?P=mark)\d{4}(?![\w-])", _social),
     ("address", r"(?<![\w.-])\d{1,3}(?:\.\d{1,3}){3}(?![\w-])(?!\.\d)", _address),
     ("phone", r"(?<![\w.+-])(?P<code>\+(?:1|[02-9]\d{0,2})[ .-]?)(?P<rest>(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}|\d{6,12})(?![\w-])", _phone),
-    ("phone", r"(?<![\w.+-])(?P<code>)(?P<rest>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\w-])", _phone),
-    ("card", r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", _card),
+    ("phone", r"(?<![\w.+-])(?P<code>)(?P<rest>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4}|\d{3} \d{3} \d{4})(?![\w-])", _phone),
+    ("phone", r"(?<![\w.+-])(?P<code>(?i:phone|tel|call|mobile|fax|cell)[.:]? {0,2})(?P<rest>\d{10})(?![\w-])", _phone),
+    ("card", r"(?<![\w.+-])\d(?:[ .-]?\d){12,18}(?![\w-])", _card),
 ]
 #: With what must not follow a match, for ends that are tried besides the first.
 _COMPILED = [
     (kind, re.compile(pattern, re.ASCII), re.compile(pattern[pattern.rindex("(?![") :], re.ASCII), f) for kind, pattern, f in KINDS
 ]
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|AKIA|[Pp][Aa][Ss][Ss][Ww]")
 
 
 def _ends(pattern: re.Pattern, tail: re.Pattern, text: str, m: re.Match, stop: int):
@@ -287,12 +362,24 @@ def pseudonymise(text: str | None, feistel: Feistel, back: bool = False) -> tupl
     return "".join([*out, text[last:]]), spans
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY, text: str = "text", back: bool = False) -> DataFrame:
+def key_of(spark: SparkSession, otherwise: bytes | None = None) -> bytes:
+    """The key that the session names; refuses without one unless the caller gives another."""
+    found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if found:
+        return found.encode()
+    if otherwise is None:
+        raise ValueError(f"no key: set {SETTING}")
+    return otherwise
+
+
+def pseudonyms(docs: DataFrame, key: bytes | None = None, text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with the text replaced and ``pii``: kind, start and end of every pseudonym.
 
-    Null stays null and empty stays empty; texts without a valid value are unchanged; repeated rows
-    change alike; an empty table stays empty; a column named ``pii`` is replaced.
+    Null stays null and empty stays empty; texts without a valid value are unchanged; very long texts are
+    read whole; repeated rows change alike; an empty table stays empty; a column named ``pii`` is replaced.
+    With ``back`` and the same key, pseudonyms become what they stand for. The key is the session's unless given.
     """
+    key = key if key is not None else key_of(docs.sparkSession)
     feistel = Feistel(key)
     kept = [c for c in docs.columns if c not in (text, "pii")]
 
@@ -305,6 +392,8 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY, text: str = "text", back: bool
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    """The tables are synthetic, so a session without a key runs with the example key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms(docs, key_of(spark, EXAMPLE_KEY)).select(
         "doc_id", "text", F.size("pii").alias("n_values"), "pii"
     )
