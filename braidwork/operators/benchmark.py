@@ -73,17 +73,28 @@ def perturb_price(price: Column, key: Column, seed=0) -> Column:
 
 
 def perturb_category(category: Column, others: list[str], key: Column, seed=0) -> Column:
-    """A tenth blank, a tenth one of a bounded list of others."""
+    """A tenth blank, a tenth one of the catalogue's categories, a list of a size that the caller answers for."""
     roll = uniform(seed, F.lit("category"), key)
     pick = (F.floor(uniform(seed, F.lit("pick"), key) * len(others))).cast("int")
     other = F.get(F.array(*[F.lit(o) for o in others]), pick) if others else F.lit("")
     return F.when(roll < 0.10, "").when(roll < 0.20, other).otherwise(category)
 
 
-def part_of(key: Column, seed=0) -> Column:
-    """shared, left or right by hash; shares hold up to chance."""
-    u = uniform(seed, F.lit("part"), key)
-    return F.when(u < SHARED, "shared").when(u < SHARED + LEFT_ONLY, "left").otherwise("right")
+def parts(catalogue: DataFrame, key: str = "upc", seed=0) -> DataFrame:
+    """Adds ``part``: shared, left or right, in exact numbers (rounded down) by rank of a seeded hash.
+
+    The hashes at the borders are found by counts, so rows are not sorted and not joined.
+    """
+    from .model import cut_hashes
+
+    u = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("part"), F.col(key).cast("string")))
+    n = catalogue.count()
+    shared = int(n * SHARED)
+    ranks = {"shared": shared, "left": shared + int(n * LEFT_ONLY)}
+    hashed = catalogue.select(F.explode(F.array(*[F.lit(k) for k in ranks])).alias("split"), u.alias("_u"))
+    cuts = cut_hashes(hashed, ranks)
+    part = F.when(u <= cuts["shared"], "shared").when(u <= cuts["left"], "left").otherwise("right")
+    return catalogue.withColumn("part", part)
 
 
 def make(catalogue: DataFrame, others: list[str], seed=0) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -92,7 +103,7 @@ def make(catalogue: DataFrame, others: list[str], seed=0) -> tuple[DataFrame, Da
     from .quality import check_unique
 
     check_unique(catalogue, "upc")
-    rows = catalogue.withColumn("_part", part_of(F.col("upc"), seed))
+    rows = parts(catalogue, "upc", seed).withColumnRenamed("part", "_part")
     left = rows.where("_part <> 'right'").select(F.col("upc").alias("left_id"), "title", "category", "price")
     key = F.col("upc")
     right = rows.where("_part <> 'left'").select(

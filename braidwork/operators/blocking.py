@@ -9,9 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import stored
+
 SIZES = (2, 3, 4)
-#: The kernel keeps a block of left records in memory; larger left sides are cut into blocks of this many.
-BLOCK = 50_000
+#: The kernel keeps a block of left records in memory: so many records and so many of their weights at most.
+BLOCK, ENTRIES = 50_000, 10_000_000
+#: Words whose grams a worker remembers.
+WORDS = 100_000
 
 
 class Refused(ValueError):
@@ -77,27 +81,58 @@ def nearest_native(left: DataFrame, right: DataFrame, k: int, key: str = "key")
     return _ranked(rows, k).select("left_id", "right_id", "cosine", "seq")
 
 
-def _kernel(ids: list, postings: dict, k: int, id_type: pa.DataType, right_type: pa.DataType):
-    """For batches of (right_id, grams, weights): the k best of one block of left records."""
-    rank = {x: i for i, x in enumerate(sorted(ids))}
-    order = sorted(ids)
-    packed = {g: (np.array([rank[i] for i in at]), np.array(w)) for g, (at, w) in postings.items()}
+def _grams_of(word: str) -> list[str]:
+    padded = f" {word} "
+    return [padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1)]
+
+
+def _kernel(block: dict, k: int, id_type: pa.DataType, right_type: pa.DataType):
+    """For batches of (right_id, key): the k best of one block of left records.
+
+    ``block`` has the ids in order, all grams of the left side with their idf, and the block's weights gram
+    by gram. A word's grams are looked up once and remembered.
+    """
+    ids, idf, starts, at, weight = (block[c] for c in ("ids", "idf", "starts", "at", "weight"))
+    number = {g: i for i, g in enumerate(block["grams"])}
+    known: dict[str, np.ndarray] = {}
+
+    def grams_of(word: str) -> np.ndarray:
+        found = known.get(word)
+        if found is None:
+            found = np.array([number[g] for g in _grams_of(word) if g in number], dtype=np.int64)
+            if len(word) <= 32:
+                if len(known) >= WORDS:
+                    known.clear()
+                known[word] = found
+        return found
+
+    def cosines(key: str | None) -> np.ndarray:
+        parts = [grams_of(w) for w in (key or "").split()]
+        met, tf = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0))
+        if not len(met):
+            return np.zeros(len(ids))
+        w = tf * idf[met]
+        w /= np.sqrt((w * w).sum())
+        sizes = starts[met + 1] - starts[met]
+        first = np.repeat(starts[met] - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        places = first + np.arange(len(first))
+        return np.bincount(at[places], np.repeat(w, sizes) * weight[places], minlength=len(ids))
 
     def nearest(batches):
         for b in batches:
-            rights, lefts, cosines = [], [], []
-            for r, gs, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                total = np.zeros(len(order))
-                for g, w in zip(gs or [], ws or []):
-                    if g in packed:
-                        at, weight = packed[g]
-                        total[at] += w * weight
-                best = np.lexsort((np.arange(len(order)), -np.round(total, 9)))[:k]
+            rights, lefts, values = [], [], []
+            for r, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total = cosines(key)
+                rounded = np.round(total, 9)
+                # All that reach the k-th best value, then the smaller ids among equals.
+                least = np.partition(rounded, len(ids) - k)[len(ids) - k] if k < len(ids) else -1.0
+                near = np.flatnonzero(rounded >= least)
+                best = near[np.lexsort((near, -rounded[near]))[:k]]
                 rights += [r] * len(best)
-                lefts += [order[i] for i in best]
-                cosines += total[best].tolist()
+                lefts += [ids[i] for i in best]
+                values += total[best].tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lefts, id_type), pa.array(rights, right_type), pa.array(cosines, pa.float64())],
+                [pa.array(lefts, id_type), pa.array(rights, right_type), pa.array(values, pa.float64())],
                 names=["left_id", "right_id", "cosine"],
             )
 
@@ -108,27 +143,43 @@ def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, key: str = "ke
     """For each right record the ``min(k, lefts)`` nearest left ones: left_id, right_id, cosine, seq.
 
     Ties go to the smaller left_id; a right record without a known gram has cosine 0 to all. The left side
-    is cut into blocks of bounded size; every block gives its k best, and the best of those remain.
+    is cut into blocks of bounded numbers of records and of weights; every block gives its k best to each
+    right record, and the best of those remain. Right records are read where they lie, once per block, and
+    only the pairs found are moved.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     if k < 1:
         raise Refused("k has to be 1 or more")
-    a, b = weights(left, right, key)
-    vectors = b.groupBy("right_id").agg(F.collect_list("gram").alias("g"), F.collect_list("weight").alias("w"))
-    vectors = right.select("right_id").join(vectors, "right_id", "left")
+    counted = left.select("left_id", F.explode(grams(key)).alias("gram")).groupBy("left_id", "gram").agg(F.count("*").alias("tf"))
+    counted = stored(counted, "grams")
+    n, entries = left.count(), counted.count()
+    df = counted.groupBy("gram").agg(F.count("*").alias("df"))
+    idf = df.select("gram", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = counted.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = raw.groupBy("left_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    a = stored(raw.join(norm, "left_id").select("left_id", "gram", (F.col("w") / F.col("norm")).alias("weight")), "weights")
+    # The right side is weighted by all grams of the left side, whatever block it meets.
+    known = {r["gram"]: r["idf"] for r in idf.toLocalIterator()}
+    names = sorted(known)
+    values = np.array([known[g] for g in names])
+    number = {g: i for i, g in enumerate(names)}
     kinds = [to_arrow_type(df.schema[c].dataType) for df, c in ((left, "left_id"), (right, "right_id"))]
     schema = f"left_id {dict(left.dtypes)['left_id']}, right_id {dict(right.dtypes)['right_id']}, cosine double"
-    n = left.count()
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK), -(-entries // ENTRIES))
     block = F.pmod(F.xxhash64("left_id"), F.lit(blocks))
-    # A block's ids and weights are bounded by BLOCK records; blocks are sent one after another.
     best = None
     for i in range(blocks):
-        ids = [r["left_id"] for r in left.where(block == i).select("left_id").toLocalIterator()]
-        rows = a.where(block == i).groupBy("gram").agg(F.collect_list("left_id").alias("at"), F.collect_list("weight").alias("w"))
-        postings = {r["gram"]: (r["at"], r["w"]) for r in rows.toLocalIterator()}
-        found = vectors.mapInArrow(_kernel(ids, postings, k, *kinds), schema)
+        ids = sorted(r["left_id"] for r in left.where(block == i).select("left_id").toLocalIterator())
+        rank = {x: j for j, x in enumerate(ids)}
+        rows = [(number[r["gram"]], rank[r["left_id"]], r["weight"]) for r in a.where(block == i).toLocalIterator()]
+        rows.sort()
+        g = np.array([x[0] for x in rows], dtype=np.int64)
+        packed = {
+            "ids": ids, "grams": names, "idf": values, "starts": np.searchsorted(g, np.arange(len(names) + 1)),
+            "at": np.array([x[1] for x in rows], dtype=np.int64), "weight": np.array([x[2] for x in rows]),
+        }
+        found = right.select("right_id", key).mapInArrow(_kernel(packed, k, *kinds), schema)
         best = found if best is None else best.unionByName(found)
     return _ranked(best, k)
 

@@ -82,11 +82,12 @@ def closure_audit(
 
 def closure_merges(entities: DataFrame, accepted: DataFrame, truth_entities: DataFrame, record: str = "record_id") -> DataFrame:
     """One row: pairs of entities of 3 or more that nobody accepted, and how many of them are right."""
-    taken = accepted.select(F.least("left_id", "right_id").alias("one"), F.greatest("left_id", "right_id").alias("other"))
-    rows = inner_pairs(entities, 3, record).join(taken, ["one", "other"], "left_anti")
-    for side in ("one", "other"):
-        rows = rows.join(truth_entities.select(F.col(record).alias(side), F.col("entity").alias(f"{side}_truth")), side)
-    return rows.agg(F.count("*").alias("merges"), F.count_if(F.col("one_truth") == F.col("other_truth")).alias("correct"))
+    run = F.lit(0).alias("_run")
+    members = entities.select(run, record, "entity")
+    found = closure_counts(members, accepted.select(run, "left_id", "right_id"), with_sizes(truth_entities, record), ["_run"], record)
+    return found.agg(
+        F.coalesce(F.sum("closure"), F.lit(0)).alias("merges"), F.coalesce(F.sum("closure_correct"), F.lit(0)).alias("correct")
+    )
 
 
 def exact_entities(entities: DataFrame, truth_entities: DataFrame, record: str = "record_id") -> DataFrame:
@@ -109,3 +110,55 @@ def size_histogram(entities: DataFrame) -> DataFrame:
 def same_source_entities(entities: DataFrame, sources: DataFrame, record: str = "record_id") -> DataFrame:
     rows = entities.join(sources.select(record, "source"), record).groupBy("entity")
     return rows.agg(F.count("*").alias("n"), F.count_distinct("source").alias("s")).where("n > s").select("entity", "n", "s")
+
+
+# --- many runs at once
+
+
+def with_sizes(entities: DataFrame, record: str = "record_id") -> DataFrame:
+    """(record, truth, truth_size): the true entity of each record and its size."""
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("truth_size"))
+    return entities.join(sizes, "entity").select(record, F.col("entity").alias("truth"), "truth_size")
+
+
+def resolved_runs(pairs: DataFrame, by: list[str], record: str = "record_id") -> DataFrame:
+    """Members of the entities that the pairs of each run make: ``by``, record and entity; records without a pair have no row.
+
+    Vertices carry their run, so all runs are one graph that falls apart into theirs.
+    """
+    node = lambda c: F.struct(*by, F.col(c).alias("r"))
+    found = components(pairs.select(node("left_id").alias("a"), node("right_id").alias("b")), "a", "b")
+    return found.select(*[F.col("vertex")[c].alias(c) for c in by], F.col("vertex")["r"].alias(record), F.col("component")["r"].alias("entity"))
+
+
+def exact_runs(members: DataFrame, truth: DataFrame, by: list[str], record: str = "record_id") -> DataFrame:
+    """Adds ``exact`` to members: their entity has just the records of one true entity. ``truth`` comes from ``with_sizes``."""
+    known = members.join(truth, record)
+    whole = known.groupBy(*by, "entity").agg(
+        F.count("*").alias("n"), F.min("truth").alias("t"), F.max("truth").alias("u"), F.max("truth_size").alias("m")
+    )
+    whole = whole.select(*by, "entity", ((F.col("t") == F.col("u")) & (F.col("n") == F.col("m"))).alias("exact"))
+    return members.join(whole, [*by, "entity"])
+
+
+def closure_counts(members: DataFrame, accepted: DataFrame, truth: DataFrame, by: list[str], record: str = "record_id") -> DataFrame:
+    """Per run: ``closure``, pairs of entities of 3 or more that nobody accepted, and ``closure_correct`` of them.
+
+    Pairs are counted from group sizes, never made: n (n - 1) / 2 inside an entity, and inside what it
+    shares with a true entity, less the accepted pairs.
+    """
+    inside = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    known = members.join(truth.select(record, "truth"), record)
+    shared = known.groupBy(*by, "entity", "truth").agg(F.count("*").alias("m"))
+    sizes = shared.groupBy(*by, "entity").agg(F.sum("m").alias("n"), F.sum(inside("m")).alias("right")).where("n >= 3")
+    pairs = accepted.select(*by, F.col("left_id").alias(record), "right_id").distinct()
+    pairs = pairs.join(known, [*by, record]).withColumnRenamed("truth", "_left")
+    other = truth.select(F.col(record).alias("right_id"), F.col("truth").alias("_right"))
+    pairs = pairs.join(other, "right_id").groupBy(*by, "entity").agg(
+        F.count("*").alias("taken"), F.count_if(F.col("_left") == F.col("_right")).alias("taken_right")
+    )
+    rows = sizes.join(pairs, [*by, "entity"])
+    return rows.groupBy(*by).agg(
+        F.sum(inside("n") - F.col("taken")).cast("bigint").alias("closure"),
+        F.sum(F.col("right") - F.col("taken_right")).cast("bigint").alias("closure_correct"),
+    )

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as X
-from . import blocking, metrics, model
+from . import blocking, entities, metrics, model
 from .blocking import Refused
+from .lineage import stored
 from .policy import POLICIES
 
-#: Feature groups of the ablation, for records with all fields.
+#: Feature groups of the ablation, for records with all fields.
 GROUPS: dict[str, tuple[str, ...]] = {
     "all": X.TRAINED,
     "no category": tuple(f for f in X.TRAINED if f != "same_category"),
@@ -23,6 +24,7 @@ GROUPS: dict[str, tuple[str, ...]] = {
     "price only": ("price_relative_diff",),
     "volume only": ("volume_conflict", "volume_match", "volume_one_sided"),
 }
+#: The same for records whose fields may be missing.
 GROUPS_MISSING: dict[str, tuple[str, ...]] = {
     "all": X.TRAINED_MISSING,
     "no description": tuple(f for f in X.TRAINED_MISSING if f != "description_jaccard"),
@@ -53,11 +55,19 @@ def pair_table(left: DataFrame, right: DataFrame, truth: DataFrame, k: int, feat
     return rows.select(*ids, "seq", "cosine", *[c.alias(n) for n, c in made.items()], "is_match")
 
 
+def scored_splits(
+    pairs: DataFrame, seeds: Sequence, features: Sequence[str] = X.TRAINED, constraint: str | None = "volume_conflict"
+) -> tuple[DataFrame, dict[str, model.Scorer]]:
+    """``pairs`` once per seed with split, fold and ``score``, by a model fitted on the split's training fold."""
+    rows = model.splits(pairs, seeds)
+    fitted = model.fit_many(rows.where("fold = 'train'"), features, constraint=constraint)
+    return model.score_many(rows, fitted), fitted
+
+
 def scored(pairs: DataFrame, seed, features: Sequence[str] = X.TRAINED, constraint: str | None = "volume_conflict") -> tuple[DataFrame, model.Scorer]:
-    """``pairs`` split by right record, with the ``score`` of a model fitted on the training fold."""
-    split = model.grouped_split(pairs, "right_id", seed)
-    fitted = model.fit(split.where("fold = 'train'"), features, constraint=constraint)
-    return split.withColumn("score", fitted.score()), fitted
+    """``scored_splits`` of one seed."""
+    rows, fitted = scored_splits(pairs, [seed], features, constraint)
+    return rows.drop("split"), fitted[str(seed)]
 
 
 def _runs(parts: list[DataFrame]) -> DataFrame:
@@ -80,24 +90,116 @@ def ablation(pairs: DataFrame, groups: dict[str, Sequence[str]] = GROUPS, seed=0
     return runs.join(F.broadcast(reference)).withColumn("delta", F.col("f1") - F.col("_all")).drop("_all")
 
 
-def sweep(
-    pairs: DataFrame, seeds: Sequence[int], threshold: float = 0.5, policies: Sequence[str] = tuple(POLICIES),
-    features: Sequence[str] = X.TRAINED, scope: str = "table",
-) -> DataFrame:
-    """Test-fold metrics of each policy on each split.
+def decide_splits(rows: DataFrame, threshold: float, policies: Sequence[str], scope: str = "table") -> DataFrame:
+    """``rows`` (with split and fold) once per policy, with ``policy`` and ``keep``.
 
     ``scope`` is what competes for a record: pairs of the whole ``table``, or of the test ``fold`` alone.
     """
     if scope not in ("table", "fold"):
         raise Refused(f"scope is table or fold, not {scope!r}")
+    within = ("split", "fold") if scope == "fold" else ("split",)
+    return _runs([POLICIES[name](rows, threshold, scope=within).withColumn("policy", F.lit(name)) for name in policies])
+
+
+def sweep(rows: DataFrame, records: DataFrame, truth: DataFrame, threshold: float = 0.5, policies: Sequence[str] = tuple(POLICIES), scope: str = "table") -> DataFrame:
+    """A row per split and policy: test-fold metrics, accepted pairs, and what closing them does.
+
+    ``rows`` are scored pairs of all splits; ``records`` has every record_id; ``truth`` has left_id and
+    right_id. ``exact`` is the share of the test fold's right records whose entity is their true one;
+    ``closure`` counts pairs that only closing joins, ``closure_correct`` those that are right. All splits
+    and policies are closed in one run of components.
+    """
+    by = ["split", "policy"]
+    decided = stored(decide_splits(rows, threshold, policies, scope).select(*by, "fold", "left_id", "right_id", "is_match", "keep"), "decided")
+    # What is accepted is counted on the whole table, the rest on the test fold.
+    accepted = decided.groupBy(*by).agg(F.count_if("keep").alias("accepted"))
+    runs = metrics.confusion(decided.where("fold = 'test'"), by=tuple(by)).drop("accepted")
+    true = stored(entities.with_sizes(entities.resolve(records, truth)), "truth")
+    members = stored(entities.resolved_runs(decided.where("keep"), by), "members")
+    merges = entities.closure_counts(members, decided.where("keep"), true, by)
+    whole = entities.exact_runs(members, true, by)
+    held = decided.where("fold = 'test'").select(*by, F.col("right_id").alias("record_id")).distinct()
+    held = held.join(whole.select(*by, "record_id", "exact"), [*by, "record_id"], "left").join(true, "record_id")
+    alone = F.col("truth_size") == 1
+    share = held.groupBy(*by).agg(F.avg(F.coalesce("exact", alone).cast("double")).alias("exact"))
+    out = runs.join(accepted, by).join(share, by).join(merges, by, "left")
+    return out.fillna(0, ["closure", "closure_correct"])
+
+
+def tune(rows: DataFrame, policy: str) -> float:
+    """The threshold with the best F1 of a policy on the pairs given; the smallest of equals.
+
+    Which pairs a policy can keep doesn't depend on the threshold, so it decides once for all of them.
+    """
+    able = POLICIES[policy](rows, float("-inf")).withColumnRenamed("keep", "eligible")
+    grid = metrics.threshold_grid(able, metrics.candidate_thresholds(rows), eligible="eligible")
+    return metrics.best_threshold(grid).first()["threshold"]
+
+
+def threshold_sources(rows: DataFrame, flat: float = 0.5, policies: Sequence[str] = tuple(POLICIES)) -> DataFrame:
+    """Each policy on the test fold at a flat threshold, the one tuned on the training fold, and the test fold's best.
+
+    Refuses if the best is below the flat one: then the search missed it and it bounds nothing.
+    """
+    train, test = rows.where("fold = 'train'"), rows.where("fold = 'test'")
     parts = []
-    for seed in seeds:
-        rows, _ = scored(pairs, seed, features)
-        for name in policies:
-            decided = POLICIES[name](rows, threshold, scope=("fold",) if scope == "fold" else ())
-            run = metrics.confusion(decided.where("fold = 'test'"))
-            parts.append(run.withColumn("seed", F.lit(seed)).withColumn("policy", F.lit(name)))
-    return _runs(parts)
+    for name in policies:
+        sources = {"flat": flat, "train-tuned": tune(train, name), "test-oracle": tune(test, name)}
+        for source, threshold in sources.items():
+            run = metrics.confusion(POLICIES[name](test, threshold))
+            parts.append(run.withColumns({"policy": F.lit(name), "source": F.lit(source), "threshold": F.lit(float(threshold))}))
+    runs = stored(_runs(parts), "sources")
+    f1 = {(r["policy"], r["source"]): r["f1"] for r in runs.select("policy", "source", "f1").collect()}  # a few rows
+    for name in policies:
+        if f1[name, "test-oracle"] < f1[name, "flat"] - 1e-12:
+            raise Refused(f"the best threshold of {name!r} is below the flat one: the search missed it")
+    return runs
+
+
+def feature_layers(pairs: DataFrame, seeds: Sequence, groups: dict[str, Sequence[str]] = GROUPS_MISSING, threshold: float = 0.5) -> DataFrame:
+    """A row per layer (single pairs, one-to-one) and feature group over all splits, compared with ``all``.
+
+    Mean, standard deviation, worst and best F1, wins, losses and their exact sign test against ``all`` on
+    the same splits; for single pairs, how many test decisions changed and agree (fixed) or not (broken).
+    """
+    check_groups(groups, pairs.columns)
+    parts = []
+    for name, features in groups.items():
+        rows, _ = scored_splits(pairs, seeds, features, None)
+        test = rows.where("fold = 'test'").select("split", "left_id", "right_id", "seq", "is_match", "score")
+        for layer, policy in (("pairs", "threshold only"), ("one-to-one", "mutual best")):
+            decided = POLICIES[policy](test, threshold, scope=("split",))
+            parts.append(decided.withColumns({"layer": F.lit(layer), "features": F.lit(name)}).drop("seq", "score"))
+    decided = stored(_runs(parts), "layers")
+    return layers_summary(decided)
+
+
+def layers_summary(decided: DataFrame, reference: str = "all") -> DataFrame:
+    """The summary of ``feature_layers`` from decisions with layer, features, split, left_id, right_id, is_match and keep."""
+    by = ["layer", "features"]
+    runs = stored(metrics.confusion(decided, by=(*by, "split")), "runs")
+    base = metrics.summary(runs, tuple(by), "f1")
+    other = runs.where(F.col("features") == reference).select("layer", "split", F.col("f1").alias("_f1"))
+    gap = F.col("f1") - F.col("_f1")
+    paired = runs.join(other, ["layer", "split"]).groupBy(*by).agg(
+        F.count_if(gap > 1e-12).alias("wins"), F.count_if(gap < -1e-12).alias("losses")
+    )
+    ids = ["layer", "split", "left_id", "right_id"]
+    mine = decided.where("layer = 'pairs'")
+    kept = mine.where(F.col("features") == reference).select(*ids, F.col("keep").alias("_keep"))
+    changed = mine.join(kept, ids).where(F.col("keep") != F.col("_keep"))
+    right = F.col("keep") == (F.col("is_match") == 1)
+    changes = changed.groupBy(*by).agg(F.count_if(right).alias("fixed"), F.count_if(~right).alias("broken"))
+    out = base.join(paired, by).join(changes, by, "left")
+    # The test's value follows from two small numbers, so it is looked up per pair of numbers.
+    met = [(r["wins"], r["losses"]) for r in paired.select("wins", "losses").distinct().collect()]
+    p = decided.sparkSession.createDataFrame([(a, b, metrics.sign_test(a, b)) for a, b in met], "wins bigint, losses bigint, p double")
+    same = F.col("features") == reference
+    out = out.join(F.broadcast(p), ["wins", "losses"]).withColumns(
+        {c: F.when(~same, F.col(c)) for c in ("wins", "losses", "p")}
+    )
+    none = lambda c: F.when(F.col("layer") == "pairs", F.coalesce(c, F.lit(0)))
+    return out.select(*by, "mean", "sd", "worst", "best", "wins", "losses", "p", none("fixed").alias("fixed"), none("broken").alias("broken"))
 
 
 def volume_experiment(pairs: DataFrame, seed=0, threshold: float = 0.5) -> DataFrame:
@@ -116,6 +218,26 @@ def volume_experiment(pairs: DataFrame, seed=0, threshold: float = 0.5) -> DataF
     return _runs(parts)
 
 
+def key_budgets(left: DataFrame, right: DataFrame, truth: DataFrame, name: str, a: Callable, b: Callable, ks: Sequence[int] = (5, 10)) -> DataFrame:
+    """Pairs and recall of two keys' candidates and of their union for several k: what an equal number of pairs buys."""
+    t = truth.select("left_id", "right_id").distinct()
+    total = t.agg(F.count("*").alias("truths"))
+    top = {}
+    for label, f in (("first key", a), ("second key", b)):
+        found = blocking.nearest_neighbours(blocking.rekey(left, name, f), blocking.rekey(right, name, f), max(ks))
+        top[label] = stored(found.select("left_id", "right_id", "seq"), "candidates")
+    parts = []
+    for k in ks:
+        sets = {label: found.where(F.col("seq") <= k).select("left_id", "right_id") for label, found in top.items()}
+        sets["union"] = blocking.union_pairs(*sets.values())
+        for label, pairs in sets.items():
+            hit = pairs.join(t.withColumn("_true", F.lit(1)), ["left_id", "right_id"], "left")
+            run = hit.agg(F.count("*").alias("pairs"), F.count("_true").alias("found"))
+            parts.append(run.withColumns({"strategy": F.lit(label), "k": F.lit(k)}))
+    runs = _runs(parts).join(F.broadcast(total))
+    return runs.select("strategy", "k", "pairs", "found", F.try_divide("found", "truths").alias("recall"))
+
+
 def key_variants(left: DataFrame, right: DataFrame, truth: DataFrame, name: str, a: Callable, b: Callable, k: int) -> DataFrame:
     """True pairs that one key's candidates reach and the other's don't: ``gained`` by b, ``lost`` by b."""
     t = truth.select("left_id", "right_id").distinct()

@@ -117,3 +117,19 @@ def lower_bound(successes: int, trials: int, confidence: float = 0.95) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if tail(mid) < alpha else (low, mid)
     return (low + high) / 2
+
+
+def true_rate(pairs: DataFrame, flag: str, truth: str = "is_match") -> DataFrame:
+    """How many pairs have each value of a flag, and the share of true ones among them."""
+    return pairs.groupBy(F.col(flag).alias("flag")).agg(F.count("*").alias("pairs"), F.avg(F.col(truth).cast("double")).alias("true_rate"))
+
+
+def totals(runs: DataFrame, by: tuple[str, ...], columns: tuple[str, ...]) -> DataFrame:
+    """Sums over splits; ``share`` of the last column in the first is null where there is nothing to divide by."""
+    sums = runs.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
+    return sums.withColumn("share", F.try_divide(F.col(columns[-1]), F.col(columns[0])))
+
+
+def best_cut(scored: DataFrame, score: str = "cosine") -> DataFrame:
+    """The threshold of a plain score with the best F1, of ``baseline_thresholds``; the smallest of equals."""
+    return best_threshold(threshold_grid(scored, baseline_thresholds(scored, score), score))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocking import Refused
+from .lineage import stored
 from .policy import veto
 
 
@@ -20,16 +20,64 @@ def uniform(seed, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
-def grouped_split(pairs: DataFrame, group: str = "right_id", seed=0, test_share: float = 0.3) -> DataFrame:
-    """Adds ``fold``: whole groups go to test, ceil(share * groups) of them, those first by seeded hash.
+def cut_hashes(hashed: DataFrame, ranks: dict, by: str = "split", hash_: str = "_u") -> dict:
+    """For each value of ``by`` the hash (hexadecimal text, distinct within it) of the rank asked for, from 1.
 
-    The cut is the hash at that rank, found by an aggregate; no ranking of all groups in one task.
+    Counts per beginning of the hash lead to the one that holds the rank, at most 65,536 of them at a time
+    for each value; only hashes of that beginning come to the driver. No task ranks all rows.
+    """
+    found = {v: "" for v, rank in ranks.items() if rank <= 0}
+    open_ = {v: ("", rank) for v, rank in ranks.items() if rank > 0}
+    spark = hashed.sparkSession
+    while open_:
+        starts = spark.createDataFrame([(v, p) for v, (p, _) in open_.items()], f"_by {dict(hashed.dtypes)[by]}, _start string")
+        rows = hashed.join(F.broadcast(starts), (F.col(by) == F.col("_by")) & F.col(hash_).startswith(F.col("_start")))
+        longer = F.substring(hash_, F.lit(1), F.length("_start") + 4).alias("_next")
+        counts: dict = {}
+        for r in rows.groupBy(by, longer).agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r[by], []).append((r["_next"], r["n"]))
+        ends = {}
+        for v, (_, rank) in open_.items():
+            for start, n in sorted(counts[v]):
+                if rank <= n:
+                    ends[v] = (start, rank, n)
+                    break
+                rank -= n
+        open_ = {v: (start, rank) for v, (start, rank, n) in ends.items() if n > 10_000}
+        last = {v: (start, rank) for v, (start, rank, n) in ends.items() if n <= 10_000}
+        if last:
+            starts = spark.createDataFrame([(v, p) for v, (p, _) in last.items()], f"_by {dict(hashed.dtypes)[by]}, _start string")
+            rows = hashed.join(F.broadcast(starts), (F.col(by) == F.col("_by")) & F.col(hash_).startswith(F.col("_start")))
+            kept: dict = {}
+            for r in rows.select(by, hash_).collect():
+                kept.setdefault(r[by], []).append(r[hash_])
+            found |= {v: sorted(kept[v])[rank - 1] for v, (_, rank) in last.items()}
+    return found
+
+
+def _share(n: int, share: float) -> int:
+    return -(-int(round(n * share * 1e9)) // 10**9)
+
+
+def splits(pairs: DataFrame, seeds: Sequence, group: str = "right_id", test_share: float = 0.3) -> DataFrame:
+    """``pairs`` once per seed, with ``split`` (the seed) and ``fold``.
+
+    Whole groups go to test, ceil(share * groups) of them, those first by seeded hash. A group's fold
+    follows from its own hash and the hash at that rank, so pairs are not joined with anything.
     """
-    groups = pairs.select(group).distinct().withColumn("_u", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string"))))
-    n = groups.count()
-    take = -(-int(round(n * test_share * 1e9)) // 10**9)
-    test = groups.orderBy("_u").limit(take).select(group, F.lit("test").alias("_f"))
-    return pairs.join(test, group, "left").withColumn("fold", F.coalesce("_f", F.lit("train"))).drop("_f")
+    hashed = lambda seed: F.md5(F.concat_ws("|", seed, F.col(group).cast("string")))
+    split = F.explode(F.array(*[F.lit(str(s)) for s in seeds])).alias("split")
+    groups = pairs.select(group).distinct()
+    take = _share(groups.count(), test_share)
+    ranked = groups.select(group, split).select("split", hashed(F.col("split")).alias("_u"))
+    cuts = cut_hashes(ranked, {str(s): take for s in seeds})
+    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col("split"))
+    return pairs.select("*", split).withColumn("fold", F.when(hashed(F.col("split")) <= cut, "test").otherwise("train"))
+
+
+def grouped_split(pairs: DataFrame, group: str = "right_id", seed=0, test_share: float = 0.3) -> DataFrame:
+    """Adds ``fold``: one of ``splits``."""
+    return splits(pairs, [seed], group, test_share).drop("split")
 
 
 def check_folds(split: DataFrame, group: str = "right_id") -> None:
@@ -79,31 +127,87 @@ def impute(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tuple[D
     return train.fillna(fills), test.fillna(fills)
 
 
-def fit(train: DataFrame, features: Sequence[str], label: str = "is_match", constraint: str | None = None, rounds: int = 2000) -> Scorer:
-    """Standardises by the training fold, then fits with balanced classes and an L2 penalty of 1.
+def fit(train: DataFrame, features: Sequence[str], label: str = "is_match", constraint: str | None = None, rounds: int = 100) -> Scorer:
+    """One of ``fit_many``."""
+    one = train.withColumn("_split", F.lit("0"))
+    return fit_many(one, features, label, constraint, rounds, "_split")["0"]
+
+
+def fit_many(
+    train: DataFrame, features: Sequence[str], label: str = "is_match", constraint: str | None = None, rounds: int = 100, by: str = "split"
+) -> dict[str, Scorer]:
+    """A model for each value of ``by``, all in the same passes.
 
-    The loss is averaged by weight, so the penalty is divided by the number of rows.
+    Missing values become the mean of the split's training rows; features are standardised by them. Classes
+    are balanced and weights have an L2 penalty of 1, the intercept has none. Newton's method: each pass
+    sums the gradient and the curvature of all splits, a few numbers per split whatever the rows.
     """
-    fills = train_means(train, features)
-    filled = train.fillna(fills)
-    row = filled.agg(
-        F.count("*").alias("n"), F.sum(F.col(label)).alias("pos"),
-        *[F.avg(c).alias(f"m_{c}") for c in features], *[F.stddev_pop(c).alias(f"s_{c}") for c in features],
-    ).first()
-    n, pos = row["n"], row["pos"] or 0
-    if not 0 < pos < n:
+    d, spark = len(features), train.sparkSession
+    numbers = [f"f{i}" for i in range(d)]
+    rows = train.select(F.col(by).alias("_by"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, numbers)])
+    fills = {r["_by"]: [r[n] or 0.0 for n in numbers] for r in rows.groupBy("_by").agg(*[F.avg(n).alias(n) for n in numbers]).collect()}
+
+    def with_arrays(df: DataFrame, **arrays: dict) -> DataFrame:
+        table = [(v, *[[float(x) for x in a[v]] for a in arrays.values()]) for v in fills]
+        made = spark.createDataFrame(table, f"_by {dict(rows.dtypes)['_by']}, " + ", ".join(f"_{n} array<double>" for n in arrays))
+        return df.join(F.broadcast(made), "_by")
+
+    filled = lambda i, n: F.coalesce(F.col(n), F.get("_fill", F.lit(i)))
+    stats = with_arrays(rows, fill=fills).groupBy("_by").agg(
+        F.count("*").alias("n"), F.sum("y").alias("pos"), *[F.avg(filled(i, n)).alias(f"m{i}") for i, n in enumerate(numbers)],
+        *[F.stddev_pop(filled(i, n)).alias(f"s{i}") for i, n in enumerate(numbers)],
+    ).collect()
+    stats = {r["_by"]: r for r in stats}
+    if not stats or any(not 0 < r["pos"] < r["n"] for r in stats.values()):
         raise Refused("training needs both classes")
-    scales = [row[f"s_{c}"] or 1.0 for c in features]
-    scaled = filled.select(
-        *[((F.col(c) - row[f"m_{c}"]) / s).alias(c) for c, s in zip(features, scales)],
-        F.col(label).cast("double").alias("label"),
-        F.when(F.col(label) == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))).alias("weight"),
+    means = {v: [r[f"m{i}"] for i in range(d)] for v, r in stats.items()}
+    scales = {v: [r[f"s{i}"] or 1.0 for i in range(d)] for v, r in stats.items()}
+    balance = {v: [r["n"] / (2 * (r["n"] - r["pos"])), r["n"] / (2 * r["pos"])] for v, r in stats.items()}
+    z = lambda i, n: (filled(i, n) - F.get("_mean", F.lit(i))) / F.get("_scale", F.lit(i))
+    base = with_arrays(rows, fill=fills, mean=means, scale=scales, balance=balance).select(
+        "_by", "y", F.get("_balance", F.col("y").cast("int")).alias("c"), *[z(i, n).alias(n) for i, n in enumerate(numbers)]
     )
-    vectors = VectorAssembler(inputCols=list(features), outputCol="features").transform(scaled)
-    model = LogisticRegression(
-        weightCol="weight", regParam=1 / n, elasticNetParam=0.0, standardization=False, maxIter=rounds, tol=1e-10
-    ).fit(vectors)
-    return Scorer(
-        tuple(features), tuple(row[f"m_{c}"] for c in features), tuple(scales), tuple(float(w) for w in model.coefficients),
-        float(model.intercept), tuple(fills[c] for c in features), constraint,
-    )
+    base = stored(base, "training") if len(fills) > 1 else base
+    now = {v: np.zeros(d + 1) for v in fills}
+    for _ in range(rounds):
+        total = F.get("_w", F.lit(d))
+        for i, n in enumerate(numbers):
+            total = total + F.get("_w", F.lit(i)) * F.col(n)
+        p = (1 / (1 + F.exp(-total))).alias("p")
+        at = with_arrays(base, w=now).select("_by", "y", "c", *numbers, p)
+        inner = [*numbers, "one"]
+        at = at.withColumn("one", F.lit(1.0)).withColumn("g", F.col("c") * (F.col("p") - F.col("y"))).withColumn("h", F.col("c") * F.col("p") * (1 - F.col("p")))
+        sums = [F.sum(F.col("g") * F.col(n)).alias(f"g_{n}") for n in inner]
+        sums += [F.sum(F.col("h") * F.col(a) * F.col(b)).alias(f"h_{a}_{b}") for i, a in enumerate(inner) for b in inner[i:]]
+        largest = 0.0
+        for r in at.groupBy("_by").agg(*sums).collect():
+            w = now[r["_by"]]
+            penalty = np.append(np.ones(d), 0.0)
+            gradient = np.array([r[f"g_{n}"] for n in inner]) + penalty * w
+            curve = np.array([[r[f"h_{inner[min(i, j)]}_{inner[max(i, j)]}"] for j in range(d + 1)] for i in range(d + 1)])
+            step = np.linalg.solve(curve + np.diag(penalty + 1e-12), gradient)
+            step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-300))  # far from the optimum the curve says little
+            now[r["_by"]] = w - step
+            largest = max(largest, float(np.abs(step).max()))
+        if largest < 1e-10:
+            break
+    return {
+        v: Scorer(tuple(features), tuple(means[v]), tuple(scales[v]), tuple(map(float, w[:d])), float(w[d]), tuple(fills[v]), constraint)
+        for v, w in now.items()
+    }
+
+
+def score_many(rows: DataFrame, scorers: dict[str, Scorer], by: str = "split") -> DataFrame:
+    """Adds ``score`` by the model of each row's split: a small table of numbers and one expression."""
+    one = next(iter(scorers.values()))
+    kind = dict(rows.dtypes)[by]
+    table = [(v, list(s.means), list(s.scales), list(s.weights), s.intercept, list(s.fills)) for v, s in scorers.items()]
+    made = rows.sparkSession.createDataFrame(table, f"_by {kind}, _m array<double>, _s array<double>, _w array<double>, _b double, _f array<double>")
+    total = F.col("_b")
+    for i, name in enumerate(one.features):
+        at = lambda c: F.get(c, F.lit(i))  # noqa: B023, E731
+        total = total + at("_w") * (F.coalesce(F.col(name), at("_f")) - at("_m")) / at("_s")
+    score = 1 / (1 + F.exp(-total))
+    score = veto(score, F.col(one.constraint)) if one.constraint else score
+    out = rows.join(F.broadcast(made), F.col(by) == F.col("_by")).withColumn("score", score)
+    return out.drop("_by", "_m", "_s", "_w", "_b", "_f")

@@ -74,14 +74,19 @@ def null_rates(frame: DataFrame, columns: Sequence[str], limit: float = MAX_MISS
     return rows.withColumn("ok", F.col("missing") <= limit * F.col("rows"))
 
 
-def column_profile(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, blanks (null or empty), distinct values, longest text and smallest example."""
+def column_profile(frame: DataFrame, columns: Sequence[str] | None = None, order: str | None = None) -> DataFrame:
+    """column, blanks (null or empty) and their share, distinct values, longest text and an example.
+
+    The example is the first value by ``order`` that isn't blank; without an order, the smallest one.
+    """
     columns = columns or frame.columns
     text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    first = lambda c: F.min_by(text(c), F.when(text(c).isNotNull(), F.col(order))) if order else F.min(text(c))
     parts = [
         F.struct(
-            F.lit(c).alias("column"), (F.count("*") - F.count(text(c))).alias("blank"), F.count_distinct(text(c)).alias("distinct"),
-            F.coalesce(F.max(F.length(text(c))), F.lit(0)).alias("longest"), F.min(text(c)).alias("example"),
+            F.lit(c).alias("column"), (F.count("*") - F.count(text(c))).alias("blank"),
+            F.try_divide(F.count("*") - F.count(text(c)), F.count("*")).alias("blank_share"), F.count_distinct(text(c)).alias("distinct"),
+            F.coalesce(F.max(F.length(text(c))), F.lit(0)).alias("longest"), first(c).alias("example"),
         )
         for c in columns
     ]
@@ -149,7 +154,7 @@ def check_unique(frame: DataFrame, key: str) -> None:
 
 
 def label_integrity(truth: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: labels, those with both ends, records without and with several partners on each side."""
+    """One row: labels, those with both ends, their share of all pairs, records without and with several partners on each side."""
     t = truth.select("left_id", "right_id").distinct()
     both = t.join(left.select("left_id").distinct(), "left_id", "left_semi").join(right.select("right_id").distinct(), "right_id", "left_semi")
 
@@ -160,6 +165,10 @@ def label_integrity(truth: DataFrame, left: DataFrame, right: DataFrame) -> Data
     return (
         t.agg(F.count("*").alias("labels"))
         .join(F.broadcast(both.agg(F.count("*").alias("resolvable"))))
+        .join(F.broadcast(left.agg(F.count("*").alias("_lefts"))))
+        .join(F.broadcast(right.agg(F.count("*").alias("_rights"))))
+        .withColumn("positive_rate", F.try_divide(F.col("labels"), F.col("_lefts") * F.col("_rights")))
+        .drop("_lefts", "_rights")
         .join(F.broadcast(side(left, "left_id", "left")))
         .join(F.broadcast(side(right, "right_id", "right")))
     )

@@ -172,6 +172,23 @@ class Store:
             raise Refused("a link names a record or an entity that doesn't exist")
 
 
+def plan_loads(sources: dict[str, dict], exists) -> list[str]:
+    """The sources to load, in order: required ones have to have their cleaned file, optional ones may lack it.
+
+    A source has a ``path``, whether it is ``required`` and perhaps a ``raw_path``. Raw records have passed
+    no rule, so a required source of which only they are there refuses too. ``exists`` tests a path.
+    """
+    found = []
+    for name, source in sources.items():
+        if exists(source["path"]):
+            found.append(name)
+        elif source.get("required"):
+            raw = source.get("raw_path")
+            seen = f"; {raw} is there, but nothing has been checked in it" if raw and exists(raw) else ""
+            raise Refused(f"{source['path']} of {name} is missing{seen}")
+    return found
+
+
 def read_truth(labels: DataFrame, records: DataFrame, left_source: str, right_source: str) -> DataFrame:
     """Labels by external ids (as text) to record ids; refuses when none or only some reach records."""
     t = labels.select(F.col("left_id").cast("string").alias("l"), F.col("right_id").cast("string").alias("r")).distinct()

@@ -6,6 +6,7 @@ contains a passage. Parts serve as a catalogue of products. Every query reads wh
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from ..functions import features as X
 from ..functions import text as T
 from ..operators import benchmark as G
 from ..operators import blocking, entities, experiments, metrics, model, quality, store
-from ..operators.policy import POLICIES, discordant, triage, veto
-from ..sources import html
+from ..operators.containment import contained
+from ..operators.lineage import checkpoint_dir, stored
+from ..operators.policy import POLICIES, discordant, shown, triage, veto
+from ..sources import files, html
+from . import resolution
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,9 +59,7 @@ def right_side(spark, d) -> DataFrame:
 
 
 def truth(spark, d) -> DataFrame:
-    """Passages are few, so each document looks for all of them; no pairs are made but those found."""
-    items, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return docs.join(F.broadcast(items.withColumnRenamed("text", "item")), F.contains("text", "item")).select(
+    return contained(table(spark, d, "benchmark").withColumnRenamed("text", "item"), table(spark, d, "documents")).select(
         F.col("item_id").alias("left_id"), F.col("doc_id").alias("right_id")
     )
 
@@ -89,28 +91,39 @@ def _grams(side: str, i: str) -> str:
 )"""
 
 
-def _knn(k: int) -> str:
-    return f"""{SIDES},{_grams('l', 'left_id')},{_grams('r', 'right_id')},
-idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM l)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM lg GROUP BY gram),
-lv AS (SELECT left_id, gram, tf * idf AS w FROM lg JOIN idf USING (gram)),
-rv AS (SELECT right_id, gram, tf * idf AS w FROM rg JOIN idf USING (gram)),
-ln_ AS (SELECT left_id, sqrt(sum(w * w)) AS n FROM lv GROUP BY 1),
-rn_ AS (SELECT right_id, sqrt(sum(w * w)) AS n FROM rv GROUP BY 1),
-dots AS (SELECT left_id, right_id, sum(lv.w * rv.w) AS dot FROM lv JOIN rv USING (gram) GROUP BY 1, 2),
-scored AS (
-  SELECT l.left_id, r.right_id, coalesce(dot / (ln_.n * rn_.n), 0) AS cosine
-  FROM l CROSS JOIN r LEFT JOIN dots USING (left_id, right_id) LEFT JOIN ln_ USING (left_id) LEFT JOIN rn_ USING (right_id)
+def _neighbours(k: int, p: str = "") -> str:
+    """The nearest neighbours of the sides {p}l and {p}r as {p}cand."""
+    return f"""{_grams(p + 'l', 'left_id')},{_grams(p + 'r', 'right_id')},
+{p}idf AS (SELECT gram, ln((1 + (SELECT count(*) FROM {p}l)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM {p}lg GROUP BY gram),
+{p}lv AS (SELECT left_id, gram, tf * idf AS w FROM {p}lg JOIN {p}idf USING (gram)),
+{p}rv AS (SELECT right_id, gram, tf * idf AS w FROM {p}rg JOIN {p}idf USING (gram)),
+{p}ln_ AS (SELECT left_id, sqrt(sum(w * w)) AS n FROM {p}lv GROUP BY 1),
+{p}rn_ AS (SELECT right_id, sqrt(sum(w * w)) AS n FROM {p}rv GROUP BY 1),
+{p}dots AS (SELECT left_id, right_id, sum({p}lv.w * {p}rv.w) AS dot FROM {p}lv JOIN {p}rv USING (gram) GROUP BY 1, 2),
+{p}scored AS (
+  SELECT x.left_id, y.right_id, coalesce(dot / ({p}ln_.n * {p}rn_.n), 0) AS cosine
+  FROM {p}l x CROSS JOIN {p}r y LEFT JOIN {p}dots USING (left_id, right_id) LEFT JOIN {p}ln_ USING (left_id) LEFT JOIN {p}rn_ USING (right_id)
 ),
-cand AS (
-  SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY round(cosine, 9) DESC, left_id) AS seq FROM scored
+{p}cand AS (
+  SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY round(cosine, 9) DESC, left_id) AS seq FROM {p}scored
   QUALIFY seq <= {k}
-),
+)"""
+
+
+def _knn(k: int) -> str:
+    return f"""{SIDES},{_neighbours(k)},
 lab AS (
   SELECT c.*, round(cosine, 6) AS score, (t.left_id IS NOT NULL)::INTEGER AS is_match
   FROM cand c LEFT JOIN truth t USING (left_id, right_id)
 )"""
 
 
+SQUASHED = "regexp_replace(lower({c}), '[^a-z0-9]+', '', 'g')"
+#: Two sides by another key: ql and qr.
+SQUASHED_SIDES = f"""ql AS (SELECT item_id AS left_id, {SQUASHED.format(c='text')} AS key FROM benchmark),
+qr AS (SELECT doc_id AS right_id, {SQUASHED.format(c='text')} AS key FROM documents)"""
+
+
 KNN = _knn(K)
 RATES = """coalesce(tp / nullif(tp + fp, 0), 0) AS precision, tp / nullif(tp + fn, 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1"""
 
@@ -169,13 +182,23 @@ def clean_records(spark, d):
     return quality.clean(raw_parts(spark, d))
 
 
-@query(f"""WITH {PARTS}, n AS (SELECT count(*) AS n, count(*) - count(stars) AS m FROM p)
+@query(f"""WITH {PARTS}, c AS (SELECT stars, price, price + CASE WHEN p_partkey % 25 = 0 THEN 1 ELSE 0 END AS incl, p_partkey % 3 = 0 AS blank, p_partkey % 40 = 0 AS sold FROM p),
+n AS (SELECT count(*) AS n, count(*) - count(stars) AS stars, count(*) FILTER (WHERE sold) AS stock, count(*) FILTER (WHERE abs(price - incl) > 1e-8 + 1e-5 * abs(incl)) AS apart,
+  count(*) FILTER (WHERE blank) AS blank FROM c)
 SELECT unnest(['missing rating_stars', 'missing price_listing_gbp', 'missing price_incl_tax_gbp', 'missing stock_count',
   'listing and detail price', 'excl + tax = incl', 'empty description']) AS rule,
-  unnest([m, 0, 0, 0, 0, 0, 0])::BIGINT AS value, n AS rows, unnest([0.02, 0.02, 0.02, 0.02, 0.05, 0.0, 0.5])::DOUBLE AS limit,
-  unnest([m <= 0.02 * n, true, true, true, true, true, true]) AS ok FROM n""")
+  unnest([stars, 0, 0, stock, apart, apart, blank])::BIGINT AS value, n AS rows, unnest([0.02, 0.02, 0.02, 0.02, 0.05, 0.0, 0.5])::DOUBLE AS limit,
+  unnest([stars <= 0.02 * n, true, true, stock <= 0.02 * n, apart <= 0.05 * n, apart <= 0, blank <= 0.5 * n]) AS ok FROM n""")
 def validate_rules(spark, d):
-    return quality.validate(quality.clean(raw_parts(spark, d)))
+    """Parts with some prices that disagree, some counts that say nothing and some empty descriptions."""
+    key = F.col("upc").cast("bigint")
+    raw = raw_parts(spark, d)
+    dearer = F.concat(F.lit("£"), F.format_string("%.2f", T.money("price") + F.when(key % 25 == 0, 1.0).otherwise(0.0)))
+    raw = raw.withColumns({
+        "price_incl_tax": dearer, "description": F.when(key % 3 == 0, "  ").otherwise(F.col("description")),
+        "stock": F.when(key % 40 == 0, "In stock").otherwise(F.col("stock")),
+    })
+    return quality.validate(quality.clean(raw))
 
 
 @query("""SELECT 'o_totalprice' AS column, count(*) - count(o_totalprice) AS missing, count(*) AS rows, count(*) - count(o_totalprice) <= 0.02 * count(*) AS ok FROM orders
@@ -184,17 +207,18 @@ def validate_null_rates(spark, d):
     return quality.null_rates(table(spark, d, "orders"), ["o_totalprice", "o_orderdate"])
 
 
-def _profile(columns: list[str], of: str) -> str:
+def _profile(columns: list[str], of: str, order: str) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS column, count(*) - count(nullif({c}::VARCHAR, '')) AS blank, count(DISTINCT nullif({c}::VARCHAR, '')) AS distinct,
-  coalesce(max(length(nullif({c}::VARCHAR, ''))), 0)::INTEGER AS longest, min(nullif({c}::VARCHAR, '')) AS example FROM {of}"""
+        f"""SELECT '{c}' AS column, count(*) - count(nullif({c}::VARCHAR, '')) AS blank, (count(*) - count(nullif({c}::VARCHAR, ''))) / nullif(count(*), 0) AS blank_share,
+  count(DISTINCT nullif({c}::VARCHAR, '')) AS distinct,
+  coalesce(max(length(nullif({c}::VARCHAR, ''))), 0)::INTEGER AS longest, arg_min({c}::VARCHAR, {order}) FILTER (WHERE {c}::VARCHAR <> '') AS example FROM {of}"""
         for c in columns
     )
 
 
-@query(_profile(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part"))
+@query(_profile(["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "part", "p_partkey"))
 def column_profile(spark, d):
-    return quality.column_profile(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"])
+    return quality.column_profile(table(spark, d, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "p_partkey")
 
 
 @query("SELECT 'kind' AS column, 'document' AS value UNION ALL SELECT 'lang', min(lang) FROM documents HAVING min(lang) = max(lang)")
@@ -202,11 +226,12 @@ def constant_columns(spark, d):
     return quality.constant_columns(table(spark, d, "documents").withColumn("kind", F.lit("document")), ["lang", "kind"])
 
 
-@query(f"WITH {PARTS} SELECT count(*) FILTER (WHERE price * 1.001 - price > 0.005) AS disagreeing, max(price * 1.001 - price) AS worst FROM p")
+@query(f"""WITH {PARTS}, s AS (SELECT p_partkey AS k, price * 1.001 - price AS s FROM p)
+SELECT count(*) FILTER (WHERE s > 0.005) AS disagreeing, max(s) AS worst, (SELECT k FROM s ORDER BY s DESC, k DESC LIMIT 1) AS worst_key FROM s""")
 def price_audit(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.round("p_retailprice", 2).alias("price_listing_gbp"))
     rows = rows.withColumn("price_incl_tax_gbp", F.col("price_listing_gbp") * 1.001)
-    return quality.price_spread(rows, "p_partkey").select("disagreeing", "worst")
+    return quality.price_spread(rows, "p_partkey")
 
 
 @query("SELECT unnest(['role', 'text']) AS field, unnest([count(*) FILTER (WHERE coalesce(role, '') = ''), count(*) FILTER (WHERE coalesce(text, '') = '')]) AS empty, count(*) AS records, unnest([count(*) FILTER (WHERE coalesce(role, '') = '') = 0, count(*) FILTER (WHERE coalesce(text, '') = '') = 0]) AND count(*) > 0 AS ok FROM conversations")
@@ -234,7 +259,9 @@ def page_titles(spark, d):
     return html.parse(table(spark, d, "pages"), html.page_title)
 
 
-@query()
+@query("""WITH h AS (SELECT page_id, html, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS a, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS b FROM pages),
+x AS (SELECT page_id, unnest(range(len(a))) AS position, unnest(a) AS href, unnest(b) AS anchor FROM h)
+SELECT page_id, position::INTEGER AS position, replace(href, '&amp;', '&') AS href, trim(replace(anchor, '&amp;', '&')) AS anchor FROM x""")
 def page_links(spark, d):
     return html.parse(table(spark, d, "pages"), html.links)
 
@@ -300,10 +327,22 @@ def block_union_two_keys(spark, d):
     return blocking.union_pairs(candidates(spark, d), exact)
 
 
-@query()
+@query(f"""WITH {SIDES},{_neighbours(1)},{SQUASHED_SIDES},{_neighbours(1, 'q')},
+x AS (SELECT left_id, right_id FROM truth INTERSECT SELECT left_id, right_id FROM cand), y AS (SELECT left_id, right_id FROM truth INTERSECT SELECT left_id, right_id FROM qcand)
+SELECT left_id, right_id, 'gained' AS change FROM (FROM y EXCEPT FROM x) UNION ALL SELECT left_id, right_id, 'lost' FROM (FROM x EXCEPT FROM y)""")
 def block_gained_lost(spark, d):
     left, right = left_side(spark, d), right_side(spark, d)
-    return experiments.key_variants(left, right, truth(spark, d), "title", T.spaced_key, T.split_key, 1)
+    return experiments.key_variants(left, right, truth(spark, d), "title", T.spaced_key, T.squashed_key, 1)
+
+
+@query(f"""WITH {SIDES},{_neighbours(10)},{SQUASHED_SIDES},{_neighbours(10, 'q')}, ks AS (SELECT unnest([5, 10]) AS k),
+s AS (SELECT 'first key' AS strategy, k, left_id, right_id FROM cand, ks WHERE seq <= k UNION ALL SELECT 'second key', k, left_id, right_id FROM qcand, ks WHERE seq <= k),
+u AS (FROM s UNION ALL SELECT DISTINCT 'union', k, left_id, right_id FROM s)
+SELECT strategy, k::INTEGER AS k, count(*) AS pairs, count(t.left_id) AS found, count(t.left_id) / (SELECT nullif(count(*), 0) FROM truth) AS recall
+FROM u LEFT JOIN truth t USING (left_id, right_id) GROUP BY 1, 2""")
+def block_key_budgets(spark, d):
+    left, right = left_side(spark, d), right_side(spark, d)
+    return experiments.key_budgets(left, right, truth(spark, d), "title", T.spaced_key, T.squashed_key)
 
 
 @query(f"""WITH {SIDES}, a AS (SELECT left_id, count(*) AS n FROM truth GROUP BY 1), b AS (SELECT right_id, count(*) AS n FROM truth GROUP BY 1)
@@ -316,6 +355,7 @@ def partner_counts(spark, d):
 
 @query(f"""WITH {SIDES}, a AS (SELECT left_id, count(*) AS n FROM truth GROUP BY 1), b AS (SELECT right_id, count(*) AS n FROM truth GROUP BY 1)
 SELECT (SELECT count(*) FROM truth) AS labels, (SELECT count(*) FROM truth) AS resolvable,
+  (SELECT count(*) FROM truth) / ((SELECT count(*) FROM l) * (SELECT count(*) FROM r)) AS positive_rate,
   (SELECT count(*) FROM l) - (SELECT count(*) FROM a) AS left_alone, (SELECT count(*) FROM a WHERE n > 1) AS left_several,
   (SELECT count(*) FROM r) - (SELECT count(*) FROM b) AS right_alone, (SELECT count(*) FROM b WHERE n > 1) AS right_several""")
 def label_integrity(spark, d):
@@ -379,7 +419,7 @@ def part_pairs(spark, d) -> DataFrame:
 
 def perturbed(spark, d, seed=0):
     parts = raw_parts(spark, d).select("upc", "title", "category", T.money("price").alias("price"))
-    kinds = [r["category"] for r in parts.select("category").distinct().orderBy("category").limit(50).collect()]
+    kinds = [r["category"] for r in parts.select("category").distinct().orderBy("category").collect()]
     return G.make(parts, kinds, seed)
 
 
@@ -388,9 +428,8 @@ def pair_features_full(spark, d):
     return part_pairs(spark, d)
 
 
-@query()
-def pair_features_missing(spark, d):
-    """Records whose price, description or maker may be missing."""
+def missing_pairs(spark, d) -> DataFrame:
+    """Pairs of the perturbed catalogue whose price, description or maker may be missing."""
     def extra(df):
         named = df.withColumn("key_spaced", T.split_key("title")).withColumn("key", T.squashed_key("title"))
         named = named.withColumn("price", F.when(F.pmod(F.crc32("title"), F.lit(5)) > 0, F.col("price")))
@@ -400,6 +439,60 @@ def pair_features_missing(spark, d):
     return experiments.pair_table(extra(left), extra(right), known, K, X.with_missing)
 
 
+@query()
+def pair_features_missing(spark, d):
+    return missing_pairs(spark, d)
+
+
+TOKENS = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
+JACCARD = "coalesce(len(list_intersect({a}, {b})) / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0), 0)::DOUBLE"
+SPLIT = """regexp_replace(regexp_replace(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), '([a-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g')"""
+
+
+@query(f"""WITH {KNN}, f AS (
+  SELECT lab.left_id, lab.right_id, {SQUASHED.format(c='l.title')} AS lk, {TOKENS.format(c=SPLIT.format(c='l.title'))} AS a, {TOKENS.format(c=SPLIT.format(c='r.title'))} AS b,
+    l.price AS lp, CASE WHEN r.right_id % 5 > 0 THEN r.price END AS rp,
+    CASE WHEN l.left_id % 2 = 0 THEN {TOKENS.format(c='l.title')} ELSE []::VARCHAR[] END AS x, {TOKENS.format(c='r.title')} AS y, CASE WHEN r.right_id % 3 > 0 THEN r.category ELSE '' END AS maker
+  FROM lab JOIN l USING (left_id) JOIN r USING (right_id))
+SELECT left_id, right_id, round({JACCARD.format(a='a', b='b')}, 6) AS word_jaccard, round(abs(lp - rp) / greatest(lp, rp, 0.01), 6) AS price_relative_diff,
+  (lp IS NOT NULL AND rp IS NOT NULL)::INTEGER::DOUBLE AS price_known,
+  CASE WHEN len(x) > 0 AND len(y) > 0 THEN round({JACCARD.format(a='x', b='y')}, 6) END AS description_jaccard, (len(x) > 0 AND len(y) > 0)::INTEGER::DOUBLE AS description_known,
+  CASE WHEN maker <> '' THEN contains(lk, maker)::INTEGER::DOUBLE END AS manufacturer_in_name, (maker <> '')::INTEGER::DOUBLE AS manufacturer_known FROM f""")
+def pair_features_missing_sql(spark, d):
+    """The features for missing fields that SQL can express, over passages and documents with fields left out."""
+    rows = pair_sides(spark, d).select(
+        "left_id", "right_id", "cosine", T.squashed_key("left_title").alias("left_key"), T.squashed_key("right_title").alias("right_key"),
+        T.split_key("left_title").alias("left_key_spaced"), T.split_key("right_title").alias("right_key_spaced"), "left_price",
+        F.when(F.col("right_id") % 5 > 0, F.col("right_price")).alias("right_price"),
+        F.when(F.col("left_id") % 2 == 0, F.col("left_title")).alias("left_description"), F.col("right_title").alias("right_description"),
+        F.when(F.col("right_id") % 3 > 0, F.col("right_category")).alias("right_manufacturer"),
+    )
+    made = X.with_missing()
+    names = ("word_jaccard", "price_relative_diff", "price_known", "description_jaccard", "description_known", "manufacturer_in_name", "manufacturer_known")
+    return rows.select("left_id", "right_id", *[F.round(made[c], 6).alias(c) for c in names])
+
+
+@query(f"WITH {FEATURES} SELECT same_category AS flag, count(*) AS pairs, avg(is_match) AS true_rate FROM feat GROUP BY 1")
+def true_rate_by_flag(spark, d):
+    rows = pair_sides(spark, d).withColumn("same_category", X.plain()["same_category"])
+    return metrics.true_rate(rows, "same_category")
+
+
+@query(f"""WITH {KNN}, e AS (SELECT right_id FROM r WHERE right_id % 3 = 0), t AS (SELECT * FROM truth WHERE right_id IN (FROM e))
+SELECT (SELECT count(*) FROM t) AS truths, (SELECT count(*) FROM t JOIN lab USING (left_id, right_id) WHERE score >= 0.3) AS found,
+  (SELECT count(*) FROM t JOIN lab USING (left_id, right_id) WHERE score >= 0.3) / (SELECT nullif(count(*), 0) FROM t) AS recall""")
+def end_to_end_recall(spark, d):
+    decided = POLICIES["threshold only"](labelled(spark, d), 0.3)
+    return experiments.end_to_end(decided, truth(spark, d), right_side(spark, d).where("right_id % 3 = 0"))
+
+
+@query(f"""WITH {KNN} SELECT left_id, right_id, score, l.title AS left_title, l.category AS left_category, l.price AS left_price, r.title AS right_title, r.category AS right_category, r.price AS right_price
+FROM lab JOIN l USING (left_id) JOIN r USING (right_id) WHERE seq = 1 AND score >= 0.3""")
+def shown_pairs(spark, d):
+    rows = labelled(spark, d).where("seq = 1 AND score >= 0.3").select("left_id", "right_id", "score")
+    return shown(rows, left_side(spark, d), right_side(spark, d))
+
+
 # --- decisions
 
 
@@ -456,12 +549,56 @@ def best_threshold(spark, d):
     return metrics.best_threshold(_grid(spark, d))
 
 
-@query()
+TRIAGED = """(SELECT '{kind}' AS kind, left_id, right_id, {score} AS score FROM {rows} ORDER BY score DESC NULLS LAST, left_id, right_id LIMIT 8)"""
+
+
+@query(f"""WITH {KNN}, x AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, seq, left_id) AS a,
+  row_number() OVER (PARTITION BY left_id ORDER BY score DESC, right_id) AS b FROM lab), never AS (SELECT left_id, right_id FROM truth EXCEPT SELECT left_id, right_id FROM lab)
+{TRIAGED.format(kind='never generated', score='NULL::DOUBLE', rows='never')} UNION ALL {TRIAGED.format(kind='too low', score='score', rows='x WHERE is_match = 1 AND score < 0.3')}
+UNION ALL {TRIAGED.format(kind='false positive', score='score', rows='x WHERE is_match = 0 AND score >= 0.3')}
+UNION ALL {TRIAGED.format(kind='surviving', score='score', rows='x WHERE is_match = 0 AND a = 1 AND b = 1 AND score >= 0.3')}""")
 def error_triage(spark, d):
     decided = POLICIES["mutual best"](labelled(spark, d), 0.3)
     return triage(decided, truth(spark, d), 0.3)
 
 
+BASE_QUANTILES = ", ".join(repr(0.50 + (0.999 - 0.50) * i / 79) for i in range(80))
+DENSE_QUANTILES = ", ".join(repr(0.30 + (0.999 - 0.30) * i / 39) for i in range(40))
+UNIFORM = ", ".join(repr(round(i / 100, 2)) for i in range(1, 100))
+COUNTED = """count(*) FILTER (WHERE {able} score >= threshold AND is_match = 1) AS tp, count(*) FILTER (WHERE {able} score >= threshold AND is_match = 0) AS fp,
+  count(*) FILTER (WHERE is_match = 1) - count(*) FILTER (WHERE {able} score >= threshold AND is_match = 1) AS fn"""
+
+
+@query(f"""WITH {KNN}, q AS (SELECT DISTINCT unnest(quantile_cont(score, [{BASE_QUANTILES}])) AS threshold FROM lab), c AS (SELECT threshold, {COUNTED.format(able='')} FROM lab, q GROUP BY 1)
+SELECT round(threshold, 9) AS threshold, {RATES}, tp AS true_positive, fp AS false_positive, fn AS false_negative FROM c ORDER BY f1 DESC, c.threshold LIMIT 1""")
+def baseline_cut(spark, d):
+    return metrics.best_cut(labelled(spark, d), "score").withColumn("threshold", F.round("threshold", 9))
+
+
+@query(f"""WITH {KNN} SELECT DISTINCT round(t, 9) AS threshold FROM (SELECT unnest(quantile_cont(score, [{DENSE_QUANTILES}])) AS t FROM lab UNION ALL SELECT unnest([{UNIFORM}])::DOUBLE)""")
+def threshold_candidates(spark, d):
+    return metrics.candidate_thresholds(labelled(spark, d)).select(F.round("threshold", 9).alias("threshold")).distinct()
+
+
+NAMES = "['threshold only', 'best per right', 'mutual best']"
+ABLE = "(policy = 'threshold only' OR a = 1 AND (policy = 'best per right' OR b = 1))"
+
+
+@query(f"""WITH {KNN}, g AS (SELECT right_id, row_number() OVER (ORDER BY md5('0|' || right_id)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT right_id FROM lab)),
+f AS (SELECT lab.*, CASE WHEN k <= ceil(round(n * 0.3, 6)) THEN 'test' ELSE 'train' END AS fold FROM lab JOIN g USING (right_id)),
+x AS (SELECT *, row_number() OVER (PARTITION BY fold, right_id ORDER BY score DESC, seq, left_id) AS a, row_number() OVER (PARTITION BY fold, left_id ORDER BY score DESC, right_id) AS b FROM f),
+y AS (SELECT *, {ABLE} AS able FROM x, (SELECT unnest({NAMES}) AS policy)),
+q AS (SELECT DISTINCT fold, threshold FROM (SELECT fold, unnest(quantile_cont(score, [{DENSE_QUANTILES}])) AS threshold FROM f GROUP BY fold UNION ALL SELECT fold, unnest([{UNIFORM}])::DOUBLE FROM (SELECT DISTINCT fold FROM f))),
+c AS (SELECT policy, fold, threshold, {COUNTED.format(able='able AND')} FROM y JOIN q USING (fold) GROUP BY 1, 2, 3),
+best AS (SELECT policy, fold, threshold FROM c QUALIFY row_number() OVER (PARTITION BY policy, fold ORDER BY coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) DESC, threshold) = 1),
+s AS (SELECT unnest({NAMES}) AS policy, 'flat' AS source, 0.5::DOUBLE AS threshold UNION ALL SELECT policy, CASE fold WHEN 'test' THEN 'test-oracle' ELSE 'train-tuned' END, threshold FROM best),
+z AS (SELECT policy, source, threshold, {COUNTED.format(able='able AND')}, count(*) FILTER (WHERE able AND score >= threshold) AS accepted FROM y JOIN s USING (policy) WHERE fold = 'test' GROUP BY 1, 2, 3)
+SELECT policy, source, round(threshold, 9) AS threshold, {RATES}, tp AS true_positive, fp AS false_positive, fn AS false_negative, accepted FROM z""")
+def policy_thresholds(spark, d):
+    rows = stored(model.grouped_split(labelled(spark, d)), "labelled")
+    return experiments.threshold_sources(rows).withColumn("threshold", F.round("threshold", 9))
+
+
 @query(f"""WITH {KNN}, x AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, seq, left_id) AS a FROM lab),
 w AS (SELECT left_id, right_id, (score >= 0.3) <> (is_match = 1) AS p, (a = 1 AND score >= 0.3) <> (is_match = 1) AS q FROM x)
 SELECT left_id, right_id, CASE WHEN p THEN 'fixed' ELSE 'broken' END AS change FROM w WHERE p <> q""")
@@ -489,8 +626,6 @@ def impute_train_mean(spark, d):
 
 
 def _pairs_once(spark, d) -> DataFrame:
-    from ..operators.lineage import stored
-
     return stored(part_pairs(spark, d), "pairs")
 
 
@@ -500,15 +635,63 @@ def logistic_scores(spark, d):
     return rows.select("left_id", "right_id", "is_match", "fold", "score")
 
 
+@query(f"""WITH {FEATURES}, m AS (SELECT avg(cosine) AS a, stddev_pop(cosine) AS s, avg(length_ratio) AS b, stddev_pop(length_ratio) AS t FROM feat)
+SELECT left_id, right_id, round(CASE WHEN volume_conflict = 1 THEN 0.0 ELSE 1 / (1 + exp(-(-1.5 + 2.0 * (cosine - a) / s - 0.5 * (length_ratio - b) / t))) END, 9) AS score FROM feat, m""")
+def model_score(spark, d):
+    """Standardised features and the score expression, with weights that are given."""
+    made = X.plain()
+    rows = pair_sides(spark, d).withColumn("cosine", F.round("cosine", 6))
+    rows = stored(rows.select("left_id", "right_id", "cosine", made["length_ratio"].alias("length_ratio"), made["volume_conflict"].alias("volume_conflict")), "features")
+    m = rows.agg(F.avg("cosine"), F.stddev_pop("cosine"), F.avg("length_ratio"), F.stddev_pop("length_ratio")).first()
+    given = model.Scorer(("cosine", "length_ratio"), (m[0], m[2]), (m[1], m[3]), (2.0, -0.5), -1.5, (0.0, 0.0), "volume_conflict")
+    return rows.select("left_id", "right_id", F.round(given.score(), 9).alias("score"))
+
+
 @query()
 def ablation(spark, d):
     return experiments.ablation(_pairs_once(spark, d))
 
 
+SEEDS = range(20)
+
+
+def _summed_up(runs: DataFrame, reference: str = "mutual best") -> DataFrame:
+    """A row per policy over all splits: bands, sums of closure merges, and how often it beats the reference."""
+    runs = stored(runs, "runs")
+    out = metrics.totals(runs, ("policy",), ("closure", "closure_correct"))
+    for value in ("precision", "recall", "f1", "exact", "accepted"):
+        band = metrics.band(runs, ("policy",), value)
+        out = out.join(band.toDF("policy", *[f"{value}_{c}" for c in band.columns[1:]]), "policy")
+    parts = []
+    for name in sorted(POLICIES):
+        row = runs.where(F.col("policy") == name).agg(F.first("policy").alias("policy"))
+        for value in ("f1", "exact"):
+            games = metrics.head_to_head(runs, "policy", name, reference, "split", value)
+            row = row.join(F.broadcast(games.toDF(*[f"{value}_{c}" for c in games.columns])))
+        parts.append(row)
+    return out.join(F.broadcast(experiments._runs(parts)), "policy")
+
+
+def _cosine_sweep(spark, d) -> DataFrame:
+    rows = stored(model.splits(_named(labelled(spark, d)), SEEDS), "splits")
+    return experiments.sweep(rows, _records(spark, d), _named(truth(spark, d)), 0.3)
+
+
 @query()
 def sweep_policies(spark, d):
-    runs = experiments.sweep(_pairs_once(spark, d), range(3))
-    return metrics.band(runs, ("policy",), "f1")
+    """20 splits of the perturbed catalogue with a model each, three policies, closed into entities."""
+    pairs = _pairs_once(spark, d)
+    parts = raw_parts(spark, d)
+    _, right, known = perturbed(spark, d)
+    ids = [parts.select(F.col("upc").alias("record_id")), right.select(F.col("right_id").alias("record_id"))]
+    rows, _ = experiments.scored_splits(pairs, SEEDS)
+    return _summed_up(experiments.sweep(stored(rows, "splits"), ids[0].union(ids[1]), known))
+
+
+@query()
+def feature_layers(spark, d):
+    """Feature groups for missing fields over 20 splits, each against all features on the same splits."""
+    return experiments.feature_layers(stored(missing_pairs(spark, d), "pairs"), SEEDS)
 
 
 @query()
@@ -579,13 +762,13 @@ def components_accepted(spark, d):
 
 @query(f"""{ENTITIES}, pr AS (SELECT x.record_id AS o, y.record_id AS t FROM ent x JOIN ent y ON x.entity = y.entity AND x.record_id < y.record_id)
 SELECT CASE WHEN acc.a IS NOT NULL THEN 'accepted by the matcher' WHEN n.a IS NOT NULL THEN 'scored, below the bar' ELSE 'never a candidate' END AS bucket,
-  count(*) AS pairs, count(*) FILTER (WHERE x.entity = y.entity) AS correct, count(*) FILTER (WHERE o[1] = t[1]) AS same_source
+  count(*) AS pairs, count(*) FILTER (WHERE x.entity = y.entity) AS correct, count(*) FILTER (WHERE o[1] = t[1]) AS same_source,
+  min(n.score) FILTER (WHERE acc.a IS NULL) AS low, max(n.score) FILTER (WHERE acc.a IS NULL) AS high, round(avg(n.score) FILTER (WHERE acc.a IS NULL), 9) AS mean
 FROM pr LEFT JOIN acc ON acc.a = o AND acc.b = t LEFT JOIN named n ON n.a = o AND n.b = t
 JOIN tru x ON x.record_id = o JOIN tru y ON y.record_id = t GROUP BY 1""")
 def closure_audit(spark, d):
     records, decided, accepted, found, true = _resolved(spark, d)
-    audit = entities.closure_audit(found, accepted, decided, true, records)
-    return audit.select("bucket", "pairs", "correct", "same_source")
+    return entities.closure_audit(found, accepted, decided, true, records).withColumn("mean", F.round("mean", 9))
 
 
 @query(f"""{ENTITIES}, z AS (SELECT entity FROM ent GROUP BY 1 HAVING count(*) >= 3),
@@ -621,6 +804,203 @@ def numbered_entities(spark, d):
     return entities.numbered(entities.resolve(records, _named(truth(spark, d))), records)[1]
 
 
+RUNS = f"""WITH RECURSIVE {KNN}, {VERTICES}, tp AS (SELECT 'L' || left_id AS a, 'R' || right_id AS b FROM truth), {_reach('SELECT a, b FROM tp', 'tru')},
+seeds AS (SELECT unnest(range(20)) AS seed),
+g AS (SELECT seed, right_id, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '|R' || right_id)) AS k, count(*) OVER (PARTITION BY seed) AS n FROM (SELECT DISTINCT right_id FROM lab), seeds),
+test AS (SELECT seed, right_id FROM g WHERE k <= ceil(round(n * 0.3, 6))),
+x AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY score DESC, seq) AS a, row_number() OVER (PARTITION BY left_id ORDER BY score DESC, 'R' || right_id) AS b FROM lab),
+pol AS (SELECT unnest({NAMES}) AS policy),
+dec AS (SELECT policy, 'L' || left_id AS l, 'R' || right_id AS r, right_id, is_match, score >= 0.3 AND {ABLE} AS keep FROM x, pol),
+acc AS (SELECT policy, count(*) FILTER (WHERE keep) AS accepted FROM dec GROUP BY 1),
+m AS (SELECT seed, policy, count(*) FILTER (WHERE keep AND is_match = 1) AS tp, count(*) FILTER (WHERE keep AND is_match = 0) AS fp, count(*) FILTER (WHERE NOT keep AND is_match = 1) AS fn
+  FROM dec JOIN test USING (right_id) GROUP BY 1, 2),
+e AS (SELECT policy, l AS a, r AS b FROM dec WHERE keep UNION ALL SELECT policy, r, l FROM dec WHERE keep),
+reach AS (SELECT policy, record_id AS v, record_id AS r FROM v, pol UNION SELECT reach.policy, reach.v, e.b FROM reach JOIN e ON e.policy = reach.policy AND e.a = reach.r),
+ent AS (SELECT policy, v AS record_id, min(r) AS entity FROM reach GROUP BY 1, 2),
+es AS (SELECT policy, entity, list_sort(list(record_id)) AS members FROM ent GROUP BY 1, 2), ts AS (SELECT entity, list_sort(list(record_id)) AS members FROM tru GROUP BY 1),
+whole AS (SELECT ent.policy, ent.record_id, es.members = ts.members AS exact FROM ent JOIN es USING (policy, entity) JOIN tru ON tru.record_id = ent.record_id JOIN ts ON ts.entity = tru.entity),
+held AS (SELECT seed, policy, avg(exact::INTEGER) AS exact FROM test JOIN whole ON record_id = 'R' || right_id GROUP BY 1, 2),
+inner_ AS (SELECT p.policy, p.record_id AS o, q.record_id AS t FROM ent p JOIN ent q ON p.policy = q.policy AND p.entity = q.entity AND p.record_id < q.record_id
+  JOIN es ON es.policy = p.policy AND es.entity = p.entity WHERE len(es.members) >= 3),
+merged AS (SELECT i.policy, count(*) AS closure, count(*) FILTER (WHERE u.entity = w.entity) AS closure_correct
+  FROM inner_ i LEFT JOIN dec ON dec.policy = i.policy AND dec.keep AND dec.l = o AND dec.r = t JOIN tru u ON u.record_id = o JOIN tru w ON w.record_id = t WHERE dec.l IS NULL GROUP BY 1),
+runs AS (SELECT seed::VARCHAR AS split, policy, {RATES}, tp AS true_positive, fp AS false_positive, fn AS false_negative, accepted, exact,
+  coalesce(closure, 0) AS closure, coalesce(closure_correct, 0) AS closure_correct
+  FROM m JOIN acc USING (policy) JOIN held USING (seed, policy) LEFT JOIN merged USING (policy))"""
+
+
+@query(f"{RUNS} SELECT * FROM runs")
+def sweep_runs(spark, d):
+    """The sweep with the cosine as the score, which SQL can follow."""
+    return _cosine_sweep(spark, d)
+
+
+BANDS = ", ".join(f"quantile_cont({c}, 0.5) AS {c}_median, min({c}) AS {c}_low, max({c}) AS {c}_high" for c in ("precision", "recall", "f1", "exact"))
+GAMES = ", ".join(
+    f"count(*) FILTER (WHERE o.{c} - r.{c} > 1e-12) AS {c}_wins, count(*) FILTER (WHERE o.{c} - r.{c} < -1e-12) AS {c}_losses, count(*) FILTER (WHERE abs(o.{c} - r.{c}) <= 1e-12) AS {c}_ties"
+    for c in ("f1", "exact")
+)
+
+
+@query(f"""{RUNS}, s AS (SELECT policy, sum(closure)::BIGINT AS closure, sum(closure_correct)::BIGINT AS closure_correct, sum(closure_correct) / nullif(sum(closure), 0) AS share, {BANDS},
+  quantile_cont(accepted, 0.5)::DOUBLE AS accepted_median, min(accepted) AS accepted_low, max(accepted) AS accepted_high FROM runs GROUP BY 1),
+w AS (SELECT o.policy, {GAMES} FROM runs o JOIN runs r ON r.split = o.split AND r.policy = 'mutual best' GROUP BY 1)
+SELECT * FROM s JOIN w USING (policy)""")
+def sweep_summary(spark, d):
+    return _summed_up(_cosine_sweep(spark, d))
+
+
+@query()
+def resolution_run(spark, d):
+    """Two catalogues through the store: loaded, read, matched, decided, audited, and the entities written."""
+    return resolution.run_tables(spark, f"{checkpoint_dir(spark)}/resolution-{uuid.uuid4().hex}", *perturbed(spark, d))
+
+
+# --- sources and sinks
+
+
+def _place(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_retailprice, p_size FROM part")
+def csv_typed(spark, d):
+    """Written as CSV and read again with a schema."""
+    at = _place(spark, "csv")
+    files.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice", "p_size"), at)
+    return files.read_csv(spark, at, "p_partkey bigint, p_name string, p_retailprice double, p_size int")
+
+
+@query("SELECT doc_id::VARCHAR AS doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang END AS lang, text FROM documents")
+def csv_text(spark, d):
+    """Texts with line ends and quotes, some fields blank, as CSV and read again as text."""
+    at = _place(spark, "csv")
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("lang")).alias("lang"), "text")
+    files.write_csv(docs, at)
+    return files.read_csv_text(spark, at)
+
+
+@query(f"WITH {SIDES} SELECT left_id::VARCHAR AS left_id, right_id::VARCHAR AS right_id FROM truth")
+def csv_labels(spark, d):
+    at = _place(spark, "csv")
+    files.write_csv(truth(spark, d).withColumn("note", F.lit("x")), at)
+    return files.read_labels(spark, at)
+
+
+@query(f"""WITH {PARTS} SELECT upc AS external_id, title, category, {SPACED.format(c='title')} AS key, price FROM p""")
+def store_source(spark, d):
+    """Parts loaded into a store, loaded again without effect, and read for matching."""
+    at = store.Store(spark, _place(spark, "store"))
+    rows = raw_parts(spark, d).select("upc", "title", "category", T.money("price").alias("cost"))
+    for _ in range(2):
+        at.load(rows, "parts", {"title": "title", "category": "category", "cost": "price", "upc": "upc"}, "upc")
+    at.check()
+    return at.source("parts", "left_id", "price").drop("left_id")
+
+
+@query(f"WITH {PARTS} SELECT 'shop' AS source, upc AS external_id, coalesce(nullif(trim(p_name), ''), '') AS title FROM p")
+def store_offered(spark, d):
+    rows = store.offered(table(spark, d, "part").select("p_partkey", "p_name"), "shop", {"p_name": "title"}, "p_partkey")
+    return rows.select("source", "external_id", "title")
+
+
+LISTED = ["One", "Two", "Three", "Four", "Five"]
+
+
+@query(f"""SELECT p_partkey AS page_id, 0 AS position, p_name AS title, '£' || printf('%.2f', p_retailprice) AS price, ['One', 'Two', 'Three', 'Four', 'Five'][p_size % 5 + 1] AS rating,
+  'In stock' AS availability, '{html.BASE}' || p_partkey || '/index.html' AS detail_url FROM part""")
+def parse_listing(spark, d):
+    page = F.concat(
+        F.lit('<ol><li><article class="product_pod"><h3><a href="../catalogue/'), "p_partkey", F.lit('/index.html" title="'), "p_name",
+        F.lit('">cut...</a></h3><p class="star-rating '), F.element_at(F.array(*map(F.lit, LISTED)), (F.col("p_size") % 5 + 1).cast("int")),
+        F.lit('"></p><p class="price_color">£'), F.format_string("%.2f", "p_retailprice"),
+        F.lit('</p><p class="instock availability">\n  In stock\n</p></article></li></ol>'),
+    )
+    return html.parse(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), html.listing)
+
+
+@query("""SELECT p_partkey AS page_id, 0 AS position, 'u' || p_partkey AS upc, '£' || printf('%.2f', p_retailprice) AS price_excl_tax, '' AS price_incl_tax, '£0.00' AS tax,
+  'In stock (' || p_size || ' available)' AS stock, '0' AS review_count, CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS category,
+  CASE WHEN p_size % 3 > 0 THEN p_name ELSE '' END AS description FROM part""")
+def parse_detail(spark, d):
+    row = lambda label, *value: [F.lit(f"<tr><th>{label}</th><td>"), *value, F.lit("</td></tr>")]
+    crumbs = F.concat(F.lit('<ul class="breadcrumb"><li><a>Home</a></li><li><a>All</a></li>'), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<li><a>"), "p_type", F.lit("</a></li>"))).otherwise(""), F.lit("</ul>"))
+    about = F.when(F.col("p_size") % 3 > 0, F.concat(F.lit('<div id="product_description"><h2>About</h2></div>\n<p>'), "p_name", F.lit("</p>"))).otherwise("")
+    page = F.concat(
+        crumbs, about, F.lit('<table class="table table-striped">'), *row("UPC", F.lit("u"), "p_partkey"),
+        *row("Price (excl. tax)", F.lit("£"), F.format_string("%.2f", "p_retailprice")), *row("Tax", F.lit("£0.00")), *row("", F.lit("no label")),
+        *row("Availability", F.lit("In stock ("), "p_size", F.lit(" available)")), *row("Number of reviews", F.lit("0")), F.lit("</table>"),
+    )
+    return html.parse(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), html.detail)
+
+
+@query("""SELECT p_partkey AS page_id, unnest([0, 1]) AS position, unnest([p_brand, p_brand || ' II']) AS author, unnest([p_name, p_type]) AS text, unnest([p_brand || ';' || p_size, '']) AS tags FROM part""")
+def parse_quotes(spark, d):
+    quote = lambda text, author, tags: [F.lit('<div class="quote"><span class="text">'), text, F.lit('</span><small class="author">'), *author, F.lit("</small>"), *tags, F.lit("</div>")]
+    tags = [F.lit('<div class="tags"><a class="tag">'), F.col("p_brand"), F.lit('</a> <a class="tag">'), F.col("p_size"), F.lit("</a></div>")]
+    page = F.concat(*quote(F.col("p_name"), [F.col("p_brand")], tags), *quote(F.col("p_type"), [F.col("p_brand"), F.lit(" II")], []))
+    return html.parse(table(spark, d, "part").select(F.col("p_partkey").alias("page_id"), page.alias("html")), html.quotes)
+
+
+@query(f"""WITH {PARTS} SELECT p.upc, CASE WHEN p_partkey % 2 = 0 THEN 'type ' || category ELSE '' END AS category, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS description, p_partkey % 2 <> 0 AS missing FROM p""")
+def listing_with_details(spark, d):
+    """Listing records and the pages of every second one."""
+    parts = raw_parts(spark, d)
+    known = parts.where("cast(upc as bigint) % 2 = 0").select(
+        T.slug("detail_url").alias("slug"), F.concat(F.lit("type "), "category").alias("category"), F.trim("description").alias("description")
+    )
+    return html.merge_details(parts.select("upc", "detail_url"), known, ("category", "description")).drop("detail_url")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'do not scrape' WHEN page_id % 7 = 0 THEN 'browser' WHEN abs(page_id % 7 - page_id % 5) < 0.2 * (page_id % 5) THEN 'plain' ELSE 'browser' END AS verdict FROM pages""")
+def probe_verdict(spark, d):
+    found = html.gates(F.when(F.col("page_id") % 11 == 0, F.lit("please VERIFY YOU ARE HUMAN")).otherwise(F.lit("welcome")))
+    return table(spark, d, "pages").select("page_id", html.verdict(found, F.col("page_id") % 7, F.col("page_id") % 5).alias("verdict"))
+
+
+@query("SELECT page_id AS page, (page_id + 1) % 97 AS n_records FROM pages WHERE page_id < (SELECT coalesce(min(page_id), 9e18) FROM pages WHERE (page_id + 1) % 97 = 0)")
+def crawl_until_empty(spark, d):
+    return html.before_first_empty(table(spark, d, "pages").select(F.col("page_id").alias("page"), ((F.col("page_id") + 1) % 97).alias("n_records")))
+
+
+@query("""SELECT 'http://shop.example/catalogue/' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '_' || p_partkey || '/index.html' AS url,
+  regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '_' || p_partkey AS slug, CASE WHEN p_partkey % 10 = 1 THEN 'TimeoutError: no answer' END AS failure,
+  CASE WHEN p_partkey % 10 = 1 THEN NULL ELSE '<p>' || regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') || '_' || p_partkey || '</p>' END AS html FROM part WHERE p_partkey % 3 > 0""")
+def detail_crawl(spark, d):
+    """The pages still missing, fetched by a stand-in that fails for some addresses."""
+    parts = raw_parts(spark, d)
+    done = parts.where("cast(upc as bigint) % 3 = 0").select(T.slug("detail_url").alias("slug"))
+
+    def fetch(url: str) -> str:
+        name = url.split("/")[-2]
+        if name.endswith("1"):
+            raise TimeoutError("no answer")
+        return f"<p>{name}</p>"
+
+    return html.crawl(html.still_to_fetch(parts, done), fetch)
+
+
+@query(f"""WITH {PARTS} SELECT count(DISTINCT category) AS categories, min(price) AS price_low, max(price) AS price_high, round(avg(price), 6) AS price_mean,
+  count(*) FILTER (WHERE length(trim(p_name)) = 0) AS without_description, avg(length(trim(p_name))) AS description_mean,
+  max(length(trim(p_name)))::INTEGER AS description_longest, (min(length(trim(p_name))) FILTER (WHERE length(trim(p_name)) > 0))::INTEGER AS description_shortest FROM p""")
+def description_profile(spark, d):
+    found = quality.description_profile(quality.clean(raw_parts(spark, d)))
+    return found.withColumn("price_mean", F.round("price_mean", 6))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN p_brand ELSE '' END AS title FROM part")
+def title_or_name(spark, d):
+    title = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, "")
+    name = F.when(F.col("p_size") % 3 == 2, "").otherwise(F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", T.title_of(title, name).alias("title"))
+
+
+@query("SELECT lang, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS sd, min(n_chars) AS worst, max(n_chars) AS best FROM documents GROUP BY 1")
+def summary_by_group(spark, d):
+    found = metrics.summary(table(spark, d, "documents"), ("lang",), "n_chars")
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "sd")})
+
+
 # --- the store
 
 
@@ -658,10 +1038,10 @@ def perturb_titles(spark, d):
     return perturbed(spark, d)[1]
 
 
-@query(f"""WITH {PARTS} SELECT upc, CASE WHEN u < 0.6 THEN 'shared' WHEN u < 0.85 THEN 'left' ELSE 'right' END AS part
-FROM (SELECT upc, ('0x' || substr(md5('0|part|' || upc), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p)""")
+@query(f"""WITH {PARTS}, k AS (SELECT upc, row_number() OVER (ORDER BY md5('0|part|' || upc)) AS k, count(*) OVER () AS n FROM p)
+SELECT upc, CASE WHEN k <= floor(n * 0.6) THEN 'shared' WHEN k <= floor(n * 0.6) + floor(n * 0.25) THEN 'left' ELSE 'right' END AS part FROM k""")
 def benchmark_parts(spark, d):
-    return raw_parts(spark, d).select("upc", G.part_of(F.col("upc")).alias("part"))
+    return G.parts(raw_parts(spark, d)).select("upc", "part")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

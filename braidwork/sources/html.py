@@ -222,3 +222,18 @@ def still_to_fetch(wanted: DataFrame, done: DataFrame, url: str = "detail_url")
     todo = wanted.where(F.coalesce(F.col(url), F.lit("")) != "").select(F.col(url).alias("url"), slug(url).alias("slug"))
     return todo.join(done.select("slug").distinct(), "slug", "left_anti")
 
+
+def crawl(todo: DataFrame, fetch: Callable[[str], str]) -> DataFrame:
+    """``todo`` (url, slug) with the page of each address, or the failure it ended in; no failure stops the others."""
+
+    def fetched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, name in zip(b["url"], b["slug"]):
+                try:
+                    rows.append((url, name, fetch(url), None))
+                except Exception as e:  # whatever an address does to its reader
+                    rows.append((url, name, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "slug", "html", "failure"])
+
+    return todo.select("url", "slug").mapInPandas(fetched, "url string, slug string, html string, failure string")

@@ -2,9 +2,9 @@ import pytest
 
 from braidwork.operators import quality
 from braidwork.operators.blocking import Refused
-from braidwork.operators.store import Store
+from braidwork.operators.store import Store, plan_loads
 from braidwork.plans import report
-from braidwork.sources import html
+from braidwork.sources import files, html, sites
 
 MAP = {"name": "title", "kind": "category", "cost": "price", "about": "description"}
 
@@ -62,6 +62,59 @@ def test_pages():
     assert (got["upc"], got["category"], got["description"], got["tax"]) == ("u1", "Poetry", "Text", "")
 
 
+def test_which_sources_load():
+    sources = {
+        "shop": {"path": "clean.csv", "raw_path": "raw.csv", "required": True}, "extra": {"path": "extra.csv", "required": False},
+    }
+    assert plan_loads(sources, {"clean.csv", "extra.csv"}.__contains__) == ["shop", "extra"]
+    assert plan_loads(sources, {"clean.csv"}.__contains__) == ["shop"]
+    with pytest.raises(Refused, match="nothing has been checked"):
+        plan_loads(sources, {"raw.csv", "extra.csv"}.__contains__)
+    with pytest.raises(Refused):
+        plan_loads(sources, {"extra.csv"}.__contains__)
+
+
+def test_crawl_goes_on_after_failures(spark):
+    def fetch(url):
+        if "bad" in url:
+            raise OSError("refused")
+        return "page of " + url
+
+    todo = spark.createDataFrame([("u/one", "one"), ("u/bad", "bad"), ("u/two", "two")], "url string, slug string")
+    rows = {r["slug"]: (r["html"], r["failure"]) for r in html.crawl(todo, fetch).collect()}
+    assert rows == {"one": ("page of u/one", None), "bad": (None, "OSError: refused"), "two": ("page of u/two", None)}
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffleft_id,right_id,note\n007,1,\"x, \"\"y\"\"\"\n007,1,\n".encode())
+    rows = files.read_csv_text(spark, f"file://{tmp_path}/a.csv").collect()
+    assert rows[0].asDict() == {"left_id": "007", "right_id": "1", "note": 'x, "y"'} and rows[1]["note"] == ""
+    assert [tuple(r) for r in files.read_labels(spark, f"file://{tmp_path}/a.csv").collect()] == [("007", "1")]
+    (tmp_path / "b.csv").write_bytes("name\ncaf\u00e9\n".encode("latin-1"))
+    assert files.read_csv_text(spark, f"file://{tmp_path}/b.csv").first()["name"] == "caf\u00e9"
+    with pytest.raises(Refused):
+        files.read_labels(spark, f"file://{tmp_path}/b.csv")
+    (tmp_path / "p.html").write_text("<p>caf\u00e9</p>")
+    assert [r["html"] for r in html.saved_pages(spark, f"file://{tmp_path}").collect()] == ["<p>caf\u00e9</p>"]
+    with pytest.raises(Refused):
+        (tmp_path / "empty").mkdir()
+        html.saved_pages(spark, f"file://{tmp_path}/empty")
+    run = {"rows": {"b": 1, "a": [0.5, None]}}
+    assert files.read_run(files.recorded(run), ["a", "b"]) == run["rows"] or files.read_run(files.recorded(run), ["a", "b"]) == run
+    with pytest.raises(Refused):
+        files.read_run(files.recorded(run), ["a"])
+    with pytest.raises(Refused):
+        files.plain(object())
+    assert sites.site("books").urls()[0].endswith("page-1.html") and len(sites.site("quotes").urls()) == 20
+    with pytest.raises(Refused):
+        sites.site("nowhere")
+
+
+def test_column_review():
+    found = quality.review_columns(["id", "name", "colour", "odd"], {"name": "title", "cost": "price"}, "id", {"colour": "not matched on"})
+    assert found == {"stored": ["name"], "absent": ["cost"], "key": ["id"], "explained": ["colour"], "unexplained": ["odd"]}
+
+
 def test_report():
     assert "| a   |" in report.render(["x", "n"], [["a", 1]])
     text = report.splice("<!-- t -->\nold\n<!-- /t -->", {"t": "new"})
