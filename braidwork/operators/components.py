@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Each round is two shuffles on a vertex; edges of a vertex meet only in aggregates, so a vertex with
-very many neighbours is combined before it is moved. The number of rounds grows with the logarithm of the
+Each round is two shuffles on a vertex. What a vertex is linked to is aggregated before it is moved; its
+edges then meet that value in a join, which adaptive execution splits where one vertex has very many. The number of rounds grows with the logarithm of the
 longest chain (Kiveris et al., "Connected Components in MapReduce and Beyond", 2014).
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from ..operators.blocking import Refused
 
@@ -64,12 +64,106 @@ def classifier_table(rows: Sequence[tuple[str, float, float | None, float]]) ->
     return render(["configuration", "precision", "recall", "F1"], [[n, figure(p), figure(r), figure(f)] for n, p, r, f in rows])
 
 
+def bold(text: str, when: bool) -> str:
+    return f"**{text}**" if when else text
+
+
+def volume_table(rows: Sequence[tuple[str, float, float | None, float, int]], shipped: str) -> str:
+    """Ways to use volume numbers; the shipped one's F1 is bold."""
+    body = [[n, figure(p), figure(r), bold(figure(f), n == shipped), fp] for n, p, r, f, fp in rows]
+    return render(["configuration", "precision", "recall", "F1", "false positives"], body)
+
+
+def layers_table(single: dict[str, tuple[float, int]], one: dict[str, tuple[float, int]], splits: int, features: int, reference: str = "all") -> str:
+    """Feature groups over many splits: mean F1 and wins against the reference, for single pairs and one-to-one.
+
+    The reference row is named by its number of features and wins against nothing; there has to be just one.
+    """
+    if list(single) != list(one) or list(single).count(reference) != 1:
+        raise Refused(f"both layers need the same groups and one reference {reference!r}")
+    wins = lambda name, n: "-" if name == reference else f"{n}/{splits}"
+    body = [
+        [f"all {features} features" if n == reference else n, figure(single[n][0]), wins(n, single[n][1]), figure(one[n][0]), wins(n, one[n][1])]
+        for n in single
+    ]
+    return render(["feature set", "pair F1", "beats all", "one-to-one F1", "beats all"], body)
+
+
+def model_table(rows: Sequence[tuple[str, float, float | None, float]], shipped: str) -> str:
+    """Configurations of the model; the shipped one is bold, and refused if another one is better."""
+    top = max(r[3] for r in rows)
+    if next(r[3] for r in rows if r[0] == shipped) < top - 1e-12:
+        raise Refused(f"{shipped!r} has not the best F1, {top:.4f}")
+    return render(["model", "precision", "recall", "F1"], [[n, figure(p), figure(r), bold(figure(f), n == shipped)] for n, p, r, f in rows])
+
+
+def opposite_table(rows: Sequence[tuple[str, float, float, float, float]]) -> str:
+    """Configurations whose best F1 and best end-to-end recall are in different rows, both bold.
+
+    Refuses when one row has both, or when a maximum is shared: the text around the table says otherwise.
+    """
+    best = []
+    for column, name in ((3, "F1"), (4, "end-to-end recall")):
+        values = [r[column] for r in rows]
+        if values.count(max(values)) != 1:
+            raise Refused(f"several rows share the best {name}")
+        best.append(values.index(max(values)))
+    if best[0] == best[1]:
+        raise Refused(f"{rows[best[0]][0]!r} has both the best F1 and the best end-to-end recall")
+    body = [[n, figure(p), figure(r), bold(figure(f), i == best[0]), bold(figure(e), i == best[1])] for i, (n, p, r, f, e) in enumerate(rows)]
+    return render(["configuration", "precision", "recall", "F1", "end-to-end recall"], body)
+
+
+def search_space_table(rows: Sequence[tuple[str, float, int, float]]) -> str:
+    """Every blocking that was measured, none of them marked."""
+    return render(["method", "recall", "pairs kept", "% of search space"], [[n, figure(r), f"{k:,}", f"{s:.2%}"] for n, r, k, s in rows])
+
+
+#: Where each table goes: its builder and what its header has to hold where a text has no markers yet.
+BLOCKS: dict[str, tuple[Callable, tuple[str, ...]]] = {
+    "blocking": (blocking_table, ("blocking", "reduction")),
+    "ablation": (ablation_table, ("features", "delta")),
+    "policies": (policy_table, ("policy", "median")),
+    "head-to-head": (head_to_head_table, ("against", "wins")),
+    "closure": (closure_table, ("merges", "correct")),
+    "volumes": (volume_table, ("configuration", "false positives")),
+    "layers": (layers_table, ("feature set", "one-to-one F1")),
+    "model": (model_table, ("model", "precision")),
+    "opposite": (opposite_table, ("configuration", "end-to-end recall")),
+    "search-space": (search_space_table, ("method", "% of search space")),
+}
+
+
+def built(runs: dict[str, dict]) -> dict[str, str]:
+    """The tables of recorded runs, each given as the arguments of its builder; refuses a name that has none."""
+    if unknown := sorted(set(runs) - set(BLOCKS)):
+        raise Refused(f"no tables {unknown}; there are {sorted(BLOCKS)}")
+    return {name: BLOCKS[name][0](**arguments) for name, arguments in runs.items()}
+
+
 def splice(text: str, blocks: dict[str, str]) -> str:
-    """Replaces what stands between ``<!-- name -->`` and ``<!-- /name -->``; each marker has to occur once."""
+    """Replaces what stands between ``<!-- name -->`` and ``<!-- /name -->``; each marker has to occur once.
+
+    In a text without these markers the table with the only fitting header is replaced, and marked.
+    """
     for name, block in blocks.items():
         start, end = f"<!-- {name} -->", f"<!-- /{name} -->"
+        if start not in text and end not in text and name in BLOCKS:
+            text = _marked(text, name)
         if text.count(start) != 1 or text.count(end) != 1 or text.index(start) > text.index(end):
             raise Refused(f"the text has no single place for {name}")
         head, rest = text.split(start)
         text = head + start + "\n" + block + "\n" + end + rest.split(end)[1]
     return text
+
+
+def _marked(text: str, name: str) -> str:
+    """The text with markers around the table whose header holds all that ``BLOCKS`` names."""
+    lines = text.split("\n")
+    heads = [i for i, x in enumerate(lines) if x.startswith("|") and (i == 0 or not lines[i - 1].startswith("|")) and all(w in x for w in BLOCKS[name][1])]
+    if len(heads) != 1:
+        raise Refused(f"{len(heads)} tables could be {name}")
+    last = heads[0]
+    while last < len(lines) and lines[last].startswith("|"):
+        last += 1
+    return "\n".join([*lines[: heads[0]], f"<!-- {name} -->", *lines[heads[0] : last], f"<!-- /{name} -->", *lines[last:]])

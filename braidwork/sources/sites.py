@@ -24,6 +24,7 @@ class Site:
         return [self.page_url.format(page=i) for i in range(1, self.pages + 1)]
 
 
+#: Addresses, numbers of pages and fields of the sites.
 SITES = {
     "books": Site(
         "books", False, html.listing, 50, "https://books.toscrape.com/catalogue/page-{page}.html",

@@ -123,3 +123,30 @@ def test_report():
         report.splice("nothing", {"t": "new"})
     with pytest.raises(Refused):
         report.policy_table({"a": (0.1, 0.2, 0.3), "b": (0.2, 0.3, 0.4)}, "a")
+
+
+def test_report_refusals():
+    rows = [("plain", 0.9, 0.8, 0.85), ("veto", 0.95, 0.8, 0.87)]
+    assert "**0.870**" in report.model_table(rows, "veto")
+    with pytest.raises(Refused):
+        report.model_table(rows, "plain")
+    ends = [("tight", 0.9, 0.7, 0.8, 0.6), ("wide", 0.6, 0.9, 0.7, 0.9)]
+    table = report.opposite_table(ends)
+    assert "**0.800**" in table and "**0.900**" in table
+    for bad in ([*ends, ("both", 0.9, 0.9, 0.9, 0.95)], [*ends, ("tie", 0.9, 0.7, 0.8, 0.5)]):
+        with pytest.raises(Refused):
+            report.opposite_table(bad)
+    layers = report.layers_table({"all": (0.7, 0), "few": (0.6, 3)}, {"all": (0.9, 0), "few": (0.8, 1)}, 20, 9)
+    assert "all 9 features" in layers and "3/20" in layers
+    with pytest.raises(Refused):
+        report.layers_table({"few": (0.6, 3)}, {"few": (0.8, 1)}, 20, 9)
+    assert "1,234" in report.search_space_table([("k = 3", 0.9, 1234, 0.05)]) and "5.00%" in report.search_space_table([("k = 3", 0.9, 1234, 0.05)])
+    text = "before\n| model | precision | recall | F1 |\n|-|-|-|-|\n| old | 1 | 1 | 1 |\nafter"
+    new = report.splice(text, report.built({"model": {"rows": rows, "shipped": "veto"}}))
+    assert new.startswith("before\n<!-- model -->\n| model") and new.endswith("<!-- /model -->\nafter") and "old" not in new
+    assert report.splice(new, report.built({"model": {"rows": rows, "shipped": "veto"}})) == new
+    for bad in ("no table here", text + "\n\n" + text):
+        with pytest.raises(Refused):
+            report.splice(bad, {"model": "x"})
+    with pytest.raises(Refused):
+        report.built({"nothing": {}})
