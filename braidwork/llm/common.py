@@ -15,7 +15,7 @@ from ..operators.lineage import checkpoint_dir, released, stored
 #: A key of more than this part of all rows is hot.
 HOT = 1 / 4096
 #: Bytes of texts that a Python worker takes from a batch at a time.
-SLICE = 4 << 20
+SLICE = 1 << 20
 #: What an Arrow batch holds, and Spark's limit where none is named.
 BATCH, DEFAULT_BATCH = "4m", "67108864b"
 

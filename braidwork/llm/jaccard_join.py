@@ -6,9 +6,9 @@ come first from what a link needs: under one order of all shingles, common ones
 share one of their first ``n - ceil(0.8 n) + 1`` shingles. The smallest point with such a shingle is a
 pivot, and the points that share one with it are its region.
 
-1. Every point meets the pivots of its regions, a number in proportion to the points. A bound from the
-   first shingles alone rejects most of these meetings, texts decide the others exactly, and each point
-   keeps an interval for its distance to each pivot.
+1. Every point meets the pivots of its regions, a number in proportion to the points. A bound from bits
+   of the sets, one per shingle, rejects most of these meetings, texts decide the others exactly, and each
+   point keeps an interval for its distance to each pivot.
 2. Points within the radius of a pivot are linked to it, and links make classes. A region whose points are
    all in one class is done. In the others, the class of the pivot is the core and the points outside are
    the boundary; only they can still add a link. They meet the points of the region whose intervals lie
@@ -28,12 +28,12 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import map_texts, released, small_batches, stored, table
-from .shingles import identity, shingle_set
+from .common import join_hot, map_texts, released, stored, table
+from .shingles import identity, parity, shingle_set
 
 #: Links need 100 * intersection >= LINK * union.
 LINK = 80
@@ -43,6 +43,10 @@ COMMON, MAX_COMMON = 16, 200_000
 BOUNDARY, PIVOTS = 64, 8
 #: Up to so many texts are picked by a broadcast of their ids; beyond, by a shuffle.
 MAX_BROADCAST = 500_000
+#: Shingles of sets that a worker remembers between the pairs that it decides.
+REMEMBERED = 200_000
+#: First shingles that one task groups, and the most such tasks.
+TASK_ENTRIES, MAX_TASKS = 100_000, 20_000
 RADIUS = 1 - LINK / 100
 #: Distances are floats, so bounds that can be met exactly are compared with this to spare.
 TOLERANCE = 1e-9
@@ -80,36 +84,30 @@ def _common(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
 
 
+def _differing(x: Column, y: Column) -> Column:
+    """In how many bits two sets' parities differ; the longer one, twice as long at most, is folded first."""
+    half = lambda z: F.zip_with(
+        F.slice(z, F.lit(1), (F.size(z) / 2).cast("int")), F.slice(z, (F.size(z) / 2).cast("int") + 1, F.size(z)), lambda p, q: p.bitwiseXOR(q)
+    )
+    folded = lambda z, w: F.when(F.size(z) > F.size(w), half(z)).otherwise(z)
+    counts = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
+
+
 def _bound(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their first shingles don't rule out, with ``low``, a bound of their distance from below.
+    """Pairs (a, b) with ``low``, a bound of their distance from below: what differs in parity differs.
 
-    Up to the smaller of both last first shingles, both sets are known, so what differs there differs.
+    Sizes of a pair have to allow a link.
     """
-    x = points.select(F.col("v").alias("a"), F.col("first").alias("_x"), F.col("n").alias("_n"))
-    y = points.select(F.col("v").alias("b"), F.col("first").alias("_y"), F.col("n").alias("_m"))
-    rows = pairs.select("a", "b").join(x, "a").join(y, "b")
+    x = points.select(F.col("v").alias("a"), F.col("bits").alias("_x"), F.col("n").alias("_n"))
+    y = points.select(F.col("v").alias("b"), F.col("bits").alias("_y"), F.col("n").alias("_m"))
+    differ = _differing(F.col("_x"), F.col("_y"))
+    rows = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "_n", "_m", differ.alias("_d"))
+    return rows.select("a", "b", (2 * F.col("_d") / (F.col("_n") + F.col("_m") + F.col("_d"))).alias("low"))
 
-    def bounded(batches):
-        for t in batches:
-            xs, ys = t.column("_x"), t.column("_y")
-            n, m = t.column("_n").to_numpy(zero_copy_only=False), t.column("_m").to_numpy(zero_copy_only=False)
-            differ = np.zeros(len(n), dtype=np.int64)
-            for i in range(len(n)):
-                p = xs[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                q = ys[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                end = min(p[-1], q[-1])
-                k, j = np.searchsorted(p, end, "right"), np.searchsorted(q, end, "right")
-                both = np.intersect1d(p[:k], q[:j], assume_unique=True)
-                differ[i] = k + j - 2 * len(both)
-            low = 2 * differ / (n + m + differ)
-            yield pa.RecordBatch.from_pydict({"a": t.column("a"), "b": t.column("b"), "low": low})
-
-    rows = rows.select("a", "b", "_n", "_m", "_x", "_y")
-    return rows.mapInArrow(bounded, "a bigint, b bigint, low double")
-
-
-def _decide(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) with ``distance``, exact, and ``link``; worked out from whole texts."""
+
+def _decide(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) with ``distance``, exact, and ``link``, worked out from whole texts; and a table they read."""
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "v")
     needed = stored(points.join(needed, "v", "left_semi").select("v", F.col("row").alias("_row")), "needed")
     small = needed.count() <= MAX_BROADCAST
@@ -124,7 +122,7 @@ def _decide(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
         def of(v: int, text) -> np.ndarray:
             if v not in sets:
                 sets[v] = shingle_set(text.as_py())
-                if len(sets) > 64:
+                while len(sets) > 2 and sum(map(len, sets.values())) > REMEMBERED:
                     sets.popitem(last=False)
             return sets[v]
 
@@ -140,7 +138,7 @@ def _decide(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"a": a, "b": b, "distance": distance, "link": link})
 
     schema = "a bigint, b bigint, distance double, link boolean"
-    return rows.select("a", "b", "s", "t").mapInArrow(decided, schema)
+    return rows.select("a", "b", "s", "t").mapInArrow(decided, schema), needed
 
 
 def _sizes_allow(n, m):
@@ -154,64 +152,102 @@ def _shared_allow(shared, n):
 
 def _meet(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
     """For distinct pairs (a, b): ``low`` and ``high`` bounds of the distance, and ``link``; stored."""
+    # Pairs are mostly few; as a table their size is known, so they go to the points and not the other way.
+    pairs = stored(pairs.select("a", "b"), "pairs")
     bounded = stored(_bound(pairs, points), "bounds")
     close = bounded.where(F.col("low") <= RADIUS + TOLERANCE)
-    exact = _decide(close, docs, points)
+    exact, needed = _decide(close, docs, points)
     rows = exact.select("a", "b", F.col("distance").alias("low"), F.col("distance").alias("high"), "link").union(
         bounded.where(F.col("low") > RADIUS + TOLERANCE).select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("link"))
     )
     met = stored(rows, "meetings")
-    released(bounded)
+    released(pairs, bounded, needed)
     return met
 
 
-def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For ``docs`` with _row (unique, not null) and _text: the rows with ``n`` and point ``v``, and classes.
+def _regions(begins: DataFrame) -> DataFrame:
+    """(pivot, v, pos) of entries (h, v, pos) whose ``h`` is met in two points or more; the pivot is the smallest.
 
-    The second table has ``v`` and ``class`` for points with a link to another one.
+    Entries of a shingle stand together, sorted by point, and are read as a stream: however many there are,
+    only the first one is held.
     """
+
+    def found(batches):
+        last, pivot, held = None, 0, None
+        for t in batches:
+            h, v, pos = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "v", "pos"))
+            n = len(h)
+            if not n:
+                continue
+            start = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
+            at = np.maximum.accumulate(np.where(start, np.arange(n), -1))
+            pivots = np.where(at < 0, pivot, v[np.maximum(at, 0)])
+            keep = ~start
+            keep[:-1] |= ~start[1:]
+            out = [(pivots[keep], v[keep], pos[keep])]
+            if held is not None and not start[0]:
+                out.insert(0, held)
+            last, pivot = h[-1], int(pivots[-1])
+            held = (np.array([pivot]), v[-1:], pos[-1:]) if start[-1] else None
+            made = [np.concatenate([o[i] for o in out]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int32())], names=["pivot", "v", "pos"])
+
+    return begins.select("h", "v", "pos").mapInArrow(found, "pivot bigint, v bigint, pos int")
+
+
+def link_classes(docs: DataFrame) -> DataFrame:
+    """For ``docs`` with _row (unique, not null) and _text: the rows that have shingles, with ``n`` and ``class``."""
     spark = docs.sparkSession
-    small_batches(spark)
     common = _common(docs)
 
     def measured(texts: list[str | None]) -> list:
         sets = [shingle_set(t) for t in texts]
         firsts = [ordered(s, common)[: first_count(len(s))].view(np.int64) for s in sets]
-        return [[len(s) for s in sets], [identity(s) for s in sets], firsts]
+        return [[len(s) for s in sets], [identity(s) for s in sets], firsts, [parity(s) for s in sets]]
 
-    made = map_texts(docs.select("_row", "_text"), "_text", measured, "n bigint, code bigint, first array<bigint>")
+    made = map_texts(docs.select("_row", "_text"), "_text", measured, "n bigint, code bigint, first array<bigint>, bits array<bigint>")
     rows = stored(made.where("n > 0"), "sets")
-    points = stored(
-        rows.groupBy("code").agg(F.min("_row").alias("row"), F.first("n").alias("n"), F.first("first").alias("first")),
-        "points",
-    ).withColumn("v", F.col("row"))
-    begins = points.select("v", "n", F.posexplode("first").alias("pos", "h"))
-    shared = begins.groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("pivot")).where("k > 1").select("h", "pivot")
-    regions = stored(begins.join(shared, "h"), "regions")  # h, v, n, pos, pivot
-
+    codes = stored(rows.groupBy("code").agg(F.min("_row").alias("v"), F.count("*").alias("k")), "codes")
+    # Copies are found by codes and rows alone; sets are left where they lie.
+    copies = join_hot(rows.select("_row", "code"), codes.where("k > 1"), "code", "k", rows.count(), ["_row"])
+    copies = stored(copies.where("v <> _row").select("_row"), "copies")
+    few = copies.count() <= MAX_BROADCAST
+    points = stored(rows.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "n", "first", "bits"), "points")
+    points = points.withColumn("row", F.col("v"))
+    # First shingles are mostly met once: they are dealt by shingle right away, into tasks of a fixed size.
+    entries = points.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
+    tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, entries // TASK_ENTRIES + 1))
+    begins = points.select("v", F.posexplode("first").alias("pos", "h")).repartition(tasks, "h").sortWithinPartitions("h", "v")
+    # Regions with one pivot are one region: copies share many shingles, and so many regions.
+    # Two linked sets are both in the region of the first shingle that they share, and ``pos`` isn't beyond it.
+    merged = _regions(begins).groupBy("pivot", "v").agg(F.min("pos").alias("pos"))
+    merged = stored(merged, "regions").join(points.select("v", "n"), "v").withColumn("r", F.col("pivot"))
     links = spark.createDataFrame([], "a bigint, b bigint")
 
+    def add(met: DataFrame) -> None:
+        nonlocal links
+        old, links = links, stored(links.union(met.where("link").select("a", "b")), "links")
+        released(old)
+
     def meet_pivots(todo: DataFrame) -> DataFrame:
         """``todo`` (r, parent, v, n, pos, pivot) with the interval of each distance; links are kept."""
-        nonlocal links
         size = points.select(F.col("v").alias("pivot"), F.col("n").alias("m"))
         pairs = todo.where("v <> pivot").select("v", "pivot", "n").distinct().join(size, "pivot")
         pairs = pairs.where(_sizes_allow(F.col("n"), F.col("m")))
         met = _meet(pairs.select(F.col("v").alias("a"), F.col("pivot").alias("b")), docs, points)
-        links = stored(links.union(met.where("link").select("a", "b")), "links")
+        add(met)
         known = met.select(F.col("a").alias("v"), F.col("b").alias("pivot"), "low", "high")
         # Pairs that sizes rule out have not met: they are further apart than the radius.
         own = F.col("v") == F.col("pivot")
-        return stored(
+        found = stored(
             todo.join(known, ["v", "pivot"], "left")
             .withColumn("low", F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(RADIUS))))
             .withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))),
             "met",
         )
+        released(met)
+        return found
 
-    # Regions with one pivot are one region: copies share many shingles, and so many regions.
-    # Two linked sets are both in the region of the first shingle that they share, and ``pos`` isn't beyond it.
-    merged = regions.groupBy(F.col("pivot").alias("r"), "v", "n", "pivot").agg(F.min("pos").alias("pos"))
     todo = meet_pivots(merged.withColumn("parent", F.lit(1 << 62)))
     while True:
         of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
@@ -227,16 +263,24 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = (F.col("boundary") <= BOUNDARY) | (2 * F.col("size") > F.col("was"))
         counts = stored(counts.select("r", "size", last.alias("last")), "open")
         rest = inside.where("v <> pivot")  # pivots have met all points of their region
-        here = rest.join(counts.where("last").select("r"), "r", "left_semi")
-        edge = here.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high")])
+        # Those that are left are few; their bits come along, so that a pair is only made if they allow it.
+        here = stored(rest.join(counts.where("last").select("r"), "r", "left_semi").select("r", "v", "n", "pos", "class", "core", "low", "high"), "here")
+        bits = points.join(here.select("v").distinct(), "v", "left_semi").select("v", "bits")
+        here_bits = here.join(bits, "v")
+        edge = here_bits.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high", "bits")])
         window = RADIUS + TOLERANCE
         near = (F.col("low_a") <= F.col("high") + window) & (F.col("low") <= F.col("high_a") + window)
         other = (F.col("class_a") != F.col("class")) & (F.col("core") | (F.col("v_a") < F.col("v")))
         shared = F.least(F.col("n") - F.col("pos"), F.col("n_a") - F.col("pos_a"))
-        allowed = _sizes_allow(F.col("n"), F.col("n_a")) & _shared_allow(shared, F.col("n") + F.col("n_a"))
-        pairs = here.join(edge, "r").where(near & other & allowed)
+        both_n = F.col("n") + F.col("n_a")
+        allowed = _sizes_allow(F.col("n"), F.col("n_a")) & _shared_allow(shared, both_n)
+        # What differs in parity differs, and of n + m entries two linked sets differ in a ninth at most.
+        alike = (100 + LINK) * _differing(F.col("bits"), F.col("bits_a")) <= (100 - LINK) * both_n
+        pairs = here_bits.join(edge, "r").where(near & other & allowed & alike)
         more = _meet(pairs.select(F.col("v_a").alias("a"), F.col("v").alias("b")).distinct(), docs, points)
-        links = stored(links.union(more.where("link").select("a", "b")), "links")
+        add(more)
+        released(more)
+        released(here)
         large = counts.where("not last").select("r", "size")
         if not large.head(1):
             break
@@ -251,12 +295,14 @@ def link_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         others = left.withColumn("_k", F.row_number().over(outside)).where(F.col("_k") <= half).select("r", F.col("v").alias("pivot"))
         picked = stored(picked.union(others).distinct(), "pivots")
         cells = left.select("r", F.col("size").alias("parent"), "v", "n", "pos").join(picked, "r")
-        cells = meet_pivots(cells)
+        cells = met = meet_pivots(cells)
         nearest = cells.groupBy("r", "v").agg(F.min("high").alias("_nearest"))
         cells = cells.join(nearest, ["r", "v"]).where(F.col("low") <= F.col("_nearest") + 2 * RADIUS + TOLERANCE)
-        todo = stored(cells.withColumn("r", F.xxhash64("r", "pivot")).drop("_nearest"), "cells")
+        old, todo = todo, stored(cells.withColumn("r", F.xxhash64("r", "pivot")).drop("_nearest"), "cells")
+        released(old, met, picked)
     of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
-    return rows.join(points.select("code", "v"), "code").select("_row", "n", "v"), of
+    classes = stored(codes.join(of, "v", "left").select("code", F.coalesce("class", "v").alias("class"), "k"), "classes")
+    return join_hot(rows.select("_row", "n", "code"), classes, "code", "k", rows.count(), ["_row"]).select("_row", "n", "class")
 
 
 def _numbered(docs: DataFrame, doc_id: str) -> DataFrame:
@@ -276,11 +322,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     gives an empty result; other columns are not read.
     """
     rows = _numbered(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")), "doc_id")
-    found, of = link_classes(rows.select("_row", "_text"))
-    out = rows.select("_row", "doc_id").join(found, "_row", "left").join(of, "v", "left")
-    out = stored(out.withColumn("class", F.coalesce("class", "v")).select("doc_id", "n", "class"), "joined")
-    smallest = out.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"))
-    return out.join(smallest, "class", "left").select(
+    found = link_classes(rows.select("_row", "_text"))
+    out = stored(rows.select("_row", "doc_id").join(found, "_row", "left").select("doc_id", "n", "class"), "joined")
+    smallest = out.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("k"))
+    return join_hot(out, stored(smallest, "smallest"), "class", "k", out.count(), ["doc_id", "n"]).select(
         "doc_id",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_shingles"),
         F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"),
@@ -293,12 +338,12 @@ def one_per_class(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     Texts without words stay all. Of rows with equal ids the first written stays.
     """
     rows = _numbered(docs, doc_id)
-    found, of = link_classes(rows.select("_row", F.col(text).alias("_text")))
-    joined = rows.select("_row", F.col(doc_id).alias("_id")).join(found, "_row").join(of, "v", "left")
-    joined = joined.withColumn("class", F.coalesce("class", "v"))
+    found = link_classes(rows.select("_row", F.col(text).alias("_text")))
+    joined = stored(rows.select("_row", F.col(doc_id).alias("_id")).join(found, "_row").select("_row", "_id", "class"), "joined")
     order = F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("_row").alias("c"))
-    first = joined.groupBy("class").agg(F.min(order)["c"].alias("_first"))
-    gone = stored(joined.join(first, "class").where("_row <> _first").select("_row"), "gone")
+    first = joined.groupBy("class").agg(F.min(order)["c"].alias("_first"), F.count("*").alias("k")).where("k > 1")
+    first = join_hot(joined, stored(first, "firsts"), "class", "k", joined.count(), ["_row"])
+    gone = stored(first.where("_row <> _first").select("_row"), "gone")
     small = gone.count() <= MAX_BROADCAST
     return rows.join(F.broadcast(gone) if small else gone, "_row", "left_anti").select(*docs.columns)
 
