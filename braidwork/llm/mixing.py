@@ -12,13 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import join_hot, stored, table
 
 SEED = "mix-1"
 #: Means beyond this are drawn as a sum of equal parts, so that exp(-mean) stays far from 0.
 MAX_MEAN = 64.0
-#: Up to so many sources, their rates are broadcast; beyond, they are joined by a shuffle.
-MAX_SOURCES = 100_000
+#: Up to so many sources, their rates, 2 KB each at most, are broadcast; beyond, they are joined by a shuffle.
+MAX_SOURCES = 5_000
 
 
 def _hex(*parts) -> Column:
@@ -63,7 +63,7 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None) -> Dat
         "mean", F.when(F.col("_weights") > 0, F.col("weight") / F.col("_weights") * F.col("_rows") / F.col("rows")).otherwise(0.0)
     )
     parts = F.greatest(F.ceil(F.col("mean") / MAX_MEAN), F.lit(1)).cast("int")
-    return found.select("_source", "mean", parts.alias("_parts"), cumulated(F.col("mean") / parts).alias("_cdf"))
+    return found.select("_source", "mean", parts.alias("_parts"), cumulated(F.col("mean") / parts).alias("_cdf"), "rows")
 
 
 def mix(
@@ -77,16 +77,21 @@ def mix(
     """
     docs = docs.select(*[c for c in docs.columns if c not in {"n_copies", "copy", "shuffle_key"}])
     found = rates(docs, source, weights)
-    bounded = found.limit(MAX_SOURCES + 1).collect()
-    if len(bounded) <= MAX_SOURCES:
-        found = F.broadcast(docs.sparkSession.createDataFrame(bounded, found.schema))
+    # A null source is a source too, so sources are compared by a name that is never null.
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    found = stored(found.select(name("_source").alias("_name"), "_parts", "_cdf", "rows"), "rates")
+    named = docs.withColumn("_name", name(source))
+    if found.count() <= MAX_SOURCES:
+        drawn = named.join(F.broadcast(found.drop("rows")), "_name")
+    else:
+        drawn = join_hot(named, found, "_name", "rows", docs.count(), [doc_id])
     key = F.col(doc_id)
     draws = F.transform(
         F.sequence(F.lit(1), F.col("_parts")),
         lambda j: F.size(F.filter("_cdf", lambda c: c < unit(seed, key, j))),
     )
     n = F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-    drawn = docs.join(found, F.col(source).eqNullSafe(F.col("_source"))).withColumn("n_copies", n)
+    drawn = drawn.withColumn("n_copies", n)
     rows = drawn.where("n_copies > 0").select(
         *docs.columns, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy")
     )
