@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -60,17 +60,20 @@ def choose_features(docs: list[tuple[list[str], int]]) -> set[str]:
     would be found in toxic ones alone by chance with the share of toxic documents to the n-th power;
     over all features looked at, that may add up to ``CHANCE`` features.
     """
-    inside: dict[str, list[set[int]]] = defaultdict(lambda: [set(), set(), set()])
-    outside = Counter()
+    of = lambda distinct: {f for w in distinct for f in features(w)}
+    outside, met = Counter(), Counter()
     for words, y in docs:
-        distinct = set(words)
-        if not y:
-            outside.update(distinct)
-            continue
-        own = _groups(sorted(distinct))
-        for f in {f for w in distinct for f in features(w)}:
-            for seen, g in zip(inside[f], own):
-                seen.add(g)
+        (met.update(of(set(words))) if y else outside.update(set(words)))
+    # Few features are in enough documents to be in enough groups, so groups are kept for those alone.
+    inside = {f: (set(), set(), set()) for f, n in met.items() if n >= MIN_GROUPS}
+    del met
+    for words, y in docs:
+        if y:
+            distinct = set(words)
+            own = _groups(sorted(distinct))
+            for f in of(distinct) & inside.keys():
+                for seen, g in zip(inside[f], own):
+                    seen.add(g)
     support = {f: min(map(len, seen)) for f, seen in inside.items()}
     support = {f: n for f, n in support.items() if n >= MIN_GROUPS}
     share = min(0.5, (1 + sum(y for _, y in docs)) / (2 + len(docs)))
