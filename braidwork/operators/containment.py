@@ -10,9 +10,13 @@ RUN = 3
 
 
 def _runs(words: Column) -> Column:
-    """A hash per run of ``RUN`` words."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (RUN - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, RUN)]))
+    """A hash per run of ``RUN`` words; the words are split once, as they are bound to the argument of a lambda."""
+
+    def of(w: Column) -> Column:
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (RUN - 1), F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, RUN)]))
+
+    return F.get(F.transform(F.array(words), of), F.lit(0))
 
 
 def contained(passages: DataFrame, texts: DataFrame, passage: str = "item", text: str = "text", passage_id: str = "item_id", text_id: str = "doc_id") -> DataFrame:

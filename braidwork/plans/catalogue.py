@@ -86,8 +86,9 @@ def _grams(side: str, i: str) -> str:
     return f"""
 {side}w AS (SELECT {i}, ' ' || w || ' ' AS p FROM (SELECT {i}, unnest(string_split_regex(key, '\\s+')) AS w FROM {side}) WHERE w <> ''),
 {side}g AS (
-  SELECT {i}, substr(p, i, n) AS gram, count(*) AS tf
-  FROM {side}w, (VALUES (2), (3), (4)) AS s(n), unnest(range(1, greatest(length(p) - n + 2, 1))) AS t(i) GROUP BY ALL
+  SELECT {i}, gram, count(*) AS tf FROM (
+    SELECT {i}, unnest(list_transform(range(1, greatest(length(p) - n + 2, 1)), lambda k: substr(p, k, n))) AS gram FROM {side}w, (VALUES (2), (3), (4)) AS s(n)
+  ) GROUP BY ALL
 )"""
 
 
