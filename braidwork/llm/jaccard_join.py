@@ -14,9 +14,9 @@ pivot, and the points that share one with it are its region.
    the boundary; only they can still add a link. They meet the points of the region whose intervals lie
    within the radius of theirs (triangle inequality) and whose sizes allow a link, as do their places: what
    comes before the first shingle that a set has in the region is not shared.
-3. Regions with a large boundary take ``PIVOTS`` more pivots and fall into their Voronoi regions, with
-   points replicated to all regions within the window. These go through the same steps again, until no
-   region is left with two classes.
+3. Regions with a large boundary take ``PIVOTS`` more pivots and fall into their Voronoi regions and a
+   rest that is near none of them, with points replicated to all regions within the window. These go
+   through the same steps again, until no region is left with two classes.
 
 Nothing is capped: common shingles come last in the order but still count, and a region ends only when it
 has one class or all its remaining meetings have been decided.
@@ -47,6 +47,10 @@ MAX_BROADCAST = 500_000
 REMEMBERED = 200_000
 #: First shingles that one task groups, and the most such tasks.
 TASK_ENTRIES, MAX_TASKS = 100_000, 20_000
+#: Bits of a shingle's place among the first ones.
+PLACE = 18
+#: The pivot of a region without one.
+NOBODY = -(1 << 63)
 RADIUS = 1 - LINK / 100
 #: Distances are floats, so bounds that can be met exactly are compared with this to spare.
 TOLERANCE = 1e-9
@@ -166,7 +170,7 @@ def _meet(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def _regions(begins: DataFrame) -> DataFrame:
-    """(pivot, v, pos) of entries (h, v, pos) whose ``h`` is met in two points or more; the pivot is the smallest.
+    """(pivot, v, pos) of entries (e, v) whose shingle is met in two points or more; the pivot is the smallest.
 
     Entries of a shingle stand together, sorted by point, and are read as a stream: however many there are,
     only the first one is held.
@@ -175,8 +179,8 @@ def _regions(begins: DataFrame) -> DataFrame:
     def found(batches):
         last, pivot, held = None, 0, None
         for t in batches:
-            h, v, pos = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "v", "pos"))
-            n = len(h)
+            e, v = (t.column(c).to_numpy(zero_copy_only=False) for c in ("e", "v"))
+            h, pos, n = e >> PLACE, e & ((1 << PLACE) - 1), len(e)
             if not n:
                 continue
             start = np.concatenate([[last is None or h[0] != last], h[1:] != h[:-1]])
@@ -192,7 +196,7 @@ def _regions(begins: DataFrame) -> DataFrame:
             made = [np.concatenate([o[i] for o in out]) for i in range(3)]
             yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.int32())], names=["pivot", "v", "pos"])
 
-    return begins.select("h", "v", "pos").mapInArrow(found, "pivot bigint, v bigint, pos int")
+    return begins.select("e", "v").mapInArrow(found, "pivot bigint, v bigint, pos int")
 
 
 def link_classes(docs: DataFrame) -> DataFrame:
@@ -212,12 +216,18 @@ def link_classes(docs: DataFrame) -> DataFrame:
     copies = join_hot(rows.select("_row", "code"), codes.where("k > 1"), "code", "k", rows.count(), ["_row"])
     copies = stored(copies.where("v <> _row").select("_row"), "copies")
     few = copies.count() <= MAX_BROADCAST
-    points = stored(rows.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "n", "first", "bits"), "points")
-    points = points.withColumn("row", F.col("v"))
+    points = rows.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "n", "first", "bits")
+    points = (points if few else stored(points, "points")).withColumn("row", F.col("v"))
     # First shingles are mostly met once: they are dealt by shingle right away, into tasks of a fixed size.
     entries = points.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
     tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, entries // TASK_ENTRIES + 1))
-    begins = points.select("v", F.posexplode("first").alias("pos", "h")).repartition(tasks, "h").sortWithinPartitions("h", "v")
+    # An entry is two numbers: 46 bits of the shingle over 18 of its place, and the point. Shingles that agree
+    # in 46 bits make a region too many, places beyond 18 bits a bound too weak; neither loses a link.
+    place = F.least(F.col("pos"), F.lit((1 << PLACE) - 1)).cast("bigint")
+    entry = F.shiftleft(F.col("h"), PLACE).bitwiseOR(place).alias("e")
+    shingle = F.shiftrightunsigned("e", PLACE)
+    begins = points.select("v", F.posexplode("first").alias("pos", "h")).select(entry, "v")
+    begins = begins.repartition(tasks, shingle).sortWithinPartitions(shingle, "v")
     # Regions with one pivot are one region: copies share many shingles, and so many regions.
     # Two linked sets are both in the region of the first shingle that they share, and ``pos`` isn't beyond it.
     merged = _regions(begins).groupBy("pivot", "v").agg(F.min("pos").alias("pos"))
@@ -231,18 +241,18 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
     def meet_pivots(todo: DataFrame) -> DataFrame:
         """``todo`` (r, parent, v, n, pos, pivot) with the interval of each distance; links are kept."""
-        size = points.select(F.col("v").alias("pivot"), F.col("n").alias("m"))
-        pairs = todo.where("v <> pivot").select("v", "pivot", "n").distinct().join(size, "pivot")
-        pairs = pairs.where(_sizes_allow(F.col("n"), F.col("m")))
+        todo = todo.join(points.select(F.col("v").alias("pivot"), F.col("n").alias("m")), "pivot")
+        pairs = todo.where(_sizes_allow(F.col("n"), F.col("m"))).where("v <> pivot").select("v", "pivot").distinct()
         met = _meet(pairs.select(F.col("v").alias("a"), F.col("pivot").alias("b")), docs, points)
         add(met)
         known = met.select(F.col("a").alias("v"), F.col("b").alias("pivot"), "low", "high")
-        # Pairs that sizes rule out have not met: they are further apart than the radius.
+        # Pairs that sizes rule out have not met: they are further apart than the radius, and than sizes tell.
         own = F.col("v") == F.col("pivot")
+        apart = F.greatest(F.lit(RADIUS), 1 - F.least("n", "m") / F.greatest("n", "m"))
         found = stored(
             todo.join(known, ["v", "pivot"], "left")
-            .withColumn("low", F.when(own, 0.0).otherwise(F.coalesce("low", F.lit(RADIUS))))
-            .withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))),
+            .withColumn("low", F.when(own, 0.0).otherwise(F.coalesce("low", apart)))
+            .withColumn("high", F.when(own, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))).drop("m"),
             "met",
         )
         released(met)
@@ -254,17 +264,18 @@ def link_classes(docs: DataFrame) -> DataFrame:
         of = stored(of, "classes")
         heads = of.select(F.col("v").alias("pivot"), F.col("class").alias("head"))
         inside = todo.join(of, "v", "left").join(heads, "pivot", "left").withColumn("class", F.coalesce("class", "v"))
-        inside = inside.withColumn("core", F.col("class") == F.coalesce("head", "pivot")).drop("head")
+        inside = inside.withColumn("core", F.col("class") == F.coalesce("head", "pivot")).drop("head")  # NOBODY is no class
         counts = inside.groupBy("r").agg(
             F.min("class").alias("c"), F.max("class").alias("d"), F.sum((~F.col("core")).cast("bigint")).alias("boundary"),
-            F.count("*").alias("size"), F.max("parent").alias("was"),
-        ).where("c <> d")
+            F.count("*").alias("size"), F.max("parent").alias("was"), F.count_if(F.col("v") != F.col("pivot")).alias("unmet"),
+        ).where("c <> d AND unmet > 1")
         # A region that didn't shrink to half of the one it comes from gains nothing from more pivots.
         last = (F.col("boundary") <= BOUNDARY) | (2 * F.col("size") > F.col("was"))
         counts = stored(counts.select("r", "size", last.alias("last")), "open")
         rest = inside.where("v <> pivot")  # pivots have met all points of their region
         # Those that are left are few; their bits come along, so that a pair is only made if they allow it.
-        here = stored(rest.join(counts.where("last").select("r"), "r", "left_semi").select("r", "v", "n", "pos", "class", "core", "low", "high"), "here")
+        here = rest.join(counts.where("last").select("r"), "r", "left_semi")
+        here = stored(here.select("r", "v", "n", "pos", "class", "core", "low", "high"), "here")
         bits = points.join(here.select("v").distinct(), "v", "left_semi").select("v", "bits")
         here_bits = here.join(bits, "v")
         edge = here_bits.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high", "bits")])
@@ -284,9 +295,8 @@ def link_classes(docs: DataFrame) -> DataFrame:
         large = counts.where("not last").select("r", "size")
         if not large.head(1):
             break
-        # Voronoi regions of the next pivots: a point goes to its nearest pivot's region, and to every other
-        # one whose pivot is at most twice the radius further away. Pivots are half the points nearest to the
-        # old pivot, for what many copies were made from is near each of them, and half boundary points.
+        # Pivots of the next regions are half the points nearest to the old pivot, for what many copies were
+        # made from is near each of them, and half boundary points.
         left = rest.join(large, "r")
         near_first = Window.partitionBy("r").orderBy("low", "high", "v")
         outside = Window.partitionBy("r").orderBy(F.col("core"), F.xxhash64("v"), "v")
@@ -296,9 +306,14 @@ def link_classes(docs: DataFrame) -> DataFrame:
         picked = stored(picked.union(others).distinct(), "pivots")
         cells = left.select("r", F.col("size").alias("parent"), "v", "n", "pos").join(picked, "r")
         cells = met = meet_pivots(cells)
-        nearest = cells.groupBy("r", "v").agg(F.min("high").alias("_nearest"))
-        cells = cells.join(nearest, ["r", "v"]).where(F.col("low") <= F.col("_nearest") + 2 * RADIUS + TOLERANCE)
-        old, todo = todo, stored(cells.withColumn("r", F.xxhash64("r", "pivot")).drop("_nearest"), "cells")
+        # Two linked points, one of them within the radius of a pivot, are both within twice the radius of it;
+        # two that are beyond the radius of all pivots are both in the rest, a region without a pivot.
+        near_cells = cells.where(F.col("low") <= 2 * RADIUS + TOLERANCE).withColumn("r", F.xxhash64("r", "pivot"))
+        far = cells.groupBy("r", "v").agg(
+            F.min("high").alias("low"), F.first("parent").alias("parent"), F.first("n").alias("n"), F.first("pos").alias("pos")
+        ).where(F.col("low") > RADIUS + TOLERANCE)
+        far = far.select("v", F.lit(NOBODY).cast("bigint").alias("pivot"), F.xxhash64("r", F.lit("rest")).alias("r"), "parent", "n", "pos", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+        old, todo = todo, stored(near_cells.select(*far.columns).unionByName(far), "cells")
         released(old, met, picked)
     of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
     classes = stored(codes.join(of, "v", "left").select("code", F.coalesce("class", "v").alias("class"), "k"), "classes")

@@ -71,11 +71,11 @@ def identity(found: np.ndarray) -> int:
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """A set as bits: how often, odd or even, a hash falls on each of as many places as it has entries.
+    """A set as bits: how often, odd or even, a hash falls on each of twice as many places as it has entries.
 
     The number of places is a power of two, 64 at least. Bits of two sets that differ are at most as many
     as their entries that differ; halves laid over each other by XOR are the bits for half the places.
     """
-    places = max(64, 1 << max(0, len(found) - 1).bit_length())
+    places = max(64, 2 << max(0, len(found) - 1).bit_length())
     counts = np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)

@@ -7,13 +7,14 @@ import zipfile
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from braidwork.llm import archives, fingerprints, jaccard_join, mixing, packing, pii, quality_rules, toxicity, url_filter
 from braidwork.llm import quality_classifier as qc
-from braidwork.llm.shingles import shingle_set
+from braidwork.llm.shingles import parity, shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -66,6 +67,46 @@ def test_links_of_exactly_the_limit(spark, monkeypatch):
     assert got == dict(enumerate(plain_components(texts))) and got[2] == (80, 0)
 
 
+def test_triples_of_exactly_the_limit(spark):
+    texts = []
+    for i in range(300):  # y, y without its first two words, y without its last two; each of them is the first in turn
+        w = [f"t{i}w{k}" for k in range(14)]
+        three = [" ".join(w), " ".join(w[2:]), " ".join(w[:-2])]
+        texts += three[i % 3 :] + three[: i % 3]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(docs(spark, texts)).collect()}
+    assert got == {i: i - i % 3 for i in range(900)}
+
+
+def test_regions_across_batches():
+    entries = sorted([(h << jaccard_join.PLACE | p, v) for h, v, p in [(-5, 1, 0), (-5, 2, 3), (7, 4, 1), (9, 1, 2), (9, 3, 0), (9, 8, 5), (11, 2, 2)]], key=lambda e: (e[0] >> jaccard_join.PLACE, e[1]))
+
+    class Rows:  # stands in for a table: keeps what would run on the executors
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    for size in range(1, 8):
+        batches = [pa.RecordBatch.from_pydict({"e": [e for e, _ in entries[i : i + size]], "v": [v for _, v in entries[i : i + size]]}) for i in range(0, 7, size)]
+        out = [tuple(r.values()) for b in jaccard_join._regions(Rows())(batches) for r in b.to_pylist()]
+        assert sorted(out) == [(1, 1, 0), (1, 1, 2), (1, 2, 3), (1, 3, 0), (1, 8, 5)]
+
+
+def test_parity_bounds_what_differs():
+    rng = np.random.default_rng(1)
+    for n in (1, 31, 33, 200, 3000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n - n // 5], rng.integers(0, 1 << 62, n // 6).astype(np.uint64)]))
+        x, y = parity(a), parity(b)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and (n < 100 or differ > 0.6 * len(np.setxor1d(a, b)))
+
+
 def test_shingles():
     assert len(shingle_set(None)) == 0 and len(shingle_set("a b")) == 1
     assert len(shingle_set("a b c d e f a b c d e")) == 6 and (shingle_set("A b") == shingle_set("a\nb ")).all()
@@ -298,7 +339,7 @@ def test_tokenizer_short_way():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     whole, short = Tokenizer.from_file(path), packing.word_bpe(path)()
-    for t in ["It's <|endoftext|> don't\tx ﬁ Σίσυφος İstanbul 1²3 é 漢字", "", "  a\r\nb ", "we'LL 'tis can't''s ŉ ſ Größe"]:
+    for t in ["It's <|endoftext|> don't\tx ﬁ Σίσυφος İstanbul 1²3 é 漢字", "", "  a\r\nb ", "we'LL 'tis can't''s ŉ ſ Größe", "Word, word. word' word7 a1 x| <| |> a< Z~ \x7f a\x7f !a"]:
         assert short(t) == np.array([*whole.encode(t, add_special_tokens=False).ids, 1], dtype="<u4").tobytes()
 
 
