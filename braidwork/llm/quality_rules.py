@@ -113,7 +113,8 @@ def quality_rules(
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     ids = trusted_ids.select(F.col(doc_id).alias("_id")).where("_id is not null").distinct().withColumn("_trusted", F.lit(True))
     # Rows without an id would all meet in one task of a shuffle.
-    marked = docs.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left").select("_text", "_trusted")
+    # The ids are always met in a shuffle: what a small table would save by a broadcast, a large one can't.
+    marked = docs.where("doc_id is not null").join(ids.hint("merge"), F.col("doc_id") == F.col("_id"), "left").select("_text", "_trusted")
     marked = marked.unionByName(docs.where("doc_id is null").select("_text", F.lit(False).alias("_trusted")))
     ratio = fit_ratio(marked, "_trusted", "_text", n)
     weights = literal_doubles(ratio)
