@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,24 +161,23 @@ def nearest_neighbours(left: DataFrame, right: DataFrame, k: int, key: str = "ke
     norm = raw.groupBy("left_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     a = stored(raw.join(norm, "left_id").select("left_id", "gram", (F.col("w") / F.col("norm")).alias("weight")), "weights")
     # The right side is weighted by all grams of the left side, whatever block it meets.
-    known = {r["gram"]: r["idf"] for r in idf.toLocalIterator()}
-    names = sorted(known)
-    values = np.array([known[g] for g in names])
-    number = {g: i for i, g in enumerate(names)}
+    table = idf.toArrow()
+    names = table.column("gram").combine_chunks()
+    values = table.column("idf").to_numpy()
     kinds = [to_arrow_type(df.schema[c].dataType) for df, c in ((left, "left_id"), (right, "right_id"))]
     schema = f"left_id {dict(left.dtypes)['left_id']}, right_id {dict(right.dtypes)['right_id']}, cosine double"
     blocks = max(1, -(-n // BLOCK), -(-entries // ENTRIES))
     block = F.pmod(F.xxhash64("left_id"), F.lit(blocks))
     best = None
     for i in range(blocks):
-        ids = sorted(r["left_id"] for r in left.where(block == i).select("left_id").toLocalIterator())
-        rank = {x: j for j, x in enumerate(ids)}
-        rows = [(number[r["gram"]], rank[r["left_id"]], r["weight"]) for r in a.where(block == i).toLocalIterator()]
-        rows.sort()
-        g = np.array([x[0] for x in rows], dtype=np.int64)
+        ids = sorted(left.where(block == i).select("left_id").toArrow().column(0).to_pylist())
+        rows = a.where(block == i).select("gram", "left_id", "weight").toArrow()
+        at = pc.index_in(rows.column("left_id"), value_set=pa.array(ids, kinds[0])).to_numpy().astype(np.int64)
+        g = pc.index_in(rows.column("gram"), value_set=names).to_numpy().astype(np.int64)
+        order = np.lexsort((at, g))
         packed = {
-            "ids": ids, "grams": names, "idf": values, "starts": np.searchsorted(g, np.arange(len(names) + 1)),
-            "at": np.array([x[1] for x in rows], dtype=np.int64), "weight": np.array([x[2] for x in rows]),
+            "ids": ids, "grams": names.to_pylist(), "idf": values, "starts": np.searchsorted(g[order], np.arange(len(names) + 1)),
+            "at": at[order], "weight": rows.column("weight").to_numpy()[order],
         }
         found = right.select("right_id", key).mapInArrow(_kernel(packed, k, *kinds), schema)
         best = found if best is None else best.unionByName(found)
