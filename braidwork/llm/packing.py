@@ -17,10 +17,12 @@ up in the plan. No task holds all pieces of a length.
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -326,7 +328,7 @@ class Remembered(dict):
 #: Tokenize functions of this worker: its tasks share the vocabulary and what is remembered.
 _LOADED: dict[tuple[str, int], object] = {}
 #: Words and parts of words that a generation remembers; an entry takes some 200 bytes.
-WORDS, PARTS = 160_000, 120_000
+WORDS, PARTS = 20_000, 220_000
 
 
 def loaded(path: str, end: int):
@@ -370,16 +372,20 @@ def _load(path: str, end: int):
 
     def of_word(word: str) -> bytes:
         if plain(word) and "<|" not in word:
-            low = word.lower()
-            if low.isalpha():
-                return parts[low]
-            return b"".join([parts[p] for p in split(low)])
+            return b"".join([parts[p] for p in split(word.lower())])
         return packed(whole.encode(word, add_special_tokens=False).ids)
 
-    look_up = Remembered(of_word, WORDS).__getitem__
+    words = Remembered(of_word, WORDS)
+    # The same parts for whole texts of plain letters, digits and marks, whose numbers are the ten digits.
+    small = re.escape("".join(c for c in map(chr, range(0xA1, 0x17F)) if plain(c) and c.isalpha() and c.lower() == c))
+    find = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{small}]+|[0-9]|[^\sa-z{small}0-9]+").findall
+    odd = re.compile("[^\x20-\x7e\n¡-¬®-įı-ňŊ-ž]|[²³¹¼-¾]|<\\|").search
 
     def tokenize(text: str) -> bytes:
-        return b"".join(map(look_up, text.replace("\n", " ").split(" "))) + last
+        if odd(text):
+            return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" "))) + last
+        found = find(text.lower())
+        return (b"".join(itemgetter(*found)(parts)) if len(found) > 1 else b"".join(map(parts.__getitem__, found))) + last
 
     return tokenize
 
@@ -387,9 +393,10 @@ def _load(path: str, end: int):
 def word_bpe(path: str, end: int = 1):
     """A maker of tokenize functions for a vocabulary file of the lower-case word kind: ids, then ``end``.
 
-    Such tokenizers treat blanks as borders, so words are encoded one by one and remembered, up to a
-    bounded number. Words of plain letters and marks take the short way through the file's model;
-    anything else is left to the tokenizer as a whole. Both ways give the tokenizer's own ids.
+    Such tokenizers treat blanks as borders and cut words into letters, digits and marks, so these parts are
+    encoded one by one and remembered, up to a bounded number. Texts and words of plain letters and marks take
+    this short way through the file's model; any other word is left to the tokenizer as a whole. Both ways
+    give the tokenizer's own ids.
     """
     return lambda: loaded(path, end)
 
