@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import give_back, map_texts, table
 from .quality_classifier import training_rows
 
 #: At most so many labelled training rows, those of the lowest hash, with so many characters are fitted on the driver.
@@ -60,22 +60,26 @@ def choose_features(docs: list[tuple[list[str], int]]) -> set[str]:
     would be found in toxic ones alone by chance with the share of toxic documents to the n-th power;
     over all features looked at, that may add up to ``CHANCE`` features.
     """
-    of = lambda distinct: {f for w in distinct for f in features(w)}
-    outside, met = Counter(), Counter()
+    outside = Counter()
     for words, y in docs:
-        (met.update(of(set(words))) if y else outside.update(set(words)))
-    # Few features are in enough documents to be in enough groups, so groups are kept for those alone.
-    inside = {f: (set(), set(), set()) for f, n in met.items() if n >= MIN_GROUPS}
-    del met
-    for words, y in docs:
-        if y:
-            distinct = set(words)
-            own = _groups(sorted(distinct))
-            for f in of(distinct) & inside.keys():
-                for seen, g in zip(inside[f], own):
+        if not y:
+            outside.update(set(words))
+    own = {k: _groups(sorted(set(words))) for k, (words, y) in enumerate(docs) if y}
+    support: dict[str, int] = {}
+    for n in (0, *PREFIXES):  # one kind of feature at a time, which is what the driver holds
+        of = lambda words: {"=" + w for w in words if w} if not n else {w[:n] for w in words if len(w) > n}  # noqa: B023, E731
+        met = Counter()
+        for words, y in docs:
+            if y:
+                met.update(of(set(words)))
+        # Few features are in enough documents to be in enough groups, so groups are kept for those alone.
+        inside = {f: (set(), set(), set()) for f, count in met.items() if count >= MIN_GROUPS}
+        del met
+        for k, groups in own.items():
+            for f in of(set(docs[k][0])) & inside.keys():
+                for seen, g in zip(inside[f], groups):
                     seen.add(g)
-    support = {f: min(map(len, seen)) for f, seen in inside.items()}
-    support = {f: n for f, n in support.items() if n >= MIN_GROUPS}
+        support |= {f: m for f, seen in inside.items() if (m := min(map(len, seen))) >= MIN_GROUPS}
     share = min(0.5, (1 + sum(y for _, y in docs)) / (2 + len(docs)))
     least = math.ceil(math.log(max(1, len(support)) / CHANCE) / -math.log(share))
     support = {f: n for f, n in support.items() if n >= least}
@@ -208,8 +212,8 @@ def train(docs: list[tuple[list[str], int]], rounds: int = ROUNDS, ridge: float
     if not chosen:
         return Chain({}, -9.0, np.zeros((2, 2)))
     index = {f: i for i, f in enumerate(sorted(chosen))}
-    ids: dict[str, tuple[int, ...]] = {}
-    known = lambda w: ids.setdefault(w, tuple(index[f] for f in features(w) if f in index))
+    ids = {w: found for w in {w for words, _ in docs for w in words} if (found := tuple(index[f] for f in features(w) if f in index))}
+    known = lambda w: ids.get(w, ())
     made, tags, of = [], [], []
     for k, (words, y) in enumerate(docs):
         starts = {i - i % WIDTH for i, w in enumerate(words) if known(w)}
@@ -297,7 +301,7 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", doc_id="doc_
     forms: dict[str, str] = {}
 
     def words(x: str | None) -> list[str]:
-        return [forms.get(t) or forms.setdefault(t, form(t)) for t in (x or "").split()]
+        return [forms.setdefault(f, f) for f in map(form, (x or "").split())]
 
     rows, found, left = training_rows(docs, labelled, doc_id, text, label, sample), [], SAMPLE_CHARS
     for r in rows.orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
@@ -305,7 +309,11 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str = "toxic", doc_id="doc_
         if left < 0:
             break
         found.append((words(r["text"]), r["_label"]))
-    return train(found)
+    forms.clear()
+    chain = train(found)
+    del found
+    give_back()
+    return chain
 
 
 def toxicity(docs: DataFrame, chain: Chain, text: str = "text", keep: list[str] | None = None) -> DataFrame:
