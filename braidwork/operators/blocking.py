@@ -17,6 +17,8 @@ SIZES = (2, 3, 4)
 BLOCK, ENTRIES = 50_000, 10_000_000
 #: Words whose grams a worker remembers.
 WORDS = 100_000
+#: Records that share a gram from which on its weights are added by themselves.
+LONG = 256
 
 
 class Refused(ValueError):
@@ -115,9 +117,15 @@ def _kernel(block: dict, k: int, id_type: pa.DataType, right_type: pa.DataType):
         w = tf * idf[met]
         w /= np.sqrt((w * w).sum())
         sizes = starts[met + 1] - starts[met]
-        first = np.repeat(starts[met] - np.append(0, np.cumsum(sizes)[:-1]), sizes)
+        # Many short runs of weights are added in one go, each long one by itself.
+        short = sizes < LONG
+        first = np.repeat(starts[met[short]] - np.append(0, np.cumsum(sizes[short])[:-1])[: short.sum()], sizes[short])
         places = first + np.arange(len(first))
-        return np.bincount(at[places], np.repeat(w, sizes) * weight[places], minlength=len(ids))
+        total = np.bincount(at[places], np.repeat(w[short], sizes[short]) * weight[places], minlength=len(ids)).astype(np.float64)
+        for g, x in zip(met[~short], w[~short]):
+            run = slice(starts[g], starts[g + 1])
+            total[at[run]] += x * weight[run]
+        return total
 
     def nearest(batches):
         for b in batches:

@@ -31,7 +31,9 @@ def test_blocking(spark, monkeypatch):
     best = {(r["left_id"], r["right_id"]) for r in blocking.nearest_neighbours(left, right, 1).collect()}
     assert {("a1", "b1"), ("a2", "b2")} <= best
     whole = shown(blocking.nearest_neighbours(left, right, 2))
-    monkeypatch.setattr(blocking, "ENTRIES", 20)  # several blocks give the same
+    monkeypatch.setattr(blocking, "LONG", 1)  # as do runs that are added by themselves
+    assert shown(blocking.nearest_neighbours(left, right, 2)) == whole
+    monkeypatch.setattr(blocking, "ENTRIES", 20)  # and several blocks
     assert shown(blocking.nearest_neighbours(left, right, 2)) == whole
     with pytest.raises(Refused):
         blocking.nearest_neighbours(left, right, 0)
