@@ -3,8 +3,9 @@
 Documents are sets of hashed word shingles, and 1 minus their Jaccard similarity is a metric. Equal sets
 are one point. A plain choice of pivots can't tell texts apart (almost every distance is 1), so regions
 come first from what a link needs: under one order of all shingles, common ones last, two linked sets
-share one of their first ``n - ceil(0.8 n) + 1`` shingles. The smallest point with such a shingle is a
-pivot, and the points that share one with it are its region.
+share ``k`` of their first ``n - ceil(0.8 n) + k`` shingles. With ``k`` a part of ``n``, most texts that share
+a few shingles by chance show by their own count of shared ones that they are linked with nothing, and
+leave. The smallest point with such a shingle is a pivot, and the points that share one with it are its region.
 
 1. Every point meets the pivots of its regions, a number in proportion to the points. A bound from bits
    of the sets, one per shingle, rejects most of these meetings, texts decide the others exactly, and each
@@ -39,6 +40,8 @@ from .shingles import identity, parity, shingle_set
 LINK = 80
 #: A shingle met in more than this many texts comes late in the order; at most so many are set back.
 COMMON, MAX_COMMON = 16, 200_000
+#: One shingle in so many, and one more, is added to the first ones and has to be shared as well.
+EXTRA = 20
 #: Regions whose boundary is at most so large decide all their meetings; others take more pivots first.
 BOUNDARY, PIVOTS = 64, 8
 #: Up to so many texts are picked by a broadcast of their ids; beyond, by a shuffle.
@@ -58,7 +61,21 @@ _TOP = np.uint64(1) << np.uint64(63)
 
 
 def first_count(n: int) -> int:
-    return n - -(-LINK * n // 100) + 1 if n else 0
+    """How many shingles of a set of ``n`` are first ones: ``k = 1 + n // EXTRA`` more than a link can do without."""
+    return min(n, n - -(-LINK * n // 100) + 1 + n // EXTRA)
+
+
+def first_count_of(n: Column) -> Column:
+    return F.least(n, n - F.floor((LINK * n + 99) / 100) + 1 + F.floor(n / EXTRA))
+
+
+def shared_count(n: Column) -> Column:
+    """So many first shingles a set of ``n`` shares with each set that it is linked with.
+
+    Of two linked sets each has the first ``k`` shared shingles among its first ones, for the smaller ``k`` of
+    the two; and the smaller set has ``ceil(0.8 n)`` shingles at least.
+    """
+    return F.floor((F.floor((LINK * n + 99) / 100)) / EXTRA) + 1
 
 
 def ordered(found: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -88,12 +105,15 @@ def _common(docs: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in found], dtype=np.int64).view(np.uint64))
 
 
+def _half(z: Column) -> Column:
+    """The bits for half the places, by XOR of both halves."""
+    half = (F.size(z) / 2).cast("int")
+    return F.zip_with(F.slice(z, F.lit(1), half), F.slice(z, half + 1, F.size(z)), lambda p, q: p.bitwiseXOR(q))
+
+
 def _differing(x: Column, y: Column) -> Column:
     """In how many bits two sets' parities differ; the longer one, twice as long at most, is folded first."""
-    half = lambda z: F.zip_with(
-        F.slice(z, F.lit(1), (F.size(z) / 2).cast("int")), F.slice(z, (F.size(z) / 2).cast("int") + 1, F.size(z)), lambda p, q: p.bitwiseXOR(q)
-    )
-    folded = lambda z, w: F.when(F.size(z) > F.size(w), half(z)).otherwise(z)
+    folded = lambda z, w: F.when(F.size(z) > F.size(w), _half(z)).otherwise(z)
     counts = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
     return F.aggregate(counts, F.lit(0), lambda total, n: total + n)
 
@@ -206,38 +226,68 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
     def measured(texts: list[str | None]) -> list:
         sets = [shingle_set(t) for t in texts]
-        firsts = [ordered(s, common)[: first_count(len(s))].view(np.int64) for s in sets]
-        return [[len(s) for s in sets], [identity(s) for s in sets], firsts, [parity(s) for s in sets]]
+        return [[len(s) for s in sets], [identity(s) for s in sets], [parity(s) for s in sets]]
+
+    def begun(texts: list[str | None]) -> list:
+        sets = [shingle_set(t) for t in texts]
+        return [[ordered(s, common)[: first_count(len(s))].view(np.int64) for s in sets]]
 
-    made = map_texts(docs.select("_row", "_text"), "_text", measured, "n bigint, code bigint, first array<bigint>, bits array<bigint>")
+    made = map_texts(docs.select("_row", "_text"), "_text", measured, "n bigint, code bigint, bits array<bigint>")
     rows = stored(made.where("n > 0"), "sets")
     codes = stored(rows.groupBy("code").agg(F.min("_row").alias("v"), F.count("*").alias("k")), "codes")
     # Copies are found by codes and rows alone; sets are left where they lie.
     copies = join_hot(rows.select("_row", "code"), codes.where("k > 1"), "code", "k", rows.count(), ["_row"])
     copies = stored(copies.where("v <> _row").select("_row"), "copies")
     few = copies.count() <= MAX_BROADCAST
-    points = rows.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "n", "first", "bits")
+    points = rows.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "n", "bits")
     points = (points if few else stored(points, "points")).withColumn("row", F.col("v"))
-    # First shingles are mostly met once: they are dealt by shingle right away, into tasks of a fixed size.
-    entries = points.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
+    # First shingles are worked out from the texts as they are dealt: written, they would take half the input's place.
+    firsts = map_texts(docs.select("_row", "_text"), "_text", begun, "first array<bigint>").where(F.size("first") > 0)
+    firsts = firsts.join(F.broadcast(copies) if few else copies, "_row", "left_anti").select(F.col("_row").alias("v"), "first")
+    # They are mostly met once: they are dealt by shingle right away, into tasks of a fixed size.
+    entries = points.agg(F.coalesce(F.sum(first_count_of(F.col("n"))), F.lit(0))).first()[0]
     tasks = min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, entries // TASK_ENTRIES + 1))
     # An entry is two numbers: 46 bits of the shingle over 18 of its place, and the point. Shingles that agree
     # in 46 bits make a region too many, places beyond 18 bits a bound too weak; neither loses a link.
     place = F.least(F.col("pos"), F.lit((1 << PLACE) - 1)).cast("bigint")
     entry = F.shiftleft(F.col("h"), PLACE).bitwiseOR(place).alias("e")
     shingle = F.shiftrightunsigned("e", PLACE)
-    begins = points.select("v", F.posexplode("first").alias("pos", "h")).select(entry, "v")
+    begins = firsts.select("v", F.posexplode("first").alias("pos", "h")).select(entry, "v")
     begins = begins.repartition(tasks, shingle).sortWithinPartitions(shingle, "v")
     # Regions with one pivot are one region: copies share many shingles, and so many regions.
     # Two linked sets are both in the region of the first shingle that they share, and ``pos`` isn't beyond it.
-    merged = _regions(begins).groupBy("pivot", "v").agg(F.min("pos").alias("pos"))
-    merged = stored(merged, "regions").join(points.select("v", "n"), "v").withColumn("r", F.col("pivot"))
+    found = stored(_regions(begins).groupBy("pivot", "v").agg(F.min("pos").alias("pos"), F.count("*").alias("shared")), "found")
+    # Points that share too few to be linked with any other leave; the smallest that stays is the pivot.
+    shares = stored(found.groupBy("v").agg(F.sum("shared").alias("shared")), "shares")
+    alive = shares.join(points.select("v", "n"), "v").where(F.col("shared") >= shared_count(F.col("n"))).select("v")
+    alive = stored(alive, "alive")
+    few = alive.count() <= MAX_BROADCAST
+    points = stored(points.join(F.broadcast(alive) if few else alive, "v", "left_semi").select("v", "n", "bits", "row"), "points")
+    stay = stored(found.drop("shared").withColumnRenamed("pivot", "r").join(points.select("v", "n"), "v"), "stay")
+    pivots = stay.groupBy("r").agg(F.min("v").alias("pivot"), F.count("*").alias("k")).where("k > 1").select("r", "pivot")
+    # Regions that come to the same pivot are one again.
+    merged = stay.join(pivots, "r").groupBy("pivot", "v").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
+    merged = stored(merged.withColumn("r", F.col("pivot")), "regions")
+    released(found, shares, alive, stay)
     links = spark.createDataFrame([], "a bigint, b bigint")
+    of, closed = None, False
 
     def add(met: DataFrame) -> None:
-        nonlocal links
-        old, links = links, stored(links.union(met.where("link").select("a", "b")), "links")
-        released(old)
+        """Keeps the links between different classes; where there is one, classes are worked out anew."""
+        nonlocal links, closed
+        new = met.where("link").select("a", "b")
+        if of is not None:
+            x, y = (of.select(F.col("v").alias(c), F.col("class").alias(f"_{c}")) for c in ("a", "b"))
+            new = new.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+        new = stored(new, "links")
+        if new.head(1):
+            links, closed = links.union(new), False
+
+    def close() -> None:
+        nonlocal of, closed
+        if not closed:
+            found = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
+            of, closed = stored(found, "classes"), True
 
     def meet_pivots(todo: DataFrame) -> DataFrame:
         """``todo`` (r, parent, v, n, pos, pivot) with the interval of each distance; links are kept."""
@@ -260,8 +310,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
 
     todo = meet_pivots(merged.withColumn("parent", F.lit(1 << 62)))
     while True:
-        of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
-        of = stored(of, "classes")
+        close()
         heads = of.select(F.col("v").alias("pivot"), F.col("class").alias("head"))
         inside = todo.join(of, "v", "left").join(heads, "pivot", "left").withColumn("class", F.coalesce("class", "v"))
         inside = inside.withColumn("core", F.col("class") == F.coalesce("head", "pivot")).drop("head")  # NOBODY is no class
@@ -273,10 +322,12 @@ def link_classes(docs: DataFrame) -> DataFrame:
         last = (F.col("boundary") <= BOUNDARY) | (2 * F.col("size") > F.col("was"))
         counts = stored(counts.select("r", "size", last.alias("last")), "open")
         rest = inside.where("v <> pivot")  # pivots have met all points of their region
-        # Those that are left are few; their bits come along, so that a pair is only made if they allow it.
+        # Those that are left are few; bits for half the places come along, so that a pair is only made if they
+        # allow it: enough for unlike texts. Pairs that are made meet with all their bits.
         here = rest.join(counts.where("last").select("r"), "r", "left_semi")
         here = stored(here.select("r", "v", "n", "pos", "class", "core", "low", "high"), "here")
-        bits = points.join(here.select("v").distinct(), "v", "left_semi").select("v", "bits")
+        bits = points.join(here.select("v").distinct(), "v", "left_semi")
+        bits = bits.select("v", F.when(F.size("bits") > 1, _half(F.col("bits"))).otherwise(F.col("bits")).alias("bits"))
         here_bits = here.join(bits, "v")
         edge = here_bits.where("not core").select("r", *[F.col(c).alias(f"{c}_a") for c in ("v", "n", "pos", "class", "low", "high", "bits")])
         window = RADIUS + TOLERANCE
@@ -315,7 +366,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
         far = far.select("v", F.lit(NOBODY).cast("bigint").alias("pivot"), F.xxhash64("r", F.lit("rest")).alias("r"), "parent", "n", "pos", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
         old, todo = todo, stored(near_cells.select(*far.columns).unionByName(far), "cells")
         released(old, met, picked)
-    of = components(links, "a", "b").select(F.col("vertex").alias("v"), F.col("component").alias("class"))
+    close()
     classes = stored(codes.join(of, "v", "left").select("code", F.coalesce("class", "v").alias("class"), "k"), "classes")
     return join_hot(rows.select("_row", "n", "code"), classes, "code", "k", rows.count(), ["_row"]).select("_row", "n", "class")
 

@@ -67,6 +67,51 @@ def test_links_of_exactly_the_limit(spark, monkeypatch):
     assert got == dict(enumerate(plain_components(texts))) and got[2] == (80, 0)
 
 
+def test_texts_that_share_by_chance_meet_nobody(spark, monkeypatch):
+    met = []
+    monkeypatch.setattr(jaccard_join, "_meet", lambda pairs, *rest, f=jaccard_join._meet: met.append(pairs.count()) or f(pairs, *rest))
+    # Unlike texts of 200 words with runs of 8 words that two of them have; the last ones are linked, three by three.
+    words = [[f"w{i}_{k}" for k in range(200)] for i in range(60)]
+    for i in range(60):
+        for k in range(2):
+            at = 90 * k + 4
+            words[(i + 1 + k) % 60][at : at + 8] = words[i][at : at + 8] = [f"p{i}_{k}_{j}" for j in range(8)]
+    texts = [" ".join(w) for w in words]
+    assert len({r for _, r in plain_components(texts)}) == 60
+    jaccard_join.jaccard_join(docs(spark, texts)).collect()
+    assert sum(met) == 0
+    for i in range(0, 30, 3):
+        texts += [" ".join(words[i][:-12]), " ".join(words[i][12:])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_join(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(plain_components(texts))) and len({c for _, c in got.values()}) == 60 and sum(met) >= 20
+
+
+@pytest.mark.parametrize("n", [*range(1, 60), 99, 100, 101, 250, 1000])
+def test_linked_sets_share_enough_first_shingles(n):
+    rng = np.random.default_rng(n)
+    need = lambda n: 1 + -(-80 * n // 100) // jaccard_join.EXTRA
+    for _ in range(40):  # sets at the limit, by numbers alone: what one has alone comes first in the order
+        both = int(rng.integers(-(-4 * n // 5), n + 1))
+        more = int(rng.integers(0, (100 * both - 80 * n) // 80 + 1))
+        a, b = np.arange(n), np.concatenate([np.arange(n - both, n), -1 - np.arange(more)])
+        assert 100 * both >= 80 * (n + more)
+        for order in (np.sort, lambda s: s[np.argsort(s * 7919 % 10007)]):
+            firsts = [order(s)[: jaccard_join.first_count(len(s))] for s in (a, b)]
+            assert len(np.intersect1d(*firsts)) >= max(need(n), need(len(b)))
+
+
+def test_shared_counts(spark):
+    got = spark.range(3000).select("id", jaccard_join.shared_count(F.col("id")).alias("k"), jaccard_join.first_count_of(F.col("id")).alias("f")).collect()
+    assert all(r["k"] == 1 + -(-80 * r["id"] // 100) // jaccard_join.EXTRA and r["f"] == jaccard_join.first_count(r["id"]) for r in got)
+
+
+def test_first_shingles_are_not_written(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name, f=jaccard_join.stored: kept.append(df.columns) or f(df, name))
+    jaccard_join.jaccard_join(docs(spark, ["a b c d e f g", "a b c d e f h", None])).collect()
+    assert kept and not any("first" in columns for columns in kept)
+
+
 def test_triples_of_exactly_the_limit(spark):
     texts = []
     for i in range(300):  # y, y without its first two words, y without its last two; each of them is the first in turn
