@@ -16,17 +16,29 @@ def read_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE")
 
 
-def read_csv_text(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1")) -> DataFrame:
-    """All columns as text, blank as an empty string; the first encoding that reads the head without a bad character."""
+def _reads(spark: SparkSession, path: str, df: DataFrame, encoding: str) -> bool:
+    """Whether a file is of an encoding: all its bytes for UTF-8, no bad character in the head for others."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return not spark.read.text(path).where(~F.is_valid_utf8("value")).head(1)
+    head = df.limit(1000)
+    bad = head.where(F.exists(F.array(*[F.col(f"`{c}`") for c in df.columns]), lambda v: F.contains(v, F.lit("\ufffd"))))
+    return not bad.head(1)
+
+
+def read_csv_text(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "ISO-8859-1"), line_end: str | None = None) -> DataFrame:
+    """All columns as text, blank as an empty string; by the first encoding that the file is of, else the last.
+
+    Without ``line_end`` it is found from the beginning of the file, where line ends inside of texts count too.
+    """
     options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "inferSchema": False}
+    if line_end:
+        options["lineSep"] = line_end
     df = None
     for encoding in encodings:
         df = spark.read.csv(path, encoding=encoding, **options)
-        head = df.limit(1000)
-        bad = head.where(F.exists(F.array(*[F.col(f"`{c}`") for c in df.columns]), lambda v: F.contains(v, F.lit("�"))))
-        if not bad.head(1):
+        if _reads(spark, path, df, encoding):
             break
-    names = [c.removeprefix("﻿") for c in df.columns]
+    names = [c.removeprefix("\ufeff") for c in df.columns]
     return df.toDF(*names).na.fill("")
 
 
@@ -39,8 +51,9 @@ def read_labels(spark: SparkSession, path: str, left: str = "left_id", right: st
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """With a header; ``one_file`` only for results of known size."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """With a header and lines that end in LF; blanks around a text stay. ``one_file`` only for results of known size."""
+    options = {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, **options)
 
 
 def plain(value):
