@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from braidwork.operators import entities
+from braidwork.operators import entities, experiments, model
 
 
 def closed(records, edges):
@@ -43,3 +43,16 @@ def test_audit_counts(spark, monkeypatch):
         assert r["mean"] == (pytest.approx(np.mean(scores)) if scores else None)
     lone = entities.closure_audit(frame({r: r for r in records}), ids.limit(0), pairs, frame(true), sources)
     assert lone.count() == 0
+
+def test_sweep_of_one_score(spark):
+    """Scores that are the same in all splits: decided and closed once, as if in each of them."""
+    rng = np.random.default_rng(12)
+    rows = [(f"L{a:02d}", f"R{b:02d}", i, float(np.round(rng.random(), 2)), int(a == b)) for b in range(40) for i, a in enumerate(rng.permutation(40)[:4])]
+    pairs = spark.createDataFrame(rows, "left_id string, right_id string, seq int, score double, is_match int")
+    records = spark.createDataFrame([(f"{s}{i:02d}",) for s in "LR" for i in range(40)], "record_id string")
+    truth = spark.createDataFrame([(f"L{i:02d}", f"R{i:02d}") for i in range(30)], "left_id string, right_id string")
+    plain = experiments.sweep(model.splits(pairs, [3, 4, "x"]), records, truth, 0.6)
+    once = experiments.sweep_scored(pairs, [3, 4, "x"], records, truth, 0.6)
+    assert once.columns == plain.columns
+    shown = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    assert shown(once) == shown(plain) and once.count() == 9
