@@ -81,16 +81,23 @@ def column_profile(frame: DataFrame, columns: Sequence[str] | None = None, order
     """
     columns = columns or frame.columns
     text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
-    first = lambda c: F.min_by(text(c), F.when(text(c).isNotNull(), F.col(order))) if order else F.min(text(c))
-    parts = [
-        F.struct(
-            F.lit(c).alias("column"), (F.count("*") - F.count(text(c))).alias("blank"),
-            F.try_divide(F.count("*") - F.count(text(c)), F.count("*")).alias("blank_share"), F.count_distinct(text(c)).alias("distinct"),
-            F.coalesce(F.max(F.length(text(c))), F.lit(0)).alias("longest"), first(c).alias("example"),
-        )
-        for c in columns
-    ]
-    return frame.agg(F.array(*parts).alias("a")).select(F.inline("a"))
+    first = F.col(order) if order else F.lit(None).cast("int")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("value"), first.alias("first")) for i, c in enumerate(columns)])
+    # Values are counted where they are dealt by, so no task holds those of a column.
+    values = frame.select(F.inline(cells)).groupBy("i", "value").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    filled = F.col("value").isNotNull()
+    found = values.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(~filled, F.col("n")).otherwise(0)).alias("blank"), F.count("value").alias("distinct"),
+        F.max(F.length("value")).alias("longest"), F.min(F.when(filled, F.col("first"))).alias("first"),
+    )
+    known = values.where(filled)
+    if order:
+        known = known.join(F.broadcast(found.select("i", "first")), ["i", "first"])
+    example = known.groupBy("i").agg(F.min("value").alias("example"))
+    names = frame.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column string")
+    rows = names.join(F.broadcast(found), "i", "left").join(F.broadcast(example), "i", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return rows.select("column", none("blank"), F.try_divide("blank", "rows").alias("blank_share"), none("distinct"), none("longest"), "example")
 
 
 def constant_columns(frame: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
