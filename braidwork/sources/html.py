@@ -29,11 +29,12 @@ class Node:
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
 
     def walk(self) -> Iterator[Node]:
-        left = [c for c in reversed(self.children) if isinstance(c, Node)]
+        left = [c for c in self.children[::-1] if c.__class__ is Node]
         while left:
             node = left.pop()
             yield node
-            left += [c for c in reversed(node.children) if isinstance(c, Node)]
+            if node.children:
+                left += [c for c in node.children[::-1] if c.__class__ is Node]
 
     def has(self, name: str) -> bool:
         return name in self.attributes.get("class", "").split()
@@ -60,6 +61,9 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
 
+    def updatepos(self, i, j):  # lines are not counted
+        return j
+
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
@@ -117,17 +121,17 @@ DETAIL = {
 
 def detail(html: str | None) -> list[dict[str, str]]:
     """One record per page; what a page lacks is empty."""
-    root, info = tree(html), {}
-    for table in root.all("table", "table-striped"):
+    nodes, info = list(tree(html).walk()), {}
+    for table in (x for x in nodes if x.tag == "table" and x.has("table-striped")):
         for row in table.all("tr"):
             if label := text_of(row.find("th")):
                 info[label] = text_of(row.find("td"))
-    heading = next((x for x in root.walk() if x.attributes.get("id") == "product_description"), None)
+    heading = next((x for x in nodes if x.attributes.get("id") == "product_description"), None)
     description = ""
     if heading:
         after = heading.parent.children[heading.parent.children.index(heading) + 1 :]
         description = text_of(next((x for x in after if isinstance(x, Node) and x.tag == "p"), None))
-    crumbs = [text_of(a) for ul in root.all("ul", "breadcrumb") for li in ul.all("li") for a in li.all("a")]
+    crumbs = [text_of(a) for ul in nodes if ul.tag == "ul" and ul.has("breadcrumb") for li in ul.all("li") for a in li.all("a")]
     return [{k: info.get(v, "") for k, v in DETAIL.items()} | {"category": crumbs[-1] if len(crumbs) >= 3 else "", "description": description}]
 
 
