@@ -34,6 +34,15 @@ def test_matrix_and_sums(spark, sides, monkeypatch, k):
     assert shown(blocking.nearest_neighbours(left, right, k)) == expected
 
 
+def test_joins_of_bounded_size(spark, sides, monkeypatch):
+    left, right = sides
+    expected = shown(blocking.nearest_native(left, right, 5))
+    assert shown(blocking.nearest_joined(left, right, 5)) == expected
+    monkeypatch.setattr(blocking, "JOINED", 10)
+    monkeypatch.setattr(blocking, "nearest_native", lambda *a: pytest.fail("joined"))
+    assert shown(blocking.nearest_joined(left, right, 5)) == expected
+
+
 def test_equal_keys_are_compared_once(spark, sides, monkeypatch):
     left, right = sides
     sent = []
